@@ -24,31 +24,31 @@ def merge_actions(history: DataFrame, staged: DataFrame, as_of: str) -> DataFram
 
     amended: opened today and different, corrected in place. versioned: opened earlier and
     different, closed and reopened. closed: gone from a file that covers its exchange and segment.
-    inserted: no open row. unchanged: the rest.
+    inserted: no open row. unchanged: the rest. A closed row that began today rides along, because
+    a relisting on that date takes its place.
     """
     today = clock.day(as_of)
-    current = history.where("valid_to IS NULL")
     scope = (
         staged.where("exchange_code IS NOT NULL AND segment_code IS NOT NULL")
         .select("exchange_code", "segment_code")
         .distinct()
         .withColumn("_in_scope", F.lit(True))
     )
-    open_rows = current.join(scope, ["exchange_code", "segment_code"], "left").select(
-        "fytoken", F.struct(*ATTRIBUTES, "valid_from").alias("old"), "_in_scope"
+    old_rows = (
+        history.where(F.col("valid_to").isNull() | (F.col("valid_from") == today))
+        .join(scope, ["exchange_code", "segment_code"], "left")
+        .select("fytoken", F.struct(*ATTRIBUTES, "valid_from", "valid_to").alias("old"), "_in_scope")
     )
     new_rows = staged.select("fytoken", F.struct(*ATTRIBUTES).alias("new"))
-    both = open_rows.join(new_rows, "fytoken", "full_outer")
+    both = old_rows.join(new_rows, "fytoken", "full_outer")
     old, new = F.col("old"), F.col("new")
+    is_open = old.isNotNull() & old["valid_to"].isNull()
     differs = old["row_hash"] != new["row_hash"]
+    gone = F.coalesce(F.col("_in_scope"), F.lit(False)) & (old["valid_from"] < today)
     action = (
-        F.when(old.isNull(), "inserted")
-        .when(
-            new.isNull(),
-            F.when(
-                F.coalesce(F.col("_in_scope"), F.lit(False)) & (old["valid_from"] < today), "closed"
-            ).otherwise("kept"),
-        )
+        F.when(~is_open & new.isNotNull(), "inserted")
+        .when(~is_open, "kept")
+        .when(new.isNull(), F.when(gone, "closed").otherwise("kept"))
         .when(differs & (old["valid_from"] == today), "amended")
         .when(differs & (old["valid_from"] < today), "versioned")
         .otherwise("unchanged")
@@ -57,9 +57,8 @@ def merge_actions(history: DataFrame, staged: DataFrame, as_of: str) -> DataFram
 
 
 def merge(history: DataFrame, staged: DataFrame, as_of: str) -> DataFrame:
-    """Next state of the whole dimension after one day's file."""
+    """Next state of the whole dimension after one day's file: one join, history passed through."""
     today = clock.day(as_of)
-    actions = merge_actions(history, staged, as_of)
 
     def row(source: Column, valid_from: Column, valid_to: Column) -> Column:
         return F.struct(
@@ -69,27 +68,19 @@ def merge(history: DataFrame, staged: DataFrame, as_of: str) -> DataFrame:
             valid_to.alias("valid_to"),
         )
 
-    old, new = F.col("old"), F.col("new")
+    old, new, action = F.col("old"), F.col("new"), F.col("action")
     still_open = F.lit(None).cast("date")
-    action = F.col("action")
     closed_old = row(old, old["valid_from"], today)
     opened_new = row(new, today, still_open)
     next_rows = (
         F.when(action.isin("inserted", "amended"), F.array(opened_new))
         .when(action == "versioned", F.array(closed_old, opened_new))
         .when(action == "closed", F.array(closed_old))
-        .otherwise(F.array(row(old, old["valid_from"], still_open)))
-    )
-    current = actions.select("action", F.explode(next_rows).alias("r")).select("action", "r.*")
-    past = history.where("valid_to IS NOT NULL").select(*HISTORY)
-    # A token relisted on the very date a closed row of it began takes that row's place.
-    reopened = current.where("action = 'inserted'").select("fytoken")
-    same_day = past.where(F.col("valid_from") == today).join(reopened, "fytoken", "left_anti")
-    return (
-        past.where(F.col("valid_from") != today)
-        .unionByName(same_day.select(*HISTORY))
-        .unionByName(current.select(*HISTORY))
+        .otherwise(F.array(row(old, old["valid_from"], old["valid_to"])))
     )
+    moved = merge_actions(history, staged, as_of).select(F.inline(next_rows))
+    past = history.where(F.col("valid_to").isNotNull() & (F.col("valid_from") != today))
+    return past.select(*HISTORY).unionByName(moved.select(*HISTORY))
 
 
 def merge_counts(actions: DataFrame) -> DataFrame:
