@@ -390,5 +390,5 @@ class Tables:
         from tickloom.operators import calendar
 
         return calendar.day_table(
-            self.underlyings.select("exchange").distinct(), "2021-12-01", "2024-12-31", self.holidays, self.observed_days
+            self.underlyings.select("exchange").distinct(), "2018-01-01", "2026-12-31", self.holidays, self.observed_days
         )

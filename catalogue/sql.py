@@ -138,7 +138,7 @@ days AS (
          (o.trade_date IS NOT NULL) AS is_observed,
          (o.trade_date IS NOT NULL OR (isodow(d) <= 5 AND h.holiday_date IS NULL)) AS is_trading
     FROM (SELECT DISTINCT exchange FROM underlyings) e
-   CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2021-12-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS d) g
+   CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2018-01-01', DATE '2026-12-31', INTERVAL 1 DAY)) AS DATE) AS d) g
     LEFT JOIN observed o ON o.exchange = e.exchange AND o.trade_date = g.d
     LEFT JOIN holidays h ON h.exchange = e.exchange AND h.holiday_date = g.d),
 members AS (

@@ -499,7 +499,8 @@ def a11_seeds(t: Tables):
         F.lit("MCX").alias("exchange"), "trade_date", F.lit(None).cast("timestamp_ntz").alias("session_open"),
         F.lit(None).cast("timestamp_ntz").alias("session_close"), "bar_count", F.lit(0).cast("bigint").alias("contract_count"), F.lit("seed").alias("derived_from"),
     )
-    stale = seeds.limit(1).withColumn("derived_from", F.lit("spot_bars"))
+    # Derived rows of days that have no bars any more must go.
+    stale = t.observed_days.withColumn("trade_date", F.date_add("trade_date", 1000)).select(*seeds.columns)
     return writes.refresh_trading_days(seeds.unionByName(stale), t.candles, t.underlyings).select("exchange", "trade_date", "derived_from", "bar_count")
 
 

@@ -388,8 +388,9 @@ def after_chunk(
             ),
         }
     )
+    chunk_key = [*SERIES, "range_from", "range_to"]
     walking = judged.where("reason IS NULL AND date_sub(range_from, 1) >= floor").select(
-        *SERIES, "range_from", "_span", "floor"
+        *chunk_key, "_span", "floor"
     )
     steps = F.least(
         F.ceil((F.datediff("range_from", "floor")) / F.col("_span")) - 1,
@@ -403,10 +404,10 @@ def after_chunk(
     free = intervals.contained_in(
         older, intervals.held(coverage), "older_from", "older_to", how="left_anti"
     )
-    next_chunk = free.groupBy(*SERIES, "range_from").agg(
+    next_chunk = free.groupBy(*chunk_key).agg(
         F.min_by(F.struct("older_from", "older_to"), "step").alias("n")
     )
-    return judged.join(next_chunk, [*SERIES, "range_from"], "left").select(
+    return judged.join(next_chunk, chunk_key, "left").select(
         *SERIES,
         "range_from",
         "range_to",

@@ -52,11 +52,15 @@ def _first_problem(*problems: Column) -> Column:
     return F.coalesce(*problems)
 
 
+def _occurrences(name: str) -> Column:
+    return F.size(F.filter("columns", lambda c: c == name))
+
+
 def refusal() -> Column:
     """Why an envelope cannot be stored, null when it can."""
     repeated = reduce(
         lambda a, b: a | b,
-        [F.size(F.filter("columns", lambda c, n=n: c == n)) > 1 for n in ALIASES],
+        [_occurrences(name) > 1 for name in ALIASES],
     )
     absent = reduce(
         lambda a, b: a | b, [F.array_position("columns", n) == 0 for n in REQUIRED]

@@ -10,18 +10,22 @@ from tickloom.functions import money
 EXPIRY_PAYLOAD = "expiry_dates struct<futures: array<string>, options: array<string>>"
 CONTRACT_PAYLOAD = "contracts struct<futures: array<string>, options: array<string>>"
 LEG = (
-    "symbol string, option_type string, strike_price string, ltp string, bid string, ask string, "
-    "volume string, oi string, prev_oi string, fp string, "
-    "greeks struct<iv: string, delta: string, gamma: string, theta: string, vega: string>"
+    "symbol: string, option_type: string, strike_price: string, ltp: string, bid: string, "
+    "ask: string, volume: string, oi: string, prev_oi: string, fp: string, "
+    "greeks: struct<iv: string, delta: string, gamma: string, theta: string, vega: string>"
 )
 CHAIN_PAYLOAD = (
     "expiryData array<struct<date: string, expiry_flag: string>>, "
-    f"optionsChain array<struct<{LEG.replace(' string', ': string').replace('greeks struct', 'greeks: struct')}>>, "
-    "indiavixData struct<ltp: string>"
+    f"optionsChain array<struct<{LEG}>>, indiavixData struct<ltp: string>"
 )
 SOURCE_ARRAYS = ["futures", "options"]
 
 
+def _tagged(path: str, source: str) -> Column:
+    values = F.coalesce(F.col(path), F.array().cast("array<string>"))
+    return F.transform(values, lambda v: F.struct(F.lit(source).alias("source"), v.alias("text")))
+
+
 def expiry_dates(
     raw: DataFrame, keys: list[str], payload: str = "payload"
 ) -> tuple[DataFrame, DataFrame]:
@@ -29,17 +33,7 @@ def expiry_dates(
     body = raw.withColumn("_b", F.from_json(payload, EXPIRY_PAYLOAD))
     listed = body.select(
         *keys,
-        F.explode(
-            F.concat(
-                *[
-                    F.transform(
-                        F.coalesce(F.col(f"_b.expiry_dates.{a}"), F.array().cast("array<string>")),
-                        lambda v, a=a: F.struct(F.lit(a).alias("source"), v.alias("text")),
-                    )
-                    for a in SOURCE_ARRAYS
-                ]
-            )
-        ).alias("e"),
+        F.explode(F.concat(*[_tagged(f"_b.expiry_dates.{a}", a) for a in SOURCE_ARRAYS])).alias("e"),
     ).select(
         *keys, "e.source", "e.text", F.try_to_date(F.trim("e.text"), "yyyy-MM-dd").alias("d")
     )
