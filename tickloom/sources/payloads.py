@@ -68,6 +68,14 @@ def contract_symbols(raw: DataFrame, keys: list[str], payload: str = "payload")
     return body.select(*keys, F.inline(F.concat(*[numbered(a) for a in SOURCE_ARRAYS])))
 
 
+def _dmy(text: Column) -> Column:
+    return F.try_to_date(F.trim(text), "dd-MM-yyyy")
+
+
+def _flag(text: Column) -> Column:
+    return F.upper(F.trim(text))
+
+
 def chain_expiries(raw: DataFrame, keys: list[str], payload: str = "payload") -> DataFrame:
     """Expiry flags a chain payload carries: day-month-year dates, W and M flags only."""
     body = raw.withColumn("_b", F.from_json(payload, CHAIN_PAYLOAD))
@@ -76,8 +84,8 @@ def chain_expiries(raw: DataFrame, keys: list[str], payload: str = "payload") ->
         .select(
             *keys,
             "position",
-            F.try_to_date(F.trim("e.date"), "dd-MM-yyyy").alias("expiry_date"),
-            F.upper(F.trim("e.expiry_flag")).alias("expiry_flag"),
+            _dmy(F.col("e.date")).alias("expiry_date"),
+            _flag(F.col("e.expiry_flag")).alias("expiry_flag"),
         )
         .where("expiry_date IS NOT NULL AND expiry_flag IN ('W', 'M')")
     )
@@ -96,22 +104,15 @@ def chain_quotes(raw: DataFrame, keys: list[str], payload: str = "payload") -> D
     def right(leg: Column) -> Column:
         return F.upper(F.trim(F.coalesce(leg["option_type"], F.lit(""))))
 
-    flagged = F.filter(
-        F.transform(
-            F.coalesce(F.col("_b.expiryData"), F.array()),
-            lambda e: F.struct(
-                F.try_to_date(F.trim(e["date"]), "dd-MM-yyyy").alias("d"),
-                F.upper(F.trim(e["expiry_flag"])).alias("f"),
-            ),
-        ),
-        lambda e: e["d"].isNotNull() & e["f"].isin("W", "M"),
-    )
+    def flagged(e: Column) -> Column:
+        return _dmy(e["date"]).isNotNull() & _flag(e["expiry_flag"]).isin("W", "M")
+
     own = F.filter("_b.optionsChain", lambda leg: ~right(leg).isin("CE", "PE"))
     legs = F.filter("_b.optionsChain", lambda leg: right(leg).isin("CE", "PE"))
     return (
         body.select(
             *keys,
-            F.get(flagged, F.lit(0)).alias("front"),
+            F.get(F.filter("_b.expiryData", flagged), F.lit(0)).alias("front"),
             F.try_element_at(own, F.lit(-1))["fp"].alias("fp_text"),
             F.col("_b.indiavixData.ltp").alias("vix_text"),
             F.explode(legs).alias("leg"),
@@ -119,8 +120,8 @@ def chain_quotes(raw: DataFrame, keys: list[str], payload: str = "payload") -> D
         .where("front IS NOT NULL")
         .select(
             *keys,
-            F.col("front.d").alias("expiry_date"),
-            F.col("front.f").alias("expiry_flag"),
+            _dmy(F.col("front.date")).alias("expiry_date"),
+            _flag(F.col("front.expiry_flag")).alias("expiry_flag"),
             _num("leg.strike_price", "decimal(12,4)").alias("strike"),
             right(F.col("leg")).alias("option_type"),
             F.when(F.trim("leg.symbol") != "", F.trim("leg.symbol")).alias("fyers_symbol"),
