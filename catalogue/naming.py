@@ -24,7 +24,7 @@ PARSE_SQL = f"""SELECT {B('contract_id')}, fyers_symbol, kind, exchange, {B('''C
   CASE WHEN kind = 'SPOT' THEN 'CM' ELSE 'FO' END AS segment, {D('strike')}, option_type, {B('year(expiry_date)', 'expiry_year')}, {B('month(expiry_date)', 'expiry_month')},
   {S('''CASE WHEN kind = 'OPT' AND expiry_date = DATE '2024-01-25' THEN expiry_date END''', 'expiry')},
   CASE WHEN kind = 'SPOT' THEN 'NONE' WHEN kind = 'OPT' AND expiry_date = DATE '2024-01-25' THEN 'WEEKLY_CODED' ELSE 'MONTHLY_CODED' END AS symbol_expiry_encoding,
-  CASE WHEN kind = 'SPOT' THEN 'INDEX' ELSE instrument_class END AS instrument_class, NULL AS parse_error
+  CASE WHEN kind = 'SPOT' THEN 'INDEX' ELSE instrument_class END AS instrument_class, CAST(NULL AS VARCHAR) AS parse_error
   FROM (SELECT *, root AS root2 FROM contracts)"""
 PARSE_OUT = [
     "contract_id", "fyers_symbol", "kind", "exchange", "exchange_code", "root", "segment", "strike", "option_type",

@@ -1,8 +1,9 @@
 """Contract symbols as columns: build, decompose, verify and audit.
 
-A weekly symbol has no separators, so every split is tried. The splits are made inside the row
-with array functions; only the known-root test needs the root dimension, and that is one join.
-Each distinct (symbol, hints) is decomposed once, however often it occurs.
+A weekly symbol has no separators, so every split is tried, inside the row, with array functions.
+Hints and a single valid split settle nearly every symbol there and then; only symbols that stay
+tied are set against the root dimension, once per distinct symbol. No row is grouped or shuffled
+by its symbol, so a symbol that fills the table costs no more than any other.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT",
 WEEKLY_MONTHS = ["1", "2", "3", "4", "5", "6", "7", "8", "9", "O", "N", "D"]
 ROOT_PATTERN = r"^[A-Z][A-Z0-9&_.\-]*$"
 STRIKE_PATTERN = r"^[0-9]+([.][0-9]+)?$"
+WEEKLY_TAIL = r"^[0-9]{2}[1-9OND][0-9]{2}(?:[1-9][0-9]*(?:[.][0-9]+)?|0[.][0-9]+)$"
 CURRENCY_PAIR = r"^(?:USD|EUR|GBP|JPY|AUD|CAD|CHF|SGD|AED|CNY)(?:INR|USD|JPY)$"
 MIN_YEAR = 2015
 YEARS_AHEAD = 5
@@ -100,47 +102,44 @@ def _month_number(name: Column) -> Column:
 
 
 def _splits(core: Column, years: tuple[int, int]) -> Column:
-    """Valid ``{root}{YY}{M}{dd}{strike}`` splits of the text before the right."""
+    """Valid ``{root}{YY}{M}{dd}{strike}`` splits of the text before the right.
+
+    The shape of root and tail is tested first; dates and strikes are read from what is left.
+    """
     n = F.length(core)
+    months = F.array(*[F.lit(m) for m in WEEKLY_MONTHS])
+
+    def shaped(i: Column) -> Column:
+        return F.substring(core, i + 1, n).rlike(WEEKLY_TAIL) & F.substring(core, F.lit(1), i).rlike(
+            ROOT_PATTERN
+        )
 
     def split(i: Column) -> Column:
-        root = F.substring(core, F.lit(1), i)
-        year = F.substring(core, i + 1, F.lit(2))
-        month = F.array_position(
-            F.array(*[F.lit(m) for m in WEEKLY_MONTHS]), F.substring(core, i + 3, F.lit(1))
+        month = F.array_position(months, F.substring(core, i + 3, F.lit(1))).cast("string")
+        iso = F.concat(
+            F.lit("20"), F.substring(core, i + 1, F.lit(2)), F.lit("-"), F.lpad(month, 2, "0"),
+            F.lit("-"), F.substring(core, i + 4, F.lit(2)),
         )
-        dd = F.substring(core, i + 4, F.lit(2))
         strike_raw = F.substring(core, i + 6, n)
-        digits = F.concat(year, dd).rlike("^[0-9]{4}$")
-        iso = F.when(
-            digits & (month > 0),
-            F.concat(
-                F.lit("20"), year, F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-"), dd
-            ),
-        )
         return F.struct(
-            root.alias("root"),
-            F.try_to_date(iso, "yyyy-MM-dd").alias("expiry"),
-            _valid_strike(strike_raw).alias("strike"),
+            F.substring(core, F.lit(1), i).alias("root"),
+            iso.try_cast("date").alias("expiry"),
+            strike_raw.try_cast(money.STRIKE).alias("strike"),
             strike_raw.alias("strike_raw"),
         )
 
     def usable(s: Column) -> Column:
-        return (
-            s["root"].rlike(ROOT_PATTERN)
-            & s["expiry"].isNotNull()
-            & F.year(s["expiry"]).between(*years)
-            & s["strike"].isNotNull()
-        )
+        return F.year(s["expiry"]).between(*years) & (s["strike"] > 0)
 
-    return F.filter(F.transform(F.sequence(F.lit(1), n - 6), split), usable)
+    tails = F.filter(F.sequence(F.lit(1), n - 6), shaped)
+    return F.filter(F.transform(tails, split), usable)
 
 
-def _shapes(keyed: DataFrame, years: tuple[int, int]) -> DataFrame:
+def _shapes(tagged: DataFrame, years: tuple[int, int]) -> DataFrame:
     """Exchange, body and the decomposition of everything but weekly options."""
     text = F.upper(F.trim("symbol"))
     has_colon = F.instr(text, ":") > 0
-    df = keyed.withColumns(
+    df = tagged.withColumns(
         {
             "exchange": F.when(has_colon, F.substring_index(text, ":", 1)),
             "body": F.when(has_colon, F.regexp_replace(text, "^[^:]*:", "")),
@@ -213,74 +212,82 @@ def parse(
     hint_root = (
         F.upper(F.trim(F.col(expected_root))) if expected_root else F.lit(None).cast("string")
     )
-    hint_root = F.when(hint_root != "", hint_root)
     hint_expiry = F.col(expected_expiry) if expected_expiry else F.lit(None).cast("date")
-    tagged = df.withColumn(
-        "_key", F.struct(F.col(symbol).alias("symbol"), hint_root.alias("r"), hint_expiry.alias("e"))
-    )
-    keyed = tagged.select("_key").distinct().select(
-        "_key", "_key.symbol", F.col("_key.r").alias("hint_root"), F.col("_key.e").alias("hint_expiry")
+    tagged = df.select(
+        F.struct(*df.columns).alias("_row"),
+        F.col(symbol).alias("symbol"),
+        F.when(hint_root != "", hint_root).alias("hint_root"),
+        hint_expiry.alias("hint_expiry"),
     )
-    parsed = _decide(_shapes(keyed, years), roots, years)
-    joined = tagged.join(parsed, tagged["_key"].eqNullSafe(parsed["_pk"]), "left")
-    return joined.drop("_key", "_pk")
+    known = roots.select(F.col("root").alias("known_root"), "instrument_kind", "derivative_segment")
+    split = _with_candidates(_shapes(tagged, years), years)
+    return _finish(_settle_ties(split, known), known).select("_row.*", *PARSED)
 
 
-def _decide(shapes: DataFrame, roots: DataFrame, years: tuple[int, int]) -> DataFrame:
-    known = roots.select(
-        F.col("root").alias("known_root"), "instrument_kind", "derivative_segment"
-    )
+def _with_candidates(shapes: DataFrame, years: tuple[int, int]) -> DataFrame:
+    """Weekly splits of each row and the ones the hints leave on top."""
     core = F.expr("substring(body, 1, length(body) - 2)")
-    candidates = F.when(
-        (F.col("shape") == "weekly") & (F.length(core) >= 7), _splits(core, years)
-    )
-    # Every row keeps one element: weekly rows their splits, the others what they already have.
-    own = F.array(
-        F.struct("root", F.lit(None).cast("date").alias("expiry"), "strike", "strike_raw")
-    )
-    tried = shapes.withColumn(
-        "cand", F.explode_outer(F.when(F.col("shape") == "weekly", candidates).otherwise(own))
-    )
-    scored = tried.join(known, F.col("cand.root") == F.col("known_root"), "left").withColumn(
-        "is_known",
-        F.col("known_root").isNotNull() | F.coalesce(F.col("cand.root") == F.col("hint_root"), F.lit(False)),
-    )
-    expiry_hit = F.coalesce(F.col("cand.expiry") == F.col("hint_expiry"), F.lit(False))
-    root_hit = F.coalesce(F.col("cand.root") == F.col("hint_root"), F.lit(False))
-    score = (
-        expiry_hit.cast("int") * 4 + root_hit.cast("int") * 2 + F.col("is_known").cast("int")
-    )
-    same = [c for c in shapes.columns if c not in ("_key", "root", "strike", "strike_raw", "symbol")]
-    per_symbol = scored.groupBy("_key").agg(
-        *[F.first(c).alias(c) for c in same],
-        # At most one entry per character of the symbol.
-        F.collect_list(
-            F.when(
-                F.col("cand.root").isNotNull(),
-                F.struct(
-                    score.alias("score"), F.col("cand").alias("cand"), "is_known",
-                    "instrument_kind", "derivative_segment",
-                ),
-            )
-        ).alias("tried"),
+    tried = F.when((F.col("shape") == "weekly") & (F.length(core) >= 7), _splits(core, years))
+
+    def by_hints(c: Column) -> Column:
+        expiry_hit = F.coalesce(c["expiry"] == F.col("hint_expiry"), F.lit(False))
+        root_hit = F.coalesce(c["root"] == F.col("hint_root"), F.lit(False))
+        return expiry_hit.cast("int") * 2 + root_hit.cast("int")
+
+    df = shapes.withColumn("tried", tried)
+    df = df.withColumn("best", F.array_max(F.transform("tried", by_hints)))
+    return df.withColumn("top", F.filter("tried", lambda c: by_hints(c) == F.col("best")))
+
+
+def _settle_ties(split: DataFrame, known: DataFrame) -> DataFrame:
+    """The winning split of each row: the only one on top, or the only one whose root is known.
+
+    Tied symbols are few; each distinct one is resolved once and joined back.
+    """
+    key = ["symbol", "hint_root", "hint_expiry"]
+    # The outer form keeps the optimizer from copying the split expressions into a scan filter.
+    tied = F.when(F.size("top") > 1, F.col("top"))
+    ties = split.select(*key, F.explode_outer(tied).alias("c")).where("c IS NOT NULL").distinct()
+    judged = (
+        ties.join(known.select("known_root"), F.col("c.root") == F.col("known_root"), "left")
+        .groupBy(*key)
+        .agg(
+            F.count("known_root").alias("tie_known"),
+            F.max(F.when(F.col("known_root").isNotNull(), F.col("c"))).alias("tie_pick"),
+        )
+        .withColumnsRenamed({k: f"_{k}" for k in key})
     )
-    best = F.array_max(F.transform("tried", lambda t: t["score"]))
-    df = (
-        per_symbol.withColumn("best", best)
-        .withColumn("winners", F.filter("tried", lambda t: t["score"] == F.col("best")))
-        .withColumn("won", F.get("winners", F.lit(0)))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    joined = split.join(judged, on, "left").drop(*[f"_{k}" for k in key])
+    only = F.when(F.size("top") == 1, F.get("top", F.lit(0)))
+    return joined.withColumn(
+        "won", F.coalesce(only, F.when(F.col("tie_known") == 1, F.col("tie_pick")))
     )
+
+
+def _finish(df: DataFrame, known: DataFrame) -> DataFrame:
+    """Everything that follows from the shape and the winning split."""
     weekly = F.col("shape") == "weekly"
+    df = df.withColumns(
+        {
+            "root": F.when(weekly, F.col("won.root")).otherwise(F.col("root")),
+            "strike": F.when(weekly, F.col("won.strike")).otherwise(F.col("strike")),
+            "strike_raw": F.when(weekly, F.col("won.strike_raw")).otherwise(F.col("strike_raw")),
+        }
+    ).join(known, F.col("root") == F.col("known_root"), "left")
+    is_known = F.col("known_root").isNotNull() | F.coalesce(
+        F.col("root") == F.col("hint_root"), F.lit(False)
+    )
     single = F.size("tried") == 1
     error = (
         F.when(F.col("shape").isin("future", "monthly", "cash"), F.lit(None))
-        .when(weekly & (F.size("tried") == 0), "no_valid_split")
-        .when(weekly & (F.size("winners") > 1), "ambiguous")
+        .when(weekly & (F.coalesce(F.size("tried"), F.lit(0)) <= 0), "no_valid_split")
+        .when(weekly & F.col("won").isNull(), "ambiguous")
         .when(weekly, F.lit(None))
         .otherwise(F.col("shape"))
     )
     hinted_call = F.col("hint_root").isNotNull() | F.col("hint_expiry").isNotNull()
-    hinted_win = F.col("best") >= 2
+    hinted_win = F.col("best") >= 1
     kind = (
         F.when(F.col("shape") == "future", "FUT")
         .when(F.col("shape").isin("monthly", "weekly"), "OPT")
@@ -290,13 +297,10 @@ def _decide(shapes: DataFrame, roots: DataFrame, years: tuple[int, int]) -> Data
         {
             "parse_error": error,
             "kind": kind,
-            "root": F.col("won.cand.root"),
-            "strike": F.col("won.cand.strike"),
-            "strike_raw": F.col("won.cand.strike_raw"),
             "symbol_expiry_encoding": F.when(weekly, "WEEKLY_CODED")
             .when(F.col("shape").isin("future", "monthly"), "MONTHLY_CODED")
             .otherwise("NONE"),
-            "expiry": F.when(weekly, F.col("won.cand.expiry")).when(
+            "expiry": F.when(weekly, F.col("won.expiry")).when(
                 F.col("shape").isin("future", "monthly"), F.col("hint_expiry")
             ),
             "parse_method": F.when(F.col("shape") == "cash", "none")
@@ -306,9 +310,9 @@ def _decide(shapes: DataFrame, roots: DataFrame, years: tuple[int, int]) -> Data
         }
     )
     segment, inferred = segment_of(
-        F.col("exchange"), F.col("kind"), F.col("root"), F.col("won.derivative_segment")
+        F.col("exchange"), F.col("kind"), F.col("root"), F.col("derivative_segment")
     )
-    klass = instrument_class(F.col("kind"), F.col("series"), F.col("won.instrument_kind"))
+    klass = instrument_class(F.col("kind"), F.col("series"), F.col("instrument_kind"))
     df = df.withColumns(
         {
             "exchange_code": _code(F.col("exchange"), EXCHANGE_CODES),
@@ -324,7 +328,7 @@ def _decide(shapes: DataFrame, roots: DataFrame, years: tuple[int, int]) -> Data
     warnings = F.array_compact(
         F.array(
             F.when(weekly & ~single, "multiple_candidates"),
-            F.when((F.col("kind") != "SPOT") & ~F.col("won.is_known"), "root_unknown"),
+            F.when((F.col("kind") != "SPOT") & ~is_known, "root_unknown"),
             F.when(inferred, "segment_inferred"),
             F.when(F.col("instrument_class").isNull(), "instrument_class_unknown"),
             F.when(monthly & F.col("expiry").isNull(), "expiry_day_unknown"),
@@ -334,14 +338,8 @@ def _decide(shapes: DataFrame, roots: DataFrame, years: tuple[int, int]) -> Data
         "parse_error", F.coalesce("parse_error", hint_disagreement())
     )
     ok = F.col("parse_error").isNull()
-    keep_always = ["parse_error"]
-    return df.select(
-        F.col("_key").alias("_pk"),
-        *[
-            F.col(c) if c in keep_always else F.when(ok, F.col(c)).alias(c)
-            for c in PARSED
-        ],
-    )
+    kept = [F.col(c) if c == "parse_error" else F.when(ok, F.col(c)).alias(c) for c in PARSED]
+    return df.select("_row", *kept)
 
 
 def hint_disagreement() -> Column:
