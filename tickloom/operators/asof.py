@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import clock, rows
 
 DAY = 86400
+HOUR = 3600
 
 
 def _bucket(ts: Column, seconds: int) -> Column:
@@ -119,7 +120,8 @@ def spot_at(
     """Last spot close at or before each ``(underlying_id, at_ts)``, with the bar it came from."""
     spot = spot_closes(candles, underlyings, res_id)
     return asof_backward(
-        requests, spot, ["underlying_id"], "at_ts", "ts", ["spot"], matched_ts="spot_ts"
+        requests, spot, ["underlying_id"], "at_ts", "ts", ["spot"], matched_ts="spot_ts",
+        bucket_seconds=HOUR,
     )
 
 

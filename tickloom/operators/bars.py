@@ -33,9 +33,20 @@ def window(candles: DataFrame, contract_id: int, res_id: int, start: str, end: s
 
 
 def windows(candles: DataFrame, requests: DataFrame) -> DataFrame:
-    """Bars of many ``(request_id, contract_id, res_id, start_ts, end_ts)`` windows."""
-    return candles.join(requests, ["contract_id", "res_id"]).where(
-        (F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts"))
+    """Bars of many ``(request_id, contract_id, res_id, start_ts, end_ts)`` windows.
+
+    Windows are laid on the days they touch and the day joins the key, so a bar meets only the
+    windows of its own day and a series with very many bars is spread over its days.
+    """
+    last_moment = F.timestamp_add("MICROSECOND", F.lit(-1), F.col("end_ts"))
+    by_day = requests.where("end_ts > start_ts").withColumn(
+        "_day", F.explode(F.sequence(F.to_date("start_ts"), F.to_date(last_moment)))
+    )
+    return (
+        candles.withColumn("_day", F.to_date("ts"))
+        .join(by_day, ["contract_id", "res_id", "_day"])
+        .where((F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts")))
+        .drop("_day")
     )
 
 
@@ -138,19 +149,37 @@ def before(
 
 
 def before_each(candles: DataFrame, requests: DataFrame, count: int = DEFAULT_BEFORE) -> DataFrame:
-    """``before`` for many ``(request_id, contract_id, res_id, before_ts)`` at once. The rank
-    filter is applied map-side first, so at most ``count`` rows per request and input partition
-    are shuffled."""
+    """``before`` for many ``(request_id, contract_id, res_id, before_ts)`` at once.
+
+    Bars are counted per day first. Each request reaches back to the latest day from which enough
+    bars follow (or to the first day there is), and only that window is read and ranked.
+    """
     wanted = max(1, min(int(count), MAX_BEFORE))
-    ranked = (
-        candles.join(requests, ["contract_id", "res_id"])
-        .where(F.col("ts") < F.col("before_ts"))
-        .withColumn(
-            "_rank",
-            F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("ts"))),
+    series = ["contract_id", "res_id"]
+    days = candles.groupBy(*series, F.to_date("ts").alias("_d")).agg(F.count("*").alias("_n"))
+    so_far = Window.partitionBy(*series).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    counted = days.withColumn("_before", F.coalesce(F.sum("_n").over(so_far), F.lit(0)))
+    reach = (
+        requests.join(counted, series)
+        .where(F.col("_d") <= F.to_date("before_ts"))
+        .groupBy("request_id", *series, "before_ts")
+        .agg(
+            F.max("_before").alias("_at"),
+            F.min("_d").alias("_first"),
+            # Bars before each day, to find the day that leaves enough after it.
+            F.array_agg(F.struct("_before", "_d")).alias("_days"),
         )
     )
-    return ranked.where(F.col("_rank") <= wanted).drop("_rank")
+    enough = F.filter("_days", lambda d: d["_before"] <= F.col("_at") - wanted)
+    start = F.coalesce(F.array_max(enough)["_d"], F.col("_first"))
+    bounded = reach.select(
+        "request_id", *series, "before_ts", clock.midnight(start).alias("start_ts"),
+        F.col("before_ts").alias("end_ts"),
+    )
+    ranked = windows(candles, bounded).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("ts")))
+    )
+    return ranked.where(F.col("_rank") <= wanted).drop("_rank", "start_ts", "end_ts")
 
 
 def resolve_resolutions(requests: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock, money
-from tickloom.operators import asof
+from tickloom.operators import asof, bars
 
 LEG_FIELDS = ["contract_id", "fyers_symbol", "open", "high", "low", "close", "volume", "oi"]
 
@@ -150,10 +150,8 @@ def band(
         )
         .select("request_id", "contract_id", "res_id", "start_ts", "end_ts", "strike", "option_type")
     )
-    return (
-        candles.join(inside, ["contract_id", "res_id"])
-        .where((F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts")))
-        .select("request_id", "ts", "strike", "option_type", "close", "volume", "oi")
+    return bars.windows(candles, inside).select(
+        "request_id", "ts", "strike", "option_type", "close", "volume", "oi"
     )
 
 
