@@ -239,28 +239,28 @@ def q2w(t: Tables):
     return quality.worst_mismatches(t.coverage, t.candles)
 
 
-# Contracts beyond the ones with bars: every customer's user, with or without events.
-CUSTOMER_LEGS = """cl AS (SELECT CAST(c_custkey AS BIGINT) + 1 AS contract_id, CASE WHEN c_nationkey = 0 THEN 'SPOT' ELSE 'OPT' END AS kind,
-  CAST(c_nationkey AS BIGINT) AS expiry_id FROM customer)"""
+# Contracts of the customers, most of them without bars; each customer is an expiry of its own.
+CUSTOMER_LEGS = """cl AS (SELECT CAST(c_custkey AS BIGINT) * 512 + c_nationkey * 40 + 1 AS contract_id, CASE WHEN c_nationkey = 0 THEN 'SPOT' ELSE 'OPT' END AS kind,
+  CAST(c_custkey AS BIGINT) AS expiry_id FROM customer)"""
 
 
 def customer_legs(t: Tables):
     return t.given("customer").select(
-        (F.col("c_custkey") + 1).cast("int").alias("contract_id"),
+        (F.col("c_custkey") * 512 + F.col("c_nationkey") * 40 + 1).cast("int").alias("contract_id"),
         F.when(F.col("c_nationkey") == 0, "SPOT").otherwise("OPT").alias("kind"),
-        F.col("c_nationkey").alias("expiry_id"),
+        F.col("c_custkey").alias("expiry_id"),
     )
 
 
-def nation_blocks(t: Tables):
-    """Overlapping and unaligned blocks: nation n holds ids from 512 n, 700 wide."""
-    n = F.col("n_nationkey")
-    return t.given("nation").select(
+def customer_blocks(t: Tables):
+    """Overlapping and unaligned blocks: customer n holds ids from 512 n, 700 wide."""
+    n = F.col("c_custkey")
+    return t.given("customer").select(
         n.alias("expiry_id"), (n * 512).alias("contract_id_lo"), (n * 512 + 699).alias("contract_id_hi")
     )
 
 
-BLOCKS = "nb AS (SELECT n_nationkey AS expiry_id, n_nationkey * 512 AS lo, n_nationkey * 512 + 699 AS hi FROM nation)"
+BLOCKS = "nb AS (SELECT c_custkey AS expiry_id, c_custkey * 512 AS lo, c_custkey * 512 + 699 AS hi FROM customer)"
 
 
 @query("q3_contracts_without_bars", qq(CUSTOMER_LEGS, "SELECT contract_id, kind FROM cl WHERE kind <> 'SPOT' AND contract_id NOT IN (SELECT contract_id FROM bounds)"))
@@ -280,12 +280,12 @@ def q5(t: Tables):
 
 @query("q6_outside_block", qq(f"{CUSTOMER_LEGS}, {BLOCKS}", f"SELECT contract_id, {B('expiry_id')} FROM cl JOIN nb USING (expiry_id) WHERE kind <> 'SPOT' AND (contract_id < lo OR contract_id > hi)"))
 def q6(t: Tables):
-    return quality.outside_block(customer_legs(t), nation_blocks(t)).select("contract_id", "expiry_id")
+    return quality.outside_block(customer_legs(t), customer_blocks(t)).select("contract_id", "expiry_id")
 
 
 @query("j15_overlapping_blocks", qq(BLOCKS, f"SELECT {B('a.expiry_id', 'a_id')}, {B('b.expiry_id', 'b_id')} FROM nb a JOIN nb b ON a.expiry_id < b.expiry_id AND a.lo <= b.hi AND b.lo <= a.hi"))
 def j15(t: Tables):
-    return quality.overlapping_blocks(nation_blocks(t))
+    return quality.overlapping_blocks(customer_blocks(t))
 
 
 # Order intervals as blocks: many, of every width, spread over the id line.
@@ -304,12 +304,12 @@ def q7(t: Tables):
 
 @query("q7_blocks_reaching_back", qq(BLOCKS, f"SELECT {B('expiry_id')}, {B('lo', 'contract_id_lo')}, {B('r', 'reach')} FROM (SELECT *, max(hi) OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM nb) WHERE r >= lo"))
 def q7b(t: Tables):
-    return quality.blocks_reaching_back(nation_blocks(t))
+    return quality.blocks_reaching_back(customer_blocks(t))
 
 
 @query("q8_unaligned_blocks", qq(BLOCKS, f"SELECT {B('expiry_id')} FROM nb WHERE lo % 1024 <> 0"))
 def q8(t: Tables):
-    return quality.unaligned_blocks(nation_blocks(t)).select("expiry_id")
+    return quality.unaligned_blocks(customer_blocks(t)).select("expiry_id")
 
 
 @query("q9_orphan_series", qq(CUSTOMER_LEGS, f"SELECT DISTINCT {B('contract_id')} FROM candles WHERE contract_id NOT IN (SELECT contract_id FROM cl)"))

@@ -442,21 +442,21 @@ def w15_diff(t: Tables):
 
 @query(
     "w16_root_merge",
-    qq("""base AS (SELECT n_name AS root, 'NSE:OLD' || n_nationkey AS sym, n_regionkey = 0 AS b FROM nation WHERE n_nationkey < 15),
-       cnd AS (SELECT 'NATION_' || n_nationkey AS root, CASE WHEN n_regionkey = 1 THEN 'NSE:OLD' || n_nationkey ELSE 'NSE:NEW' || n_nationkey END AS sym FROM nation WHERE n_nationkey >= 5)""",
+    qq("""base AS (SELECT 'R' || c_custkey AS root, 'NSE:OLD' || c_custkey AS sym, c_nationkey < 5 AS b FROM customer WHERE c_acctbal < 6000),
+       cnd AS (SELECT 'R' || c_custkey AS root, CASE WHEN c_mktsegment = 'BUILDING' THEN 'NSE:OLD' || c_custkey ELSE 'NSE:NEW' || c_custkey END AS sym FROM customer WHERE c_acctbal >= 3000)""",
        f"""SELECT coalesce(b.root, c.root) AS root, CASE WHEN b.root IS NULL OR (NOT b.b AND c.sym <> b.sym) THEN c.sym ELSE b.sym END AS fyers_symbol,
       CASE WHEN b.root IS NULL THEN 'added' WHEN NOT b.b AND c.sym <> b.sym THEN 'replaced' ELSE 'kept' END AS outcome FROM base b FULL OUTER JOIN cnd c ON b.root = c.root"""),
 )
 def w16(t: Tables):
-    n, k = t.given("nation"), F.col("n_nationkey")
-    extra = [F.col("n_name").alias("display_name"), F.lit("NSE").alias("exchange"), F.lit("INDEX").alias("instrument_kind"), F.lit("FO").alias("derivative_segment")]
-    base = n.where("n_nationkey < 15").select(
-        F.col("n_name").alias("root"), F.concat(F.lit("NSE:OLD"), k).alias("fyers_symbol"), *extra,
-        k.alias("underlying_id"), (F.col("n_regionkey") == 0).alias("is_builtin"),
+    c, k = t.given("customer"), F.col("c_custkey")
+    extra = [F.col("c_name").alias("display_name"), F.lit("NSE").alias("exchange"), F.lit("INDEX").alias("instrument_kind"), F.lit("FO").alias("derivative_segment")]
+    root = F.concat(F.lit("R"), k).alias("root")
+    base = c.where("c_acctbal < 6000").select(
+        root, F.concat(F.lit("NSE:OLD"), k).alias("fyers_symbol"), *extra,
+        k.cast("int").alias("underlying_id"), (F.col("c_nationkey") < 5).alias("is_builtin"),
     )
-    candidates = n.where("n_nationkey >= 5").select(
-        F.concat(F.lit("NATION_"), k).alias("root"),
-        F.concat(F.when(F.col("n_regionkey") == 1, "NSE:OLD").otherwise("NSE:NEW"), k).alias("fyers_symbol"), *extra,
+    candidates = c.where("c_acctbal >= 3000").select(
+        root, F.concat(F.when(F.col("c_mktsegment") == "BUILDING", "NSE:OLD").otherwise("NSE:NEW"), k).alias("fyers_symbol"), *extra
     )
     return registry.merge_roots(base, candidates).select("root", "fyers_symbol", "outcome")
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
 
 import duckdb
 
+# Significant digits compared; STRICT compares doubles as they are.
+DIGITS = 17 if os.environ.get("STRICT") else 9
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -23,7 +27,7 @@ def _cell(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.9g}")
+        return None if math.isnan(v) else float(f"{v:.{DIGITS}g}")
     if isinstance(v, int):
         return float(f"{float(v):.15g}")
     return str(v)
