@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue.base import Tables, query
-from catalogue.sql import B, D, S, q, qq
+from catalogue.sql import B, S, q, qq
 from tickloom.functions import clock
 from tickloom.operators import aggregates, calendar, coverage, intervals
 from tickloom.plans import backfill
@@ -200,24 +200,34 @@ def k8_skip(t: Tables):
     return backfill.older_tasks_to_skip(decisions, pending).select("contract_id", "res_id", "range_from")
 
 
-PRICE = f"""{PLAN}, tot AS (SELECT (SELECT count(*) FROM est WHERE outcome = 'emit') + (SELECT count(*) FROM und) AS tasks, (SELECT coalesce(sum(downstream), 0) FROM und) AS down,
-  (SELECT count(*) FROM est WHERE outcome = 'skip') AS skipped, (SELECT count(*) FROM contracts WHERE kind <> 'SPOT' AND sealed_at IS NOT NULL) AS sealed,
-  (SELECT count(*) FROM und) AS disc, (SELECT coalesce(sum(rows_est), 0) FROM est WHERE outcome = 'emit') AS rws, (SELECT count(*) FROM est WHERE outcome = 'emit' AND nominal) AS nom)"""
+PRICE = f"""{SPOT_PLAN}, spw AS (SELECT c.*, s.exchange, s.underlying_id, EXISTS (SELECT 1 FROM hi WHERE hi.contract_id = c.contract_id AND hi.res_id = c.res_id AND hi.f <= cf AND hi.e >= ct) AS have FROM spc c JOIN underlyings s ON s.spot_contract_id = c.contract_id),
+spe AS (SELECT w.*, typical IS NULL AS nominal, coalesce(typical, (SELECT count(*) FROM days d WHERE d.exchange = w.exchange AND is_trading AND trade_date BETWEEN cf AND ct)
+          * greatest(ceil(coalesce(ss, 23100) / w.seconds), 1)) AS rows_est FROM spw w LEFT JOIN typ USING (underlying_id, res_id) LEFT JOIN ses USING (exchange)),
+tot AS (SELECT (SELECT count(*) FROM est WHERE outcome = 'emit') + (SELECT count(*) FROM und) + (SELECT count(*) FROM spe WHERE NOT have) AS tasks,
+  (SELECT count(*) FROM spe WHERE NOT have) AS spots, (SELECT count(*) FROM contracts WHERE kind <> 'SPOT' AND sealed_at IS NULL) AS live_n, (SELECT count(*) FROM expiries) AS exp_n, (SELECT coalesce(sum(downstream), 0) FROM und) AS down,
+  (SELECT count(*) FROM est WHERE outcome = 'skip') + (SELECT count(*) FROM spe WHERE have) AS skipped, (SELECT count(*) FROM contracts WHERE kind <> 'SPOT' AND sealed_at IS NOT NULL) AS sealed,
+  (SELECT count(*) FROM und) AS disc, (SELECT coalesce(sum(rows_est), 0) FROM est WHERE outcome = 'emit') + (SELECT coalesce(sum(rows_est), 0) FROM spe WHERE NOT have) AS rws,
+  (SELECT count(*) FROM est WHERE outcome = 'emit' AND nominal) + (SELECT count(*) FROM spe WHERE NOT have AND nominal) AS nom)"""
 
 
 @query(
     "k9_plan_price",
-    qq(PRICE, f"""SELECT {B('tasks', 'tasks_total')}, {B('tasks + down', 'requests_estimated')}, {B('skipped', 'chunks_skipped_covered')}, {B('sealed', 'contracts_sealed_skipped')}, {B('disc', 'discovery_tasks')},
+    qq(PRICE, f"""SELECT {B('tasks', 'tasks_total')}, {B('tasks + down', 'requests_estimated')}, {B('skipped', 'chunks_skipped_covered')}, {B('sealed', 'contracts_sealed_skipped')}, {B('live_n', 'contracts_planned')}, {B('exp_n', 'expiries_planned')}, {B('spots', 'spot_tasks')}, 'seconds_capture' AS job_kind, {B('disc', 'discovery_tasks')},
       {B('down', 'estimated_downstream_requests')}, {B('rws', 'rows_estimated')}, {B('round_even(rws * 15.21::DOUBLE, 0)', 'bytes_estimated')}, {B('ceil((tasks + down) * 60 / 170)', 'eta_seconds')},
       {B('700', 'budget_remaining')}, {B('400', 'budget_allowance')}, {B('700 - (tasks + down)', 'budget_after')}, {B('CAST(tasks + down > 400 AS INT)', 'exceeds_budget')},
       concat_ws(',', CASE WHEN nom > 0 THEN 'rows_estimated_is_nominal' END, CASE WHEN disc > 0 THEN 'contracts_not_discovered' END, CASE WHEN tasks + down > 400 THEN 'exceeds_budget' END) AS warnings FROM tot"""),
 )
 def k9(t: Tables):
-    _, sealed = backfill.split_sealed(backfill.scope_contracts(t.contracts))
+    scoped = backfill.scope_contracts(t.contracts)
     siblings = aggregates.sibling_contract_count(t.expiries)
     discovery, _ = backfill.discovery_tasks(wanted_expiries(t), t.expiries, siblings, len(SHEET.resolutions))
     sheet = backfill.Sheet(now=NOW, resolutions=SHEET.resolutions, sweep=True)
-    return backfill.price(estimated(t), discovery, sealed, sheet, used_today=300, daily_budget=1000)
+    spot_sheet = backfill.Sheet(now=NOW, resolutions=SHEET.resolutions, range_from="2022-06-01")
+    spot = backfill.plan_spot(
+        t.underlyings, t.expiries, t.coverage, t.days, aggregates.typical_rows(t.coverage, t.contracts),
+        aggregates.longest_session(t.observed_days), spot_sheet,
+    )
+    return backfill.price(estimated(t), discovery, scoped, sheet, spot=spot, used_today=300, daily_budget=1000)
 
 
 @query(
@@ -265,5 +275,3 @@ def k11(t: Tables):
 def k11r(t: Tables):
     return discovery(t)[1]
 
-
-__all__ = ["D"]

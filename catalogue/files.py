@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from catalogue.base import EXPIRIES, ID_BLOCK, Tables, query
 from catalogue.sql import B, D, S, T, U, q, qq
-from tickloom import schemas, session
+from tickloom import session
 from tickloom.functions import clock
-from tickloom.operators import symbols
 from tickloom.sinks import export, store
 from tickloom.sources import envelopes, master_files, payloads
 from tickloom.sources import tables as table_reads
@@ -348,5 +347,3 @@ def x1_ledger(t: Tables):
 def x1_bounds(t: Tables):
     return streamed(t)["bounds"].select("contract_id", "row_count", "first_ts", "last_ts")
 
-
-__all__ = ["schemas", "symbols"]

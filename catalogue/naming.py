@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from catalogue.base import YEARS, Tables, query
 from catalogue.sql import B, D, S, q, qq
-from tickloom.functions import clock
 from tickloom.operators import registry, symbols
 
 
@@ -170,5 +169,3 @@ def p9(t: Tables):
         registry.display_name(F.col("root"), F.col("details")).alias("display_name"),
     )
 
-
-__all__ = ["clock"]

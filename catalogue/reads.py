@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from catalogue.base import Tables, query
 from catalogue.sql import B, D, S, T, U, q, qq
-from tickloom.functions import clock, rows
-from tickloom.operators import aggregates, asof, bars, catalog, coverage, requestlog
+from tickloom.functions import clock
+from tickloom.operators import bars, catalog, coverage, requestlog
 from tickloom.sources import tables as table_views
 
 BAR = f"{T('ts')}, {D('open')}, {D('high')}, {D('low')}, {D('close')}, {B('volume')}, {B('oi')}"
@@ -397,5 +397,3 @@ def u2(t: Tables):
 def f13_lookup(t: Tables):
     return t.underlyings.where("underlying_id = 3").select("underlying_id", "fyers_symbol", "spot_contract_id")
 
-
-__all__ = ["aggregates", "asof", "rows"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue.base import Tables, query
-from catalogue.sql import B, D, S, T, U, q, qq
+from catalogue.sql import B, D, S, T, q, qq
 from tickloom import schemas
 from tickloom.functions import clock
 from tickloom.operators import ids, registry, versioning, writes
@@ -148,8 +148,6 @@ found AS (SELECT *, CASE WHEN day(expiry_date) > 20 THEN 'M' END AS cyc FROM pai
 
 
 def customer_expiries(t: Tables):
-    from pyspark.sql import Window
-
     pairs = t.given("orders").select(
         F.col("o_custkey").cast("int").alias("underlying_id"), F.to_date("o_orderdate").alias("expiry_date")
     ).distinct()
@@ -164,7 +162,6 @@ def customer_expiries(t: Tables):
         "underlying_id", "expiry_date", F.when(F.dayofmonth("expiry_date") > 20, "M").alias("expiry_cycle_derived"),
         F.lit("derived").alias("expiry_cycle_source"), clock.day("1996-01-01").alias("source_range_from"),
     )
-    assert Window is not None
     return known, found
 
 
@@ -503,5 +500,3 @@ def a11_seeds(t: Tables):
     stale = t.observed_days.withColumn("trade_date", F.date_add("trade_date", 1000)).select(*seeds.columns)
     return writes.refresh_trading_days(seeds.unionByName(stale), t.candles, t.underlyings).select("exchange", "trade_date", "derived_from", "bar_count")
 
-
-__all__ = ["U"]

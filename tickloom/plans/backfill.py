@@ -8,6 +8,7 @@ plus one summary row. The newest-first walk with its early stop becomes a minimu
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -297,37 +298,58 @@ def refused_underlyings(wanted: DataFrame, expiries: DataFrame) -> DataFrame:
 
 
 def price(
-    walked: DataFrame, discovery: DataFrame, sealed: DataFrame, sheet: Sheet, *,
-    used_today: int = 0, daily_budget: int = DAILY_BUDGET, per_minute: int = REQUESTS_PER_MINUTE,
-    sweep_share: float = SWEEP_SHARE,
+    walked: DataFrame, discovery: DataFrame, scoped: DataFrame, sheet: Sheet, *,
+    spot: DataFrame | None = None, used_today: int = 0, daily_budget: int = DAILY_BUDGET,
+    per_minute: int = REQUESTS_PER_MINUTE, sweep_share: float = SWEEP_SHARE,
 ) -> DataFrame:
-    """The summary row of a plan."""
+    """The summary row of a plan.
+
+    ``walked`` and ``spot`` are estimated contract and spot chunks with their outcome, ``discovery``
+    the expiries to discover, ``scoped`` every contract of the sheet, sealed ones included.
+    """
     emit = F.col("outcome") == "emit"
-    # Three one-row aggregates stacked, then summed: nothing is joined.
-    parts = (
-        walked.agg(
-            F.count(F.when(emit, 1)).alias("chunk_tasks"),
+
+    def chunk_part(chunks: DataFrame, tasks: str) -> DataFrame:
+        return chunks.agg(
+            F.count(F.when(emit, 1)).alias(tasks),
             F.count(F.when(F.col("outcome") == "skip", 1)).alias("chunks_skipped_covered"),
             F.sum(F.when(emit, F.col("rows_estimated"))).alias("rows_estimated"),
             F.count(F.when(emit & F.col("is_nominal"), 1)).alias("nominal"),
         )
-        .unionByName(
-            discovery.agg(
-                F.count("*").alias("discovery_tasks"),
-                F.sum("downstream").alias("estimated_downstream_requests"),
-            ),
-            allowMissingColumns=True,
-        )
-        .unionByName(
-            sealed.agg(F.count("*").alias("contracts_sealed_skipped")), allowMissingColumns=True
-        )
-    )
-    one = parts.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in parts.columns]
+
+    is_sealed = F.col("sealed_at").isNotNull() & F.lit(not sheet.force_refresh)
+    per_expiry = scoped.groupBy("underlying_id", "expiry_date").agg(
+        F.count(F.when(~is_sealed, 1)).alias("live"), F.count(F.when(is_sealed, 1)).alias("sealed")
     )
+    # One-row aggregates stacked, then summed: nothing is joined.
+    parts = [
+        chunk_part(walked, "chunk_tasks"),
+        discovery.agg(
+            F.count("*").alias("discovery_tasks"),
+            F.sum("downstream").alias("estimated_downstream_requests"),
+        ),
+        per_expiry.agg(
+            F.count("*").alias("expiries_planned"),
+            F.sum("live").alias("contracts_planned"),
+            F.sum("sealed").alias("contracts_sealed_skipped"),
+        ),
+        *([chunk_part(spot, "spot_tasks")] if spot is not None else []),
+    ]
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    one = stacked.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in stacked.columns]
+    )
+    if spot is None:
+        one = one.withColumn("spot_tasks", F.lit(0).cast("bigint"))
     remaining = max(0, daily_budget - used_today)
     allowance = max(0, int(daily_budget * sweep_share) - used_today) if sheet.sweep else remaining
-    tasks = F.col("chunk_tasks") + F.col("discovery_tasks")
+    tasks = F.col("chunk_tasks") + F.col("discovery_tasks") + F.col("spot_tasks")
+    has_seconds = any(c.strip().upper() in SECONDS_CODES for c in sheet.resolutions)
+    job_kind = (
+        F.when((F.col("discovery_tasks") > 0) & (F.col("discovery_tasks") == F.col("tasks_total")), "contract_discovery")
+        .when((F.col("spot_tasks") > 0) & (F.col("spot_tasks") == F.col("tasks_total")), "underlying_history")
+        .otherwise("seconds_capture" if has_seconds else "candle_backfill")
+    )
     requests = tasks + F.col("estimated_downstream_requests")
     exceeds = F.col("requests_estimated") > allowance
     return (
@@ -338,6 +360,10 @@ def price(
             "requests_estimated",
             "chunks_skipped_covered",
             "contracts_sealed_skipped",
+            "contracts_planned",
+            "expiries_planned",
+            "spot_tasks",
+            job_kind.alias("job_kind"),
             "discovery_tasks",
             "estimated_downstream_requests",
             "rows_estimated",

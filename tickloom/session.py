@@ -49,10 +49,3 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(spark: SparkSession, df):
-    """Write a result to the shared folder and read it back, so later steps restart from it."""
-    path = fresh_path(spark, "stage")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
