@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, token_counts, token_files
+from tickloom.llm import bpe, exact_dedup, simhash, token_counts, token_files
 from tickloom.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = token_counts.write_flat(table(spark, sf_dir, "documents"), folder, JSON, END_OF_TEXT)
     counted = token_counts.scan(spark, folder, END_OF_TEXT)
     return listing.join(counted, ["file", "ordinal"], "left").select("doc_id", "n_tokens")
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+
+
+@query(
+    "op10_exact_dedup",
+    r"""
+    WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
+    g AS (SELECT *, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM t)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decisions(table(spark, sf_dir, "documents"))
