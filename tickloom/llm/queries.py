@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, exact_dedup, simhash, token_counts, token_files
+from tickloom.llm import bpe, exact_dedup, mixing, quality_rules, simhash, token_counts, token_files
 from tickloom.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,54 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op4_mixing",
+    r"""
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+            md5(coalesce(doc_id::VARCHAR, 'null')) AS digest
+        FROM documents),
+    sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+    placed AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS place FROM sums),
+    weighed AS (
+        SELECT source, source_size, [5, 2, 1][place + 1] AS weight, [1.0, 0.5, 1.5][place + 1]::DOUBLE AS strength,
+            [0.0, 1.0, -1.0][place + 1]::DOUBLE AS slope, 3 * source_size AS cap
+        FROM placed),
+    ranked AS (
+        SELECT *, cap::DOUBLE / weight AS brim,
+            row_number() OVER (ORDER BY cap::DOUBLE / weight, source IS NULL, source) AS nth
+        FROM weighed),
+    levels AS (
+        SELECT nth, brim, ((SELECT sum(source_size) FROM sums)
+                - sum(cap) OVER (ORDER BY nth) + cap)::DOUBLE
+            / sum(weight) OVER (ORDER BY nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM ranked),
+    aimed AS (
+        SELECT *, least(cap::DOUBLE, weight * (SELECT min_by(level, nth) FROM levels WHERE level <= brim)) AS target
+        FROM ranked),
+    laid AS (
+        SELECT s.*, a.source_size, a.target, a.strength, a.slope, round(a.target)::BIGINT AS due,
+            (sum(size) OVER (PARTITION BY s.source ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start_word
+        FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source),
+    taken AS (
+        SELECT *, CASE WHEN source_size > 0 THEN (due // source_size) * size
+                + greatest(0, least(due - (due // source_size) * source_size - start_word, size)) ELSE 0 END AS taken,
+            start_word::DOUBLE / target AS share
+        FROM laid)
+    SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
+        CASE WHEN taken > 0 THEN round(least(1.0, CASE WHEN share = 0 THEN 0 ELSE
+            2 * share / (strength + sqrt(strength * strength + 2 * slope * share)) END), 6) END AS first_position
+    FROM taken
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.assign(table(spark, sf_dir, "documents"))
+    position = F.round("first_position", 6).alias("first_position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", position)
