@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, exact_dedup, mixing, quality_rules, simhash, token_counts, token_files
+from tickloom.llm import (
+    bpe,
+    chat_format,
+    exact_dedup,
+    mixing,
+    quality_rules,
+    simhash,
+    token_counts,
+    token_files,
+    url_filters,
+)
 from tickloom.llm.common import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,6 +26,14 @@ ORACLES: dict[str, str] = {}
 
 RANKS = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), "ranks")
 JSON = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+#: Rules of the URL query, as host and path, and what they say.
+RULES = (
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+)
 #: The vocabulary's own end-of-text id.
 END_OF_TEXT = 50256
 
@@ -122,3 +140,41 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.assign(table(spark, sf_dir, "documents"))
     position = F.round("first_position", 6).alias("first_position")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", position)
+
+
+@query("op6_url_filters", url_filters.oracle(RULES))
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query(
+    "op2_chat_format",
+    r"""
+    WITH given AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+    turns AS (
+        SELECT *, lag(role) OVER w AS earlier, row_number() OVER w AS place,
+            6 + 8 + length(regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g'))
+                + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) AS chars
+        FROM given WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    checked AS (
+        SELECT *, CASE WHEN place = 1 THEN role IN ('system', 'user')
+            ELSE (earlier, role) IN (('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) END AS fine
+        FROM turns)
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(chars)::BIGINT AS formatted_chars,
+        bool_and(fine) AND max_by(role, place) = 'assistant' AS valid
+    FROM checked GROUP BY conv_id
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
+    return chat_format.read_back(chat_format.format_turns(given.unionByName(planted)))
