@@ -12,6 +12,7 @@ from tickloom.llm import (
     bpe,
     chat_format,
     exact_dedup,
+    line_dedup,
     mixing,
     quality_rules,
     simhash,
@@ -178,3 +179,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
     return chat_format.read_back(chat_format.format_turns(given.unionByName(planted)))
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.decisions(table(spark, sf_dir, "documents"))
+    removed = F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines")
+    return found.select("doc_id", "n_lines", "n_removed", "n_links", removed)
