@@ -17,7 +17,6 @@ def components(links: DataFrame) -> DataFrame:
     each is written to the shared folder, which ends its lineage, and the one before is removed.
     """
     spark = links.sparkSession
-    kind = links.schema[0].dataType.simpleString()
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges, path, state = _written(edges)
     while True:
@@ -35,9 +34,7 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = new_state
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).select(
-        F.col("node").cast(kind), F.col("root").cast(kind)
-    )
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:

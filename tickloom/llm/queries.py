@@ -77,7 +77,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_simhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), index=simhash.CLOSE)
 
 
 @query(
