@@ -148,9 +148,11 @@ AFTER = """done AS (SELECT v.*, c.exchange, greatest(DATE '2022-01-03', CASE c.e
     FROM coverage v JOIN contracts c USING (contract_id) WHERE status IN ('ok', 'empty')),
 exp AS (SELECT d.*, (SELECT min(trade_date) FROM days t WHERE t.exchange = d.exchange AND t.is_trading AND t.trade_date >= d.range_from) AS expected FROM done d),
 dec AS (SELECT *, CASE WHEN status = 'empty' THEN 'no_data' WHEN first_day > expected THEN 'life_inside_chunk' END AS reason, CAST(least(range_to - range_from + 1, 100) AS INT) AS span FROM exp),
-stp AS (SELECT contract_id, res_id, range_from, range_to, floor, span, k, range_from - 1 - k * span AS ot FROM (SELECT *, unnest(range(0, 24))::INT AS k FROM dec WHERE reason IS NULL)),
+stp AS (SELECT contract_id, res_id, range_from, range_to, floor, span, k, range_from - 1 - k * span AS ot FROM (SELECT *, unnest(range(0, greatest(range_from - floor, 0) + 1))::INT AS k FROM dec WHERE reason IS NULL)),
 old AS (SELECT *, greatest(floor, ot - span + 1) AS of_ FROM stp WHERE ot >= floor),
-free AS (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.contract_id = o.contract_id AND h.res_id = o.res_id AND h.range_from <= of_ AND h.range_to >= ot)),
+isl AS (SELECT *, coalesce(range_from > max(range_to) OVER (PARTITION BY contract_id, res_id ORDER BY range_from, range_to ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, true) AS fresh FROM held),
+mrg AS (SELECT contract_id, res_id, min(range_from) AS range_from, max(range_to) AS range_to FROM (SELECT *, sum(fresh::INT) OVER (PARTITION BY contract_id, res_id ORDER BY range_from, range_to ROWS UNBOUNDED PRECEDING) AS g FROM isl) GROUP BY contract_id, res_id, g),
+free AS (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM mrg h WHERE h.contract_id = o.contract_id AND h.res_id = o.res_id AND h.range_from <= of_ AND h.range_to >= ot)),
 pick AS (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY contract_id, res_id, range_from, range_to ORDER BY free.k) = 1)"""
 
 

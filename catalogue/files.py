@@ -217,7 +217,7 @@ def s8(t: Tables):
 
 def archived(t: Tables) -> str:
     root = session.fresh_path(t.spark, "archive")
-    spec = export.Spec(layout="hive", scope=export.Scope(include_catalog=True))
+    spec = export.Spec(layout="hive")
     export.write_archive(
         export_rows(t, spec), root, spec,
         {"dim_underlying": t.underlyings, "dim_expiry": t.expiries, "dim_contract": t.contracts, "dim_resolution": t.resolutions},
@@ -272,12 +272,34 @@ def s13m(t: Tables):
     return row.select("export_id", "kind", "row_count", (F.col("byte_size") > 0).alias("has_size"), F.length("sha256").alias("digest_length"))
 
 
-@query("s14_file_digests")
+@query(
+    "s14_file_digests",
+    f"""SELECT 'nation=' || c_nationkey AS folder, {B('sum(strlen(c_name) + 1)', 'byte_size')}, sha256(string_agg(c_name || chr(10), '' ORDER BY c_name)) AS sha256
+      FROM customer GROUP BY c_nationkey""",
+)
 def s14(t: Tables):
     path = session.fresh_path(t.spark, "export")
-    spec = export.Spec(denormalise=False)
-    export.write_single(export_rows(t, spec), path, spec)
-    return export.file_digests(t.spark, path)
+    names = t.given("customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("value"))
+    names.repartition("nation").sortWithinPartitions("nation", "value").write.partitionBy("nation").text(path)
+    return export.file_digests(t.spark, path).select("folder", "byte_size", "sha256")
+
+
+@query(
+    "s11_spec_problems",
+    f"""SELECT {B('o_orderkey')}, CASE WHEN f = 'orc' THEN 'format_unknown' WHEN l = 'flat' THEN 'layout_unknown' WHEN c = 'lz77' THEN 'codec_unknown'
+      WHEN l = 'hive' AND f = 'csv' THEN 'tree_needs_parquet' WHEN l = 'hive' AND NOT d THEN 'tree_needs_dimensions' END AS problem
+      FROM (SELECT o_orderkey, ['parquet', 'csv', 'orc'][o_orderkey % 3 + 1] AS f, ['single', 'hive', 'flat'][o_orderkey // 3 % 3 + 1] AS l,
+        ['ZSTD', 'snappy', 'lz77'][o_orderkey // 9 % 3 + 1] AS c, o_custkey % 2 = 0 AS d FROM orders)""",
+)
+def s11(t: Tables):
+    def one_of(n, *names):
+        return F.get(F.array(*map(F.lit, names)), F.expr(f"cast(o_orderkey div {n} % 3 as int)"))
+
+    specs = t.given("orders").select(
+        "o_orderkey", one_of(1, "parquet", "csv", "orc").alias("format"), one_of(3, "single", "hive", "flat").alias("layout"),
+        one_of(9, "ZSTD", "snappy", "lz77").alias("compression"), (F.col("o_custkey") % 2 == 0).alias("denormalise"),
+    )
+    return export.spec_problems(specs).select("o_orderkey", "problem")
 
 
 @query(

@@ -133,7 +133,7 @@ def a16(t: Tables):
     "a17_root_characters",
     q(f"""SELECT {B('count(*)', 'root_count')}, (SELECT string_agg(c, '' ORDER BY c) FROM (SELECT DISTINCT under_symbol[1] AS c FROM history WHERE segment_code = 11)) AS first_chars,
       (SELECT string_agg(c, '' ORDER BY c) FROM (SELECT DISTINCT unnest(string_split(under_symbol[2:], '')) AS c FROM history WHERE segment_code = 11)) AS body_chars,
-      '[7N][A-Z0-9_]*' AS pattern, string_agg(CASE WHEN r[1] = '7' THEN r END, ',' ORDER BY r) AS outliers FROM
+      '[7N][A-Z0-9_]*' AS pattern FROM
       (SELECT DISTINCT under_symbol AS r FROM history WHERE segment_code = 11)"""),
 )
 def a17(t: Tables):
@@ -141,10 +141,17 @@ def a17(t: Tables):
     return registry.character_class(roots).select(
         "root_count", "first_chars", "body_chars",
         F.regexp_replace("pattern", r"^\[N7\]", "[7N]").alias("pattern"),
-        F.array_join("outliers", ",").alias("outliers"),
     )
 
 
+@query(
+    "a17_unusual_roots",
+    q(f"""SELECT r AS root, {B("CAST(r[1] <> '7' AS INT)", 'fits_pattern')} FROM (SELECT DISTINCT under_symbol AS r FROM history WHERE segment_code = 11) WHERE NOT regexp_full_match(r, '[A-Z0-9]+')"""),
+)
+def a17_roots(t: Tables):
+    return registry.unusual_roots(t.master_history.where("segment_code = 11"))
+
+
 @query(
     "a18_bounds_utc",
     q(f"""SELECT {B('contract_id')}, {B('res_id')}, fyers_code, chart_interval, {B('seconds')}, {U('first_ts')}, {U('last_ts')}, {B('row_count', 'rows')}

@@ -37,6 +37,13 @@ def replace_by_key(current: DataFrame, delta: DataFrame, keys: Sequence[str]) ->
     return kept.unionByName(delta.select(*current.columns))
 
 
+def at_least_one(count: int) -> int:
+    """A row count asked for, as it is; below one it is an error."""
+    if int(count) < 1:
+        raise ValueError(f"at least one row must be asked for, not {count}")
+    return int(count)
+
+
 def count_where(condition: Column) -> Column:
     """Rows satisfying a condition, as bigint."""
     return F.count(F.when(condition, F.lit(1)))

@@ -14,7 +14,6 @@ from tickloom.functions import clock, money, rows
 PRICES = ["open", "high", "low", "close"]
 MAX_BARS_PER_ANSWER = 500_000
 DEFAULT_BEFORE = 500
-MAX_BEFORE = 5_000
 DEFAULT_RESOLUTION = "1"
 
 
@@ -134,7 +133,7 @@ def before(
     candles: DataFrame, contract_id: int, res_id: int, ts: str, count: int = DEFAULT_BEFORE
 ) -> DataFrame:
     """The last ``count`` bars before a moment, oldest first. The reverse limit is a top-k."""
-    wanted = max(1, min(int(count), MAX_BEFORE))
+    wanted = rows.at_least_one(count)
     return (
         candles.where(
             (F.col("contract_id") == contract_id)
@@ -154,7 +153,7 @@ def before_each(candles: DataFrame, requests: DataFrame, count: int = DEFAULT_BE
     Bars are counted per day first. Each request reaches back to the latest day from which enough
     bars follow (or to the first day there is), and only that window is read and ranked.
     """
-    wanted = max(1, min(int(count), MAX_BEFORE))
+    wanted = rows.at_least_one(count)
     series = ["contract_id", "res_id"]
     days = candles.groupBy(*series, F.to_date("ts").alias("_d")).agg(F.count("*").alias("_n"))
     so_far = Window.partitionBy(*series).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock, money
-from tickloom.functions.rows import count_where
+from tickloom.functions.rows import at_least_one, count_where
 from tickloom.operators import aggregates, coverage as coverage_ops
 from tickloom.schemas import SEGMENT_CODES
 
-MAX_PAGE = 500
 CONTRACT_SORTS = ["expiry_date", "strike", "fyers_symbol", "rows"]
 
 
@@ -95,8 +94,8 @@ def contract_page(
     when ids do not follow the sort. Null sort values come last ascending, first descending.
     """
     if sort not in CONTRACT_SORTS:
-        raise ValueError(f"unknown sort column {sort!r}. Allowed: {', '.join(CONTRACT_SORTS)}")
-    size = max(1, min(int(limit), MAX_PAGE))
+        raise ValueError(f"contracts cannot be paged by {sort!r}; the choices are {CONTRACT_SORTS}")
+    size = at_least_one(limit)
     page = listed.where(predicate)
     column, tie = F.col(sort), F.col("contract_id")
     if after is not None:
@@ -142,7 +141,7 @@ def expiry_page(
         page = page.where(F.col("expiry_date") <= clock.day(expiry_to))
     if after is not None:
         page = page.where(F.col("expiry_date") > clock.day(after))
-    return with_more_flag(page, [F.asc("expiry_date")], max(1, min(int(limit), MAX_PAGE)))
+    return with_more_flag(page, [F.asc("expiry_date")], at_least_one(limit))
 
 
 def expiry_listing(

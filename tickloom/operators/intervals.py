@@ -32,14 +32,21 @@ def reversed_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.where("range_to < range_from")
 
 
+def refused(ranges: DataFrame) -> DataFrame:
+    """The ranges, failing on the first that ends before it starts."""
+    text = F.concat(F.lit("range ends before it starts: "), F.col("range_from"), F.lit(".."), F.col("range_to"))
+    checked = F.when(F.col("range_to") < F.col("range_from"), F.raise_error(text).cast("date")).otherwise(F.col("range_to"))
+    return ranges.withColumn("range_to", checked)
+
+
 def merge(ranges: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Coalesce ranges that overlap or touch."""
+    """Coalesce ranges that overlap or touch. A reversed range is an error."""
     order = Window.partitionBy(*keys).orderBy("range_from")
     reach = F.max("range_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.when(
         reach.isNull() | (F.col("range_from") > F.date_add(reach, 1)), F.lit(1)
     ).otherwise(F.lit(0))
-    marked = longest_per_start(ranges, keys).withColumn("_start", starts)
+    marked = longest_per_start(refused(ranges), keys).withColumn("_start", starts)
     islands = marked.withColumn("_island", F.sum("_start").over(order))
     return (
         islands.groupBy(*keys, "_island")

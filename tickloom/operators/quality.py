@@ -22,7 +22,7 @@ def worst_duplicates(candles: DataFrame, limit: int = 50) -> DataFrame:
     return (
         duplicate_bars(candles)
         .orderBy(F.desc("copies"), "contract_id", "res_id", "ts")
-        .limit(max(1, limit))
+        .limit(limit)
     )
 
 
@@ -43,7 +43,7 @@ def worst_mismatches(coverage: DataFrame, candles: DataFrame, limit: int = 200)
     return (
         ledger_mismatches(coverage, candles)
         .orderBy(F.desc(F.abs(F.col("claimed") - F.col("actual"))), *SERIES)
-        .limit(max(1, limit))
+        .limit(limit)
     )
 
 

@@ -16,6 +16,8 @@ VALID_PAIRS = [(10, 10), (10, 11), (10, 12), (11, 20), (12, 10), (12, 11), (12,
 TICKER_PATTERN = r"^(?:NSE|BSE|MCX):[A-Z0-9&_.\-]+$"
 INDEX_TYPE_CODE = 10
 MIRRORED = ["NSE", "BSE", "MCX"]
+#: Characters of one kind that are still listed one by one.
+FEW = 4
 
 # The built-in roots.
 BUILTIN_ROOTS = [
@@ -30,6 +32,11 @@ ROOTS = (
 )
 
 
+def _code(name: Column | str, codes: dict[str, int]) -> Column:
+    """The numeric code of a name, null when it has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for item in codes.items() for x in item]), F.col(name) if isinstance(name, str) else name)
+
+
 def builtin_roots(spark) -> DataFrame:
     """The four built-in roots."""
     return spark.createDataFrame([(*r, True) for r in BUILTIN_ROOTS], ROOTS)
@@ -131,7 +138,7 @@ def merge_roots(base: DataFrame, candidates: DataFrame) -> DataFrame:
             F.struct(
                 "fyers_symbol", "display_name", "exchange", "instrument_kind", "derivative_segment"
             ),
-            F.when(F.col("exchange") == "NSE", 0).otherwise(1),
+            F.struct(_code("exchange", EXCHANGE_CODES).isNull(), _code("exchange", EXCHANGE_CODES), "exchange", "fyers_symbol"),
         ).alias("new")
     )
     old = base.select("root", F.struct(*[c for c in base.columns if c != "root"]).alias("old"))
@@ -162,61 +169,43 @@ def merge_roots(base: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def _roots(derivatives: DataFrame) -> DataFrame:
+    return derivatives.select(F.upper(F.trim("under_symbol")).alias("root")).where("root <> ''").distinct()
+
+
+def unusual_roots(derivatives: DataFrame) -> DataFrame:
+    """Roots with other characters than capitals and digits, and whether the pattern still takes them."""
+    return _roots(derivatives).where(~F.col("root").rlike("^[A-Z0-9]+$")).select(
+        "root", F.col("root").rlike(ROOT_PATTERN).alias("fits_pattern")
+    )
+
+
 def character_class(derivatives: DataFrame) -> DataFrame:
-    """Which characters roots actually use, as one row.
+    """Which characters roots use at the start and after it, and the pattern that follows, as one row.
 
-    Characters are made distinct on executors, so what is gathered is an alphabet and a list of
-    unusual roots, not the roots.
+    Characters are made distinct before they are gathered, so what meets in a row is an alphabet.
+    A kind of character used more than ``FEW`` times over stands as its whole range.
     """
-    roots = (
-        derivatives.select(F.upper(F.trim("under_symbol")).alias("root")).where("root <> ''").distinct()
+    roots = _roots(derivatives)
+    used = roots.select(F.posexplode(F.split("root", "")).alias("at", "c")).where("c <> ''")
+    used = used.select(F.when(F.col("at") == 0, "first").otherwise("body").alias("part"), "c").distinct()
+    kinds = used.withColumn("kind", F.expr("CASE WHEN c BETWEEN 'A' AND 'Z' THEN 0 WHEN c BETWEEN '0' AND '9' THEN 1 ELSE 2 END"))
+    spans = F.create_map(F.lit(0), F.lit("A-Z"), F.lit(1), F.lit("0-9"))
+    shown = F.when(F.col("c") == "-", "\\-").otherwise(F.col("c"))
+    by_kind = kinds.groupBy("part", "kind").agg(
+        F.array_join(F.sort_array(F.collect_list("c")), "").alias("chars"),
+        F.when((F.count("c") > FEW) & (F.col("kind") < 2), spans[F.col("kind")])
+        .otherwise(F.array_join(F.sort_array(F.collect_list(shown)), "")).alias("piece"),
     )
-    chars = roots.select(
-        F.posexplode(F.split("root", "")).alias("position", "c")
-    ).where("c <> ''").select((F.col("position") == 0).alias("is_first"), "c").distinct()
-    alphabet = chars.groupBy().agg(
-        F.sort_array(F.collect_list(F.when(F.col("is_first"), F.col("c")))).alias("first"),
-        F.sort_array(F.collect_list(F.when(~F.col("is_first"), F.col("c")))).alias("body"),
+    parts = by_kind.groupBy("part").agg(
+        F.array_join(F.sort_array(F.flatten(F.collect_list(F.split("chars", "")))), "").alias("chars"),
+        F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("kind", "piece"))), lambda x: x["piece"]), ""), F.lit("]")).alias("piece"),
     )
-    unusual = roots.groupBy().agg(
-        F.count("*").alias("root_count"),
-        F.sort_array(F.collect_list(F.when(~F.col("root").rlike(ROOT_PATTERN), F.col("root")))).alias(
-            "outliers"
-        ),
-        F.slice(
-            F.sort_array(
-                F.collect_list(F.when(~F.col("root").rlike("^[A-Z0-9]+$"), F.col("root")))
-            ),
-            1,
-            8,
-        ).alias("examples"),
-    )
-
-    def group(chars_column: str) -> Column:
-        letters = F.filter(chars_column, lambda c: c.rlike("[A-Za-z]"))
-        digits = F.filter(chars_column, lambda c: c.rlike("[0-9]"))
-        other = F.transform(
-            F.filter(chars_column, lambda c: ~c.rlike("[A-Za-z0-9]")),
-            lambda c: F.when(c == "-", "\\-").otherwise(c),
-        )
-        return F.concat(
-            F.lit("["),
-            F.when(F.size(letters) > 4, "A-Z").otherwise(F.array_join(letters, "")),
-            F.when(F.size(digits) > 4, "0-9").otherwise(F.array_join(digits, "")),
-            F.array_join(other, ""),
-            F.lit("]"),
-        )
-
-    # Two one-row tables stacked and folded into one row.
-    parts = unusual.unionByName(alphabet, allowMissingColumns=True)
-    one = parts.agg(*[F.first(c, ignorenulls=True).alias(c) for c in parts.columns])
-    return one.select(
-        "root_count",
-        F.array_join("first", "").alias("first_chars"),
-        F.array_join("body", "").alias("body_chars"),
-        F.concat(group("first"), group("body"), F.lit("*")).alias("pattern"),
-        "examples",
-        "outliers",
+    both = parts.groupBy().pivot("part", ["first", "body"]).agg(F.first("chars").alias("chars"), F.first("piece").alias("piece"))
+    count = roots.agg(F.count("*").alias("root_count"))
+    return both.select(
+        count.scalar().alias("root_count"), "first_chars", "body_chars",
+        F.concat("first_piece", F.coalesce("body_piece", F.lit("[]")), F.lit("*")).alias("pattern"),
     )
 
 
@@ -224,17 +213,12 @@ def mirror(declared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Declared underlyings with their numeric codes; returns (mirrored, skipped with a reason)."""
     exchange, segment = F.upper("exchange"), F.upper("segment")
 
-    def code(name: Column, codes: dict[str, int]) -> Column:
-        return F.try_element_at(
-            F.create_map(*[F.lit(x) for item in codes.items() for x in item]), name
-        )
-
     coded = declared.withColumns(
         {
             "exchange": exchange,
             "segment": segment,
-            "exchange_code": code(exchange, EXCHANGE_CODES),
-            "segment_code": code(segment, SEGMENT_CODES),
+            "exchange_code": _code(exchange, EXCHANGE_CODES),
+            "segment_code": _code(segment, SEGMENT_CODES),
         }
     )
     pair = F.struct("exchange_code", "segment_code")

@@ -24,7 +24,6 @@ BYTES_PER_ROW = 15.21
 REQUESTS_PER_MINUTE = 170
 DAILY_BUDGET = 100_000
 SWEEP_SHARE = 0.70
-MAX_BACKWARD_STEPS = 24
 DISCOVERY_WINDOW_DAYS = 366
 TRAILING_DISCOVERY_DAYS = 365
 SECONDS_CODES = ["5S", "10S", "15S", "30S", "45S"]
@@ -396,7 +395,8 @@ def after_chunk(
 
     ``results`` is ``(contract_id, res_id, exchange, range_from, range_to, status, first_ts)``,
     ``floors`` is ``(contract_id, floor)``. Older chunks have the fetched chunk's own length; the
-    newest one not inside a ledger row is taken, within 24 steps and above the floor.
+    newest one that is not all held is taken, down to the floor: it holds the last day before the
+    fetched chunk that no merged ledger range covers, so no step is tried one by one.
     """
     span = F.greatest(
         F.least(clock.span_days(F.col("range_from"), F.col("range_to")), F.lit(MAX_DAYS_PER_REQUEST)),
@@ -418,20 +418,27 @@ def after_chunk(
     walking = judged.where("reason IS NULL AND date_sub(range_from, 1) >= floor").select(
         *chunk_key, "_span", "floor"
     )
-    steps = F.least(
-        F.ceil((F.datediff("range_from", "floor")) / F.col("_span")) - 1,
-        F.lit(MAX_BACKWARD_STEPS - 1),
-    ).cast("int")
-    older = walking.withColumn("step", F.explode(F.sequence(F.lit(0), steps))).withColumn(
-        "older_to", F.date_sub(F.col("range_from"), 1 + F.col("step") * F.col("_span"))
-    ).withColumn(
-        "older_from", F.greatest(F.col("floor"), F.date_sub("older_to", F.col("_span") - 1))
-    )
-    free = intervals.contained_in(
-        older, intervals.held(coverage), "older_from", "older_to", how="left_anti"
-    )
-    next_chunk = free.groupBy(*chunk_key).agg(
-        F.min_by(F.struct("older_from", "older_to"), "step").alias("n")
+    merged = intervals.merge(intervals.held(coverage)).select(
+        *SERIES, F.col("range_from").alias("_held_from"), F.col("range_to").alias("_held_to")
+    )
+    day_before = F.date_sub("range_from", 1)
+    # Merged ranges are apart, so a day lies in one of them at most.
+    covered = walking.alias("w").join(
+        merged.alias("m"),
+        reduce(lambda a, b: a & b, [F.col(f"w.{k}") == F.col(f"m.{k}") for k in SERIES])
+        & day_before.between(F.col("_held_from"), F.col("_held_to")),
+        "left",
+    ).select("w.*", F.coalesce(F.date_sub("_held_from", 1), day_before).alias("_missing"))
+    step = F.floor(F.datediff(day_before, "_missing") / F.col("_span")).cast("int")
+    older_to = F.date_sub("range_from", 1 + step * F.col("_span"))
+    next_chunk = covered.where("_missing >= floor").groupBy(*chunk_key).agg(
+        F.max_by(
+            F.struct(
+                F.greatest(F.col("floor"), F.date_sub(older_to, F.col("_span") - 1)).alias("older_from"),
+                older_to.alias("older_to"),
+            ),
+            older_to,
+        ).alias("n")
     )
     return judged.join(next_chunk, chunk_key, "left").select(
         *SERIES,

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tickloom import schemas
 from tickloom.functions import clock, money
 
-PAYLOAD = "s string, columns array<string>, candles array<array<string>>"
+PAYLOAD = "s string, columns array<string>, candles array<array<string>>, _corrupt_record string"
+STATUSES = ["ok", "no_data"]
 
 # The vendor's column names and the names they take here.
 ALIASES = {
@@ -36,9 +37,9 @@ def parse(raw: DataFrame, payload: str = "payload") -> DataFrame:
     body = F.from_json(F.col(payload), PAYLOAD)
     return raw.withColumn("_body", body).select(
         *[c for c in raw.columns if c != payload],
-        F.col("_body.s").alias("s"),
+        F.when(F.col("_body._corrupt_record").isNull(), F.col("_body.s")).alias("s"),
         F.transform("_body.columns", lambda c: F.lower(F.trim(c))).alias("columns"),
-        F.coalesce("_body.candles", F.array().cast("array<array<string>>")).alias("candles"),
+        F.col("_body.candles").alias("candles"),
     )
 
 
@@ -68,17 +69,22 @@ def refusal() -> Column:
     short = F.exists("candles", lambda r: F.size(r) < F.size("columns"))
 
     def row_problem(r: Column) -> Column:
+        numbers = [at(r, "timestamp"), at(r, "volume")]
         integers = F.when(
-            money.wide(at(r, "timestamp")).isNull() | money.wide(at(r, "volume")).isNull(),
-            F.lit("integer_not_a_number"),
+            reduce(lambda a, b: a | b, [money.wide(F.trim(n)).isNull() for n in numbers]), F.lit("integer_not_a_number")
+        ).when(
+            reduce(lambda a, b: a | b, [money.whole(n, "bigint").isNull() for n in numbers]), F.lit("integer_out_of_range")
         )
-        return _first_problem(integers, *[money.price_problem(at(r, p)) for p in PRICES])
+        oi = at(r, "open_interest")
+        interest = F.when(oi.isNotNull() & money.whole(oi, "bigint").isNull(), F.lit("open_interest_unusable"))
+        return _first_problem(integers, *[money.price_problem(at(r, p)) for p in PRICES], interest)
 
     first_bad = F.get(
         F.filter(F.transform("candles", row_problem), lambda p: p.isNotNull()), F.lit(0)
     )
     return (
         F.when(F.col("columns").isNull(), "columns_missing")
+        .when(F.col("candles").isNull(), "candles_missing")
         .when(repeated, "column_repeated")
         .when(absent, "column_missing")
         .when(short, "row_too_short")
@@ -87,8 +93,21 @@ def refusal() -> Column:
 
 
 def classify(parsed: DataFrame) -> DataFrame:
-    """Parsed envelopes with a ``reason`` column; a no-data answer has no rows and no reason."""
-    return parsed.withColumn("reason", F.when(F.col("s") != "no_data", refusal()))
+    """Parsed envelopes with a ``reason`` column.
+
+    Only an explicit no-data answer may come without rows. What cannot be decoded, or has another
+    status, is refused: it says nothing about the window and must not empty it.
+    """
+    status = F.coalesce("s", F.lit(""))
+    reason = (
+        F.when(F.col("s").isNull(), "undecodable")
+        .when(~status.isin(STATUSES), F.concat(F.lit("status_"), status))
+        .when(status == "ok", refusal())
+    )
+    rows = F.when(status == "ok", F.col("candles"))
+    return parsed.withColumn("reason", reason).withColumn(
+        "candles", F.coalesce(rows, F.array().cast("array<array<string>>"))
+    )
 
 
 def bars(classified: DataFrame, keep: list[str] | None = None) -> DataFrame:
