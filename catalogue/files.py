@@ -26,8 +26,8 @@ def day_envelopes(t: Tables):
         "high": F.col("high").cast("string"),
         "low": F.col("low").cast("string"),
         "close": F.col("close").cast("string"),
-        "volume": F.col("volume").cast("string"),
-        "open_interest": F.coalesce(F.col("oi").cast("string"), F.lit("null")),
+        "volume": F.concat(F.col("volume").cast("string"), F.when(d == 19, "9" * 20).otherwise("")),
+        "open_interest": F.when(d == 20, '"x"').otherwise(F.coalesce(F.col("oi").cast("string"), F.lit("null"))),
     }
 
     def both(names):
@@ -51,15 +51,22 @@ def day_envelopes(t: Tables):
         F.first("names").alias("names"), F.sort_array(F.collect_list("row")).alias("rows")
     )
     empty = F.dayofmonth("day") == 12
-    body = F.concat(F.lit('{"s":"ok","columns":'), "names", F.lit(',"candles":['), F.array_join("rows", ","), F.lit("]}"))
+    dom = F.dayofmonth("day")
+    status = F.when(dom == 17, "{").when(dom == 18, '{"s":"error",').otherwise('{"s":"ok",')
+    body = F.concat(status, F.lit('"columns":'), "names", F.lit(',"candles":['), F.array_join("rows", ","), F.lit("]}"))
     return packed.select(
         "contract_id", "res_id", F.col("day").alias("range_from"), F.col("day").alias("range_to"),
-        F.when(empty, '{"s":"no_data","candles":[]}').otherwise(body).alias("payload"),
+        F.when(empty, '{"s":"no_data","candles":[]}')
+        .when(dom == 14, "<html>502 Bad Gateway</html>")
+        .when(dom == 15, F.lit(None).cast("string"))
+        .when(dom == 16, F.substring(body, 1, 90))
+        .otherwise(body)
+        .alias("payload"),
     )
 
 
 GOOD = """good AS (SELECT contract_id, res_id, date_trunc('second', ts) AS ts, open, high, low, close, volume, CASE WHEN day(ts) = 11 THEN NULL ELSE oi END AS oi
-  FROM candles WHERE day(ts) NOT IN (7, 8, 9, 10, 12))"""
+  FROM candles WHERE day(ts) NOT IN (7, 8, 9, 10, 12, 14, 15, 16, 17, 18, 19, 20))"""
 
 
 @query("s2_envelope_bars", qq(GOOD, f"SELECT {B('contract_id')}, {B('res_id')}, {T('ts')}, {D('open')}, {D('high')}, {D('low')}, {D('close')}, {B('volume')}, {B('oi')} FROM good"))
@@ -69,8 +76,8 @@ def s2(t: Tables):
 
 @query(
     "s2_envelope_quarantine",
-    q(f"""SELECT DISTINCT {B('contract_id')}, {B('res_id')}, {S('CAST(ts AS DATE)', 'range_from')}, CASE day(ts) WHEN 7 THEN 'column_missing' WHEN 8 THEN 'column_repeated' WHEN 9 THEN 'price_needs_more_decimals' ELSE 'row_too_short' END AS reason
-      FROM candles WHERE day(ts) IN (7, 8, 9, 10)"""),
+    q(f"""SELECT DISTINCT {B('contract_id')}, {B('res_id')}, {S('CAST(ts AS DATE)', 'range_from')}, CASE day(ts) WHEN 7 THEN 'column_missing' WHEN 8 THEN 'column_repeated' WHEN 9 THEN 'price_needs_more_decimals' WHEN 10 THEN 'row_too_short' WHEN 18 THEN 'status_error' WHEN 19 THEN 'integer_out_of_range' WHEN 20 THEN 'open_interest_unusable' ELSE 'undecodable' END AS reason
+      FROM candles WHERE day(ts) IN (7, 8, 9, 10, 14, 15, 16, 17, 18, 19, 20)"""),
 )
 def s2q(t: Tables):
     return envelopes.ingest(day_envelopes(t))[1].select("contract_id", "res_id", "range_from", "reason")
@@ -348,7 +355,7 @@ def streamed(t: Tables) -> dict:
     return ingest.tables(t.spark, root)
 
 
-LEFT = GOOD.replace("NOT IN (7, 8, 9, 10, 12)", "NOT IN (1, 2, 3, 4, 5, 7, 8, 9, 10, 12)").replace("good AS", "stay AS")
+LEFT = GOOD.replace("NOT IN (7, 8, 9, 10, 12, 14, 15, 16, 17, 18, 19, 20)", "NOT IN (1, 2, 3, 4, 5, 7, 8, 9, 10, 12, 14, 15, 16, 17, 18, 19, 20)").replace("good AS", "stay AS")
 
 
 @query("x1_stream_bars", qq(LEFT, f"SELECT {B('contract_id')}, {B('res_id')}, {T('ts')}, {D('open')}, {D('close')}, {B('volume')}, {B('oi')} FROM stay"))
@@ -359,7 +366,7 @@ def x1(t: Tables):
 @query(
     "x1_stream_ledger",
     q(f"""SELECT {B('contract_id')}, {S('d', 'range_from')}, CASE WHEN day(d) < 6 OR day(d) = 12 THEN 'empty' ELSE 'ok' END AS status, {B('CASE WHEN day(d) < 6 OR day(d) = 12 THEN 0 ELSE n END', 'row_count')}
-      FROM (SELECT contract_id, CAST(ts AS DATE) AS d, count(*) AS n FROM candles WHERE day(ts) NOT IN (7, 8, 9, 10) GROUP BY ALL)"""),
+      FROM (SELECT contract_id, CAST(ts AS DATE) AS d, count(*) AS n FROM candles WHERE day(ts) NOT IN (7, 8, 9, 10, 14, 15, 16, 17, 18, 19, 20) GROUP BY ALL)"""),
 )
 def x1_ledger(t: Tables):
     return streamed(t)["coverage"].select("contract_id", "range_from", "status", "row_count")

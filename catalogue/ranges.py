@@ -137,13 +137,17 @@ def c1(t: Tables):
     return t.days
 
 
-SPANS = """spans AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange,
-  DATE '2022-01-01' + CAST(o_orderkey % 700 AS INT) AS a, DATE '2022-01-01' + CAST(o_orderkey % 700 + o_custkey % 90 AS INT) AS b FROM orders)"""
+# A few reach outside the day table, before it and after it.
+SPANS = """spans AS (SELECT o_orderkey, exchange, a, b, CASE WHEN a < DATE '2018-01-01' OR b > DATE '2026-12-31' THEN 'day_not_in_calendar' END AS why FROM (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange,
+    DATE '2022-01-01' + CAST(o_orderkey % 700 + far AS INT) AS a, DATE '2022-01-01' + CAST(o_orderkey % 700 + far + o_custkey % 90 AS INT) AS b
+  FROM (SELECT *, CASE o_orderkey % 97 WHEN 0 THEN -6000 WHEN 1 THEN 6000 ELSE 0 END AS far FROM orders)))"""
 
 
 def spans(t: Tables):
     k = F.col("o_orderkey")
-    start = F.date_add(clock.day("2022-01-01"), (k % 700).cast("int"))
+    far = F.when(k % 97 == 0, -6000).when(k % 97 == 1, 6000).otherwise(0)
+    start = F.date_add(clock.day("2022-01-01"), (k % 700 + far).cast("int"))
     return t.given("orders").select(
         k, F.when(k % 2 == 0, "NSE").otherwise("BSE").alias("exchange"), start.alias("day_from"),
         F.date_add(start, (F.col("o_custkey") % 90).cast("int")).alias("day_to"),
@@ -152,30 +156,30 @@ def spans(t: Tables):
 
 @query(
     "c2_count_trading_days",
-    qq(SPANS, f"SELECT {B('o_orderkey')}, {B('(SELECT count(*) FROM days d WHERE d.exchange = s.exchange AND d.is_trading AND d.trade_date BETWEEN a AND b)', 'trading_days')} FROM spans s"),
+    qq(SPANS, f"SELECT {B('o_orderkey')}, {B('CASE WHEN why IS NULL THEN (SELECT count(*) FROM days d WHERE d.exchange = s.exchange AND d.is_trading AND d.trade_date BETWEEN a AND b) END', 'trading_days')}, why AS calendar_reason FROM spans s"),
 )
 def c2(t: Tables):
-    return calendar.count_between(spans(t), t.days).select("o_orderkey", "trading_days")
+    return calendar.count_between(spans(t), t.days).select("o_orderkey", "trading_days", "calendar_reason")
 
 
 SHIFTS = f"""{SPANS}, td AS (SELECT exchange, trade_date, row_number() OVER (PARTITION BY exchange ORDER BY trade_date) AS o FROM days WHERE is_trading),
 upto AS (SELECT d.exchange, d.trade_date AS a, sum(CAST(d.is_trading AS INT)) OVER (PARTITION BY d.exchange ORDER BY d.trade_date) AS u, d.is_trading FROM days d),
-placed AS (SELECT s.o_orderkey, s.exchange, s.a, o_orderkey % 11 - 5 AS n, u, is_trading FROM spans s JOIN upto USING (exchange, a))"""
+placed AS (SELECT s.o_orderkey, s.exchange, s.a, o_orderkey % 11 - 5 AS n, u, is_trading FROM spans s LEFT JOIN upto USING (exchange, a))"""
 
 
 @query(
     "c3_shift_trading_days",
-    qq(SHIFTS, f"""SELECT {B('o_orderkey')}, {B('n')}, {S('CASE WHEN n = 0 THEN a ELSE trade_date END', 'shifted')} FROM placed p
+    qq(SHIFTS, f"""SELECT {B('o_orderkey')}, {B('n')}, {S('CASE WHEN n = 0 THEN a ELSE trade_date END', 'shifted')}, CASE WHEN u IS NULL THEN 'day_not_in_calendar' END AS calendar_reason FROM placed p
       LEFT JOIN td ON td.exchange = p.exchange AND td.o = CASE WHEN n > 0 THEN u + n WHEN is_trading THEN u + n ELSE u + n + 1 END"""),
 )
 def c3(t: Tables):
     asked = spans(t).withColumnRenamed("day_from", "day").withColumn("n", F.col("o_orderkey") % 11 - 5)
-    return calendar.shift(asked, t.days, F.col("n")).select("o_orderkey", "n", "shifted")
+    return calendar.shift(asked, t.days, F.col("n")).select("o_orderkey", "n", "shifted", "calendar_reason")
 
 
 @query(
     "c3_next_inclusive",
-    qq(SPANS, f"SELECT {B('o_orderkey')}, {S('(SELECT min(trade_date) FROM days d WHERE d.exchange = s.exchange AND is_trading AND trade_date >= a)', 'nxt')}, {S('(SELECT max(trade_date) FROM days d WHERE d.exchange = s.exchange AND is_trading AND trade_date <= a)', 'prv')} FROM spans s"),
+    qq(SPANS, f"SELECT {B('o_orderkey')}, {S('CASE WHEN a BETWEEN (SELECT min(trade_date) FROM days) AND (SELECT max(trade_date) FROM days) THEN (SELECT min(trade_date) FROM days d WHERE d.exchange = s.exchange AND is_trading AND trade_date >= a) END', 'nxt')}, {S('CASE WHEN a BETWEEN (SELECT min(trade_date) FROM days) AND (SELECT max(trade_date) FROM days) THEN (SELECT max(trade_date) FROM days d WHERE d.exchange = s.exchange AND is_trading AND trade_date <= a) END', 'prv')} FROM spans s"),
 )
 def c3i(t: Tables):
     asked = spans(t).withColumnRenamed("day_from", "day").select("o_orderkey", "exchange", "day")

@@ -76,3 +76,23 @@ def test_a_master_file_is_split_between_members(spark, tmp_path, indent):
     assert (a.strike_price, a.option_type, a.isin, a.expiry_date) == (None, None, None, None)
     assert (o.strike_price, o.option_type, str(o.expiry_date)) == (Decimal("2950.5000"), "CE", "2026-09-29")
     assert a.row_hash != o.row_hash and len(a.row_hash) == 64
+
+
+@pytest.mark.parametrize(
+    "payload,reason",
+    [
+        (None, "undecodable"), ("<html>502 Bad Gateway</html>", "undecodable"), ('{"s":"ok","columns":["times', "undecodable"),
+        ('{"columns":[],"candles":[]}', "undecodable"), ('{"s":"error","message":"x"}', "status_error"),
+        ('{"s":"ok"}', "columns_missing"), (json.dumps({"s": "ok", "columns": COLUMNS}), "candles_missing"),
+        (json.dumps({"s": "ok", "columns": COLUMNS, "candles": [[*ROW[:5], "9" * 20, 1]]}), "integer_out_of_range"),
+        (json.dumps({"s": "ok", "columns": COLUMNS, "candles": [[*ROW[:6], "x"]]}), "open_interest_unusable"),
+    ],
+)
+def test_what_cannot_be_read_is_refused(spark, payload, reason):
+    raw = spark.createDataFrame([(7, 2, payload)], "contract_id int, res_id int, payload string")
+    good, bad = envelopes.ingest(raw)
+    assert not good.collect() and [b.reason for b in bad.collect()] == [reason]
+
+
+def test_an_empty_answer_is_accepted(spark):
+    assert ingest(spark, COLUMNS, []) == ([], [])

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import calendar, intervals
@@ -90,3 +91,19 @@ def test_shifting_there_and_back_returns_to_the_same_trading_day(spark):
     there = calendar.shift(asks, days, F.lit(5)).select("exchange", F.col("day").alias("start"), F.col("shifted").alias("day"))
     back = calendar.shift(there, days, F.lit(-5))
     assert back.where("NOT (start <=> shifted)").count() == 0
+
+
+def test_reversed_ranges_are_refused(spark):
+    rows = spark.createDataFrame([(1, 2, "2024-01-10", "2024-01-05")], "contract_id int, res_id int, a string, b string")
+    ranges = rows.selectExpr("contract_id", "res_id", "cast(a as date) range_from", "cast(b as date) range_to")
+    with pytest.raises(Exception, match="ends before it starts"):
+        intervals.merge(ranges).collect()
+
+
+def test_the_day_table_reaches_as_far_as_the_requests(spark):
+    spans = spark.sql("SELECT 'NSE' AS exchange, DATE '1990-01-01' AS day_from, DATE '2040-12-31' AS day_to")
+    none = spark.sql("SELECT 'NSE' AS exchange, DATE '1990-01-01' AS holiday_date, DATE '1990-01-01' AS trade_date")
+    days = calendar.day_table_over(spans, none, none.limit(0))
+    counted = calendar.count_between(spans, days).first()
+    assert counted["trading_days"] == sum(r["is_trading"] for r in days.collect()) > 13_000 and counted["calendar_reason"] is None
+    assert calendar.count_between(spans, days.where("trade_date > '2000-01-01'")).first()["calendar_reason"] == calendar.OUTSIDE

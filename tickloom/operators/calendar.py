@@ -14,14 +14,16 @@ from tickloom.functions import clock
 from tickloom.schemas import EXCHANGE_FLOORS
 
 SECONDS_WINDOW_DAYS = 30
+#: Why a request has no trading days: it reaches outside the day table.
+OUTSIDE = "day_not_in_calendar"
 
 
 def day_table(
-    exchanges: DataFrame, first: str, last: str, holidays: DataFrame, observed: DataFrame
+    exchanges: DataFrame, first: str | Column, last: str | Column, holidays: DataFrame, observed: DataFrame
 ) -> DataFrame:
     """Every calendar day of ``[first, last]`` for each exchange with ``is_trading``."""
     days = exchanges.select("exchange").distinct().select(
-        "exchange", F.explode(F.sequence(clock.day(first), clock.day(last))).alias("trade_date")
+        "exchange", F.explode(F.sequence(*[clock.day(d) if isinstance(d, str) else d for d in (first, last)])).alias("trade_date")
     )
     seen = observed.select("exchange", "trade_date").distinct().withColumn("_seen", F.lit(True))
     closed = (
@@ -42,6 +44,13 @@ def day_table(
     )
 
 
+def day_table_over(spans: DataFrame, holidays: DataFrame, observed: DataFrame) -> DataFrame:
+    """The day table that spans all of ``(exchange, day_from, day_to)``."""
+    edges = spans.agg(F.min("day_from").alias("first"), F.max("day_to").alias("last"))
+    first, last = (edges.select(F.date_format(c, "yyyy-MM-dd")).scalar().cast("date") for c in ("first", "last"))
+    return day_table(spans, first, last, holidays, observed)
+
+
 def ordinals(days: DataFrame) -> DataFrame:
     """Each day with the number of trading days up to and including it."""
     order = Window.partitionBy("exchange").orderBy("trade_date")
@@ -51,7 +60,11 @@ def ordinals(days: DataFrame) -> DataFrame:
 
 
 def count_between(requests: DataFrame, days: DataFrame) -> DataFrame:
-    """Trading days in each inclusive ``(exchange, day_from, day_to)``: two ordinal lookups."""
+    """Trading days in each inclusive ``(exchange, day_from, day_to)``: two ordinal lookups.
+
+    A request with an end outside the day table comes back with no count and its reason in
+    ``calendar_reason``.
+    """
     numbered = ordinals(days)
     start = numbered.select(
         "exchange", F.col("trade_date").alias("day_from"),
@@ -60,12 +73,12 @@ def count_between(requests: DataFrame, days: DataFrame) -> DataFrame:
     end = numbered.select(
         "exchange", F.col("trade_date").alias("day_to"), F.col("ordinal").alias("_upto")
     )
+    known = F.col("_upto").isNotNull() & F.col("_before").isNotNull()
     return (
-        requests.join(start, ["exchange", "day_from"])
-        .join(end, ["exchange", "day_to"])
-        .withColumn(
-            "trading_days", F.greatest(F.col("_upto") - F.col("_before"), F.lit(0)).cast("bigint")
-        )
+        requests.join(start, ["exchange", "day_from"], "left")
+        .join(end, ["exchange", "day_to"], "left")
+        .withColumn("trading_days", F.when(known, F.greatest(F.col("_upto") - F.col("_before"), F.lit(0)).cast("bigint")))
+        .withColumn("calendar_reason", F.when(~known, OUTSIDE))
         .drop("_before", "_upto")
     )
 
@@ -73,7 +86,8 @@ def count_between(requests: DataFrame, days: DataFrame) -> DataFrame:
 def shift(requests: DataFrame, days: DataFrame, n: Column, inclusive: bool = False) -> DataFrame:
     """The n-th trading day from each ``(exchange, day)``; negative goes back, 0 stays.
 
-    With ``inclusive`` the day itself counts when it trades, so n=1 is "this day or the next".
+    With ``inclusive`` the day itself counts when it trades, so n=1 is "this day or the next". A day
+    outside the table has no result and its reason in ``calendar_reason``; a result outside has none.
     """
     numbered = ordinals(days)
     own = numbered.select(
@@ -96,10 +110,11 @@ def shift(requests: DataFrame, days: DataFrame, n: Column, inclusive: bool = Fal
     trading = numbered.where("is_trading").select(
         "exchange", F.col("ordinal").alias("_target"), F.col("trade_date").alias("_hit")
     )
-    placed = requests.withColumn("_n", n).join(own, ["exchange", "day"]).withColumn("_target", target)
+    placed = requests.withColumn("_n", n).join(own, ["exchange", "day"], "left").withColumn("_target", target)
     return (
         placed.join(trading, ["exchange", "_target"], "left")
         .withColumn("shifted", F.when(F.col("_n") == 0, F.col("day")).otherwise(F.col("_hit")))
+        .withColumn("calendar_reason", F.when(F.col("_upto").isNull(), OUTSIDE))
         .drop("_n", "_upto", "_trades", "_target", "_hit")
     )
 

@@ -251,7 +251,7 @@ def estimate_rows(
     return (
         counted.withColumn("is_nominal", observed.isNull())
         .withColumn("rows_estimated", F.coalesce(observed, nominal).cast("bigint"))
-        .drop("typical", "session_seconds", "trading_days")
+        .drop("typical", "session_seconds", "trading_days", "calendar_reason")
     )
 
 

@@ -71,7 +71,7 @@ def refusal() -> Column:
     def row_problem(r: Column) -> Column:
         numbers = [at(r, "timestamp"), at(r, "volume")]
         integers = F.when(
-            reduce(lambda a, b: a | b, [money.wide(F.trim(n)).isNull() for n in numbers]), F.lit("integer_not_a_number")
+            reduce(lambda a, b: a | b, [F.isnan(F.coalesce(F.trim(n).try_cast("double"), F.lit(float("nan")))) for n in numbers]), F.lit("integer_not_a_number")
         ).when(
             reduce(lambda a, b: a | b, [money.whole(n, "bigint").isNull() for n in numbers]), F.lit("integer_out_of_range")
         )
