@@ -333,7 +333,7 @@ def s15(t: Tables):
 def w14(t: Tables):
     path = session.fresh_path(t.spark, "candles")
     store.write(t.candles, path, ID_BLOCK)
-    table = store.read(t.spark, path)
+    table = store.read(t.spark, path, ID_BLOCK)
     wrong = store.out_of_order(table).groupBy(*store.FOLDERS).agg(F.count("*").alias("n"))
     return (
         table.groupBy(*store.FOLDERS).agg(F.count("*").alias("bars")).join(wrong, store.FOLDERS, "left")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom import schemas, session
-from tickloom.operators import writes
+from tickloom.operators import aggregates, asof, bars, writes
 from tickloom.sinks import export, store
 from tickloom.streaming import ingest
 
@@ -168,3 +168,29 @@ def test_two_files_of_a_day_keep_the_later_answer(spark):
         spark.createDataFrame([row], ingest.LANDED).write.mode("append").parquet(landing)
     ingest.start(spark, landing, root, files_per_batch=1, available_now=True).awaitTermination()
     assert len(tables(spark, root)[0]) == 5
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_of_the_stored_table_skip_folders(spark):
+    path = session.fresh_path(spark, "candles")
+    store.write(some_candles(spark, 40, 100), path, 8)
+    table = store.read(spark, path, 8)
+    one = bars.window(table, 17, 2, "2024-01-31 00:00:00", "2024-02-02 00:00:00")
+    found = plan_of(one).split("PartitionFilters: [")[1].split("]")[0]
+    assert "id_block" in found and "= 2)" in found and "trade_month" in found
+    want = bars.window(some_candles(spark, 40, 100), 17, 2, "2024-01-31 00:00:00", "2024-02-02 00:00:00")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, want.collect())) != []
+
+    asked = spark.createDataFrame(
+        [(1, 17, 2, datetime(2024, 1, 31), datetime(2024, 2, 2))],
+        "request_id int, contract_id int, res_id smallint, start_ts timestamp_ntz, end_ts timestamp_ntz",
+    )
+    many = bars.windows(table, asked)
+    assert "dynamicpruning" in plan_of(many).lower() and set(many.columns) & set(store.FOLDERS) == set()
+    owners = spark.createDataFrame([(1, 3, "NSE")], "underlying_id int, spot_contract_id int, exchange string")
+    for df in (asof.spot_closes(table, owners), bars.spot_series(table, owners), aggregates.trading_days(table, owners, res_id=2)):
+        assert "dynamicpruning" in plan_of(df).lower()
+        assert df.count() > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions import clock
+from tickloom.functions import clock, folders
 from tickloom.functions.rows import count_where
 from tickloom.schemas import MINUTE_RES_ID
 
@@ -111,10 +111,13 @@ def trading_days(
 ) -> DataFrame:
     """Observed sessions per exchange from spot bars; seeded rows are kept beside them.
 
-    Bars are first reduced per series and day, so no exchange is ever counted in one task.
+    Only spot series are read. Bars are first reduced per series and day, so no exchange is ever counted in one task.
     """
+    spot = underlyings.select(F.col("spot_contract_id").alias("contract_id")).distinct()
+    spot, more = folders.keyed(candles, spot)
     per_series = (
         candles.where(F.col("res_id") == res_id)
+        .join(spot, ["contract_id", *more], "left_semi")
         .groupBy("contract_id", F.to_date("ts").alias("trade_date"))
         .agg(F.min("ts").alias("o"), F.max("ts").alias("c"), F.count("*").alias("n"))
     )

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions import clock
+from tickloom.functions import clock, folders
 
 DAY = 86400
 HOUR = 3600
@@ -108,10 +108,9 @@ def asof_backward(
 def spot_closes(candles: DataFrame, underlyings: DataFrame, res_id: int | None = None) -> DataFrame:
     """``(underlying_id, ts, spot)`` of every underlying's own series."""
     spot = candles if res_id is None else candles.where(F.col("res_id") == res_id)
-    return spot.join(
-        underlyings.select("underlying_id", F.col("spot_contract_id").alias("contract_id")),
-        "contract_id",
-    ).select("underlying_id", "res_id", "ts", F.col("close").alias("spot"))
+    own = underlyings.select("underlying_id", F.col("spot_contract_id").alias("contract_id"))
+    own, more = folders.keyed(candles, own)
+    return spot.join(own, ["contract_id", *more]).select("underlying_id", "res_id", "ts", F.col("close").alias("spot"))
 
 
 def spot_at(
@@ -129,9 +128,8 @@ def spot_at_one(
     candles: DataFrame, underlyings: DataFrame, underlying_id: int, res_id: int, ts: str
 ) -> DataFrame:
     """The single-request form: one aggregate over a pruned scan."""
-    own = spot_closes(candles, underlyings, res_id).where(
-        (F.col("underlying_id") == underlying_id) & (F.col("ts") <= clock.ntz(ts))
-    )
+    mine = underlyings.where(F.col("underlying_id") == underlying_id)
+    own = spot_closes(folders.of_months(candles, last=ts), mine, res_id).where(F.col("ts") <= clock.ntz(ts))
     return own.agg(
         F.max("ts").alias("ts"), F.max_by("spot", "ts").alias("close")
     ).where("ts IS NOT NULL")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions import clock, money, rows
+from tickloom.functions import clock, folders, money, rows
 
 PRICES = ["open", "high", "low", "close"]
 MAX_BARS_PER_ANSWER = 500_000
@@ -20,7 +20,7 @@ DEFAULT_RESOLUTION = "1"
 def window(candles: DataFrame, contract_id: int, res_id: int, start: str, end: str) -> DataFrame:
     """Bars of one series in the half-open ``[start, end)``, ascending."""
     return (
-        candles.where(
+        folders.of_months(folders.of_series(candles, contract_id), start, end).where(
             (F.col("contract_id") == contract_id)
             & (F.col("res_id") == res_id)
             & (F.col("ts") >= clock.ntz(start))
@@ -41,11 +41,12 @@ def windows(candles: DataFrame, requests: DataFrame) -> DataFrame:
     by_day = requests.where("end_ts > start_ts").withColumn(
         "_day", F.explode(F.sequence(F.to_date("start_ts"), F.to_date(last_moment)))
     )
+    by_day, more = folders.keyed(candles, by_day, "_day")
     return (
         candles.withColumn("_day", F.to_date("ts"))
-        .join(by_day, ["contract_id", "res_id", "_day"])
+        .join(by_day, ["contract_id", "res_id", "_day", *more])
         .where((F.col("ts") >= F.col("start_ts")) & (F.col("ts") < F.col("end_ts")))
-        .drop("_day")
+        .drop("_day", *more)
     )
 
 
@@ -135,7 +136,7 @@ def before(
     """The last ``count`` bars before a moment, oldest first. The reverse limit is a top-k."""
     wanted = rows.at_least_one(count)
     return (
-        candles.where(
+        folders.of_months(folders.of_series(candles, contract_id), last=ts).where(
             (F.col("contract_id") == contract_id)
             & (F.col("res_id") == res_id)
             & (F.col("ts") < clock.ntz(ts))
@@ -238,7 +239,6 @@ def hygiene(raw: DataFrame, series: list[str]) -> DataFrame:
 
 def spot_series(candles: DataFrame, underlyings: DataFrame) -> DataFrame:
     """Each underlying's own bars, found through its spot contract id."""
-    return candles.join(
-        underlyings.select("underlying_id", F.col("spot_contract_id").alias("contract_id")),
-        "contract_id",
-    )
+    own = underlyings.select("underlying_id", F.col("spot_contract_id").alias("contract_id"))
+    own, more = folders.keyed(candles, own)
+    return candles.join(own, ["contract_id", *more]).drop(*more)

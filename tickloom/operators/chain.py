@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions import clock, money
+from tickloom.functions import clock, folders, money
 from tickloom.operators import asof, bars
 
 LEG_FIELDS = ["contract_id", "fyers_symbol", "open", "high", "low", "close", "volume", "oi"]
@@ -77,7 +77,7 @@ def chain_at(
     res_id: int,
     ts: str,
 ) -> DataFrame:
-    """The single-chain form: the expiry's id block bounds the scan, the contract row decides."""
+    """The single-chain form: the folders of the expiry's contracts and of the month bound the scan."""
     expiry = expiries.where(
         (F.col("underlying_id") == underlying_id) & (F.col("expiry_date") == clock.day(expiry_date))
     ).select("expiry_id", "contract_id_lo", "contract_id_hi")
@@ -87,9 +87,11 @@ def chain_at(
         .where(F.col("contract_id").between(F.col("contract_id_lo"), F.col("contract_id_hi")))
         .select("contract_id", "strike", "option_type", "fyers_symbol", "lot_size")
     )
+    options, more = folders.keyed(candles, options)
     return (
-        candles.where((F.col("res_id") == res_id) & (F.col("ts") == clock.ntz(ts)))
-        .join(options, "contract_id")
+        folders.of_months(candles, ts, ts)
+        .where((F.col("res_id") == res_id) & (F.col("ts") == clock.ntz(ts)))
+        .join(options, ["contract_id", *more])
         .select(
             "strike", "option_type", "fyers_symbol", "lot_size",
             "open", "high", "low", "close", "volume", "oi",

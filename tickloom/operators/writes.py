@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions import clock
+from tickloom.functions import clock, folders
 from tickloom.functions.rows import latest_per_key, replace_by_key
 from tickloom.operators import aggregates, intervals
 from tickloom.operators.ids import running_totals
@@ -271,7 +271,9 @@ def purge_count(candles: DataFrame, contracts: DataFrame, gone: DataFrame) -> Da
     ids = contracts.join(gone.select("underlying_id"), "underlying_id", "left_semi").select(
         "contract_id", "underlying_id"
     )
-    per_series = candles.groupBy("contract_id").agg(F.count("*").alias("n"))
+    keys, more = folders.keyed(candles, ids.select("contract_id"))
+    kept = candles.join(keys, ["contract_id", *more], "left_semi")
+    per_series = kept.groupBy("contract_id").agg(F.count("*").alias("n"))
     return per_series.join(ids, "contract_id").groupBy("underlying_id").agg(
         F.sum("n").alias("deleted")
     )

@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions import folders as layout
+from tickloom.functions.folders import FOLDERS
 from tickloom.operators import writes
 from tickloom.schemas import BLOCK_SIZE, CANDLE_COLUMNS, CANDLES
-from tickloom.sinks.export import KEY
+from tickloom.sinks.export import KEY, file_count
 
-FOLDERS = ["id_block", "trade_month"]
 BARS_ON_DISK = f"{CANDLES}, id_block int, trade_month string"
 
 
@@ -37,9 +38,10 @@ def write(candles: DataFrame, path: str, ids_per_block: int = BLOCK_SIZE) -> Non
     _write(with_folders(candles, ids_per_block), path, FOLDERS, KEY, "static")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The table with its folder columns; filters on them prune."""
-    return spark.read.schema(BARS_ON_DISK).parquet(path)
+def read(spark: SparkSession, path: str, ids_per_block: int = BLOCK_SIZE) -> DataFrame:
+    """The table with its folder columns; filters on them prune. The block width stays with it."""
+    table = spark.read.schema(BARS_ON_DISK).parquet(path)
+    return table.withColumn("id_block", F.col("id_block").alias("id_block", metadata={layout.WIDTH: ids_per_block}))
 
 
 def touched_folders(chunks: DataFrame, ids_per_block: int = BLOCK_SIZE) -> DataFrame:
@@ -95,7 +97,7 @@ def replace_folders(
 
 def _write(df: DataFrame, path: str, folders: list[str], key: list[str], mode: str) -> None:
     (
-        df.repartitionByRange(*folders, *key)
+        df.repartitionByRange(file_count(df), *folders, *key)
         .sortWithinPartitions(*folders, *key)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", mode)
