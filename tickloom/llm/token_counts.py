@@ -90,11 +90,11 @@ def scan(spark: SparkSession, folder: str, end_id: int, width: int = 2, block: i
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = found.select(
         "*",
-        F.coalesce(F.max(F.element_at("ends", -1)).over(before), F.lit(-1)).alias("end_before"),
+        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)).alias("end_before"),
         F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("docs_before"),
         F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull().alias("is_last"),
     )
-    tail = F.coalesce(F.element_at("ends", -1), F.col("end_before")) + 1
+    tail = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.col("end_before")) + 1
     closing = F.when(F.col("is_last") & (tail < F.col("stop")), F.array("stop")).otherwise(F.array().cast("array<long>"))
     each = carried.select(
         "file",
