@@ -131,10 +131,11 @@ def k6u(t: Tables):
     return backfill.discovery_tasks(wanted_expiries(t), t.expiries, siblings, 4)[1]
 
 
-@query("k6_refused_underlyings", q(f"SELECT {B('underlying_id')}, {B('1', 'discovery_tasks')} FROM expiries WHERE expiry_date = DATE '2024-02-29' AND contracts_discovered_at IS NULL"))
+@query("k6_refused_underlyings", q(f"SELECT {B('underlying_id')}, {B('count(*)', 'discovery_tasks')} FROM expiries GROUP BY underlying_id HAVING count(CASE WHEN underlying_id % 2 = 1 THEN contracts_discovered_at END) = 0"))
 def k6r(t: Tables):
-    later = t.expiries.where("expiry_date = '2024-02-29'").select("underlying_id", "expiry_date")
-    return backfill.refused_underlyings(later, t.expiries)
+    half = F.when(F.col("underlying_id") % 2 == 1, F.col("contracts_discovered_at"))
+    known = t.expiries.withColumn("contracts_discovered_at", half)
+    return backfill.refused_underlyings(known.select("underlying_id", "expiry_date"), known)
 
 
 @query("k7_row_estimate", qq(PLAN, f"SELECT {CHUNK_SQL}, outcome, {B('CAST(nominal AS INT)', 'is_nominal')}, {B('rows_est', 'rows_estimated')} FROM est"))

@@ -152,10 +152,10 @@ def j5(t: Tables):
     "j6_chain_window",
     qq(GRID, f"""SELECT {B('e.underlying_id', 'underlying_id')}, {S('e.expiry_date', 'expiry_date')}, {T('k.ts', 'ts')}, {D('c.strike', 'strike')}, option_type, {D('k.close', 'close')}, {B('k.volume', 'volume')}, {B('k.oi', 'oi')}
       FROM near n JOIN expiries e USING (underlying_id, expiry_date) JOIN contracts c ON c.expiry_id = e.expiry_id AND c.kind = 'OPT' JOIN daily k ON k.contract_id = c.contract_id
-      WHERE n.at_ts = TIMESTAMP '2024-01-05' AND k.ts >= n.at_ts AND k.ts < n.at_ts + INTERVAL 7 DAY AND abs(c.strike - n.atm_strike) <= 2 * strike_step"""),
+      WHERE k.ts >= n.at_ts AND k.ts < n.at_ts + INTERVAL 7 DAY AND abs(c.strike - n.atm_strike) <= 2 * strike_step"""),
 )
 def j6(t: Tables):
-    picks = chain_picks(t).where(F.col("at_ts") == clock.ntz("2024-01-05 00:00:00")).withColumns(
+    picks = chain_picks(t).withColumns(
         {
             "start_ts": F.col("at_ts"),
             "end_ts": F.timestamp_add("DAY", F.lit(7), "at_ts"),

@@ -344,11 +344,12 @@ def i10(t: Tables):
 
 @query(
     "w10_shrink_guard",
-    qq(f"{SNAPS}, stg AS (SELECT event_type AS file, count(*) FILTER (WHERE value < 8) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-30' GROUP BY ALL)",
-       f"SELECT file, {B('n', 'staged')}, {B('row_count', 'previous')}, {B('CAST(n < row_count * 0.5 AS INT)', 'refused')} FROM stg JOIN newest USING (file)"),
+    qq(f"{SNAPS}, stg AS (SELECT CASE WHEN ts >= TIMESTAMP '2024-01-30' AND value < 8 THEN event_type ELSE 'rest' END AS file, count(*) AS n FROM events GROUP BY ALL)",
+       f"SELECT file, {B('n', 'staged')}, {B('coalesce(row_count, 0)', 'previous')}, {B('CAST(coalesce(n < row_count * 0.5, false) AS INT)', 'refused')} FROM stg LEFT JOIN newest USING (file)"),
 )
 def w10(t: Tables):
-    staged = t.given("events").where("ts >= '2024-01-30' AND value < 8").select(F.col("event_type").alias("file"))
+    late = (F.col("ts") >= "2024-01-30") & (F.col("value") < 8)
+    staged = t.given("events").select(F.when(late, F.col("event_type")).otherwise("rest").alias("file"))
     return versioning.shrink_guard(staged, snapshots(t))
 
 
@@ -380,12 +381,12 @@ def w12(t: Tables):
 @query(
     "w12_live_cycles",
     q(f"""SELECT {B('expiry_id')}, CASE WHEN underlying_id <= 3 AND expiry_date = DATE '2024-01-25' THEN 'M' ELSE 'W' END AS expiry_cycle_derived,
-      CASE WHEN underlying_id <= 3 AND expiry_date = DATE '2024-01-25' THEN 'api' ELSE 'derived' END AS expiry_cycle_source FROM expiries"""),
+      CASE WHEN expiry_date = DATE '2024-01-25' THEN 'api' ELSE 'derived' END AS expiry_cycle_source FROM expiries"""),
 )
 def w12_cycles(t: Tables):
-    live = t.given("region").where("r_regionkey < 3").select(
+    live = t.given("region").select(
         (F.col("r_regionkey") + 1).alias("underlying_id"), F.explode(F.array(clock.day("2024-01-25"), clock.day("2030-01-01"))).alias("expiry_date"),
-        F.lit("M").alias("expiry_flag"),
+        F.when(F.col("r_regionkey") < 3, "M").otherwise("W").alias("expiry_flag"),
     )
     return writes.set_cycles(t.expiries, live).select("expiry_id", "expiry_cycle_derived", "expiry_cycle_source")
 
@@ -414,7 +415,7 @@ def w13_count(t: Tables):
 
 @query(
     "w15_snapshot_manifest",
-    qq(f"{SNAPS}, today AS (SELECT event_type AS file, count(*) AS row_count, CAST(count(*) % 4 AS VARCHAR) AS sha256 FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY ALL)",
+    qq(f"{SNAPS}, today AS (SELECT event_type || CASE WHEN ts < TIMESTAMP '2024-01-02' THEN '' ELSE '_later' END AS file, count(*) AS row_count, CAST(count(*) % 4 AS VARCHAR) AS sha256 FROM events GROUP BY ALL)",
        f"""SELECT file, {S('snapshot_date')}, {B('row_count')}, sha256 FROM (SELECT file, snapshot_date, row_count, sha256 FROM snaps WHERE snapshot_date <> DATE '2024-01-30' OR file NOT IN (SELECT file FROM today)
       UNION ALL SELECT file, DATE '2024-01-30', row_count, sha256 FROM today)"""),
 )
@@ -423,14 +424,15 @@ def w15(t: Tables):
 
 
 def todays_snapshots(t: Tables):
-    return t.given("events").where("ts < '2024-01-02'").groupBy(F.col("event_type").alias("file")).agg(
+    file = F.concat("event_type", F.when(F.col("ts") < "2024-01-02", "").otherwise("_later"))
+    return t.given("events").groupBy(file.alias("file")).agg(
         F.count("*").alias("row_count"), (F.count("*") % 4).cast("string").alias("sha256")
     ).select(clock.day("2024-01-30").alias("snapshot_date"), "file", "row_count", "sha256")
 
 
 @query(
     "w15_needs_diff",
-    qq(f"{SNAPS}, today AS (SELECT event_type AS file, CAST(count(*) % 4 AS VARCHAR) AS sha256 FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY ALL)",
+    qq(f"{SNAPS}, today AS (SELECT event_type || CASE WHEN ts < TIMESTAMP '2024-01-02' THEN '' ELSE '_later' END AS file, CAST(count(*) % 4 AS VARCHAR) AS sha256 FROM events GROUP BY ALL)",
        f"SELECT t.file, {B('CAST(n.sha256 IS NULL OR n.sha256 <> t.sha256 AS INT)', 'changed')} FROM today t LEFT JOIN newest n USING (file)"),
 )
 def w15_diff(t: Tables):

@@ -15,17 +15,21 @@ from tickloom.schemas import BLOCK_SIZE, FIRST_BLOCK_BASE, MAX_CONTRACT_ID, SPOT
 
 
 def running_totals(df: DataFrame, amount: str, out: str) -> DataFrame:
-    """Inclusive running sum in (underlying_id, expiry_date) order, in two levels."""
-    totals = df.groupBy("underlying_id").agg(F.sum(amount).alias("_t"))
-    before = totals.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum("_t").over(
-                Window.partitionBy(F.lit(0)).orderBy("underlying_id").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).drop("_t")
+    """Inclusive running sum in (underlying_id, expiry_date) order, in three levels: stretches of
+    4096 underlyings, underlyings inside a stretch, expiries of an underlying."""
+    totals = df.groupBy("underlying_id").agg(F.sum(amount).alias("_t")).withColumn(
+        "_part", F.floor(F.col("underlying_id") / 4096)
+    )
+
+    def earlier(column: str, part: Column, order: str) -> Column:
+        rows = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(column).over(rows), F.lit(0))
+
+    parts = totals.groupBy("_part").agg(F.sum("_t").alias("_p"))
+    parts = parts.select("_part", earlier("_p", F.lit(0), "_part").alias("_parts_before"))
+    before = totals.withColumn("_own_before", earlier("_t", F.col("_part"), "underlying_id")).join(parts, "_part").select(
+        "underlying_id", (F.col("_parts_before") + F.col("_own_before")).alias("_before")
+    )
     inside = F.sum(amount).over(
         Window.partitionBy("underlying_id")
         .orderBy("expiry_date")

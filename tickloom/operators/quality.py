@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tickloom.schemas import BLOCK_SIZE, FIRST_BLOCK_BASE, SPOT_ID_MAX
 
 SERIES = ["contract_id", "res_id"]
+#: Ids in a stretch; ids are 32-bit numbers.
+STRETCH = 1 << 22
 
 
 def duplicate_bars(candles: DataFrame) -> DataFrame:
@@ -153,13 +155,21 @@ def overlap_count(expiries: DataFrame, stretch: int = 1 << 22) -> DataFrame:
 
 
 def blocks_reaching_back(expiries: DataFrame) -> DataFrame:
-    """Expiries whose block starts inside an earlier one: the existence test as one sorted pass
-    over the expiry table (one row per expiry)."""
-    order = Window.partitionBy(F.lit(0)).orderBy("contract_id_lo", "expiry_id")
-    reach = F.max("contract_id_hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    """Expiries whose block starts inside an earlier one.
+
+    The id space is cut into stretches, of which there are 512 at most: the furthest end before a
+    block is the greater of that of earlier stretches and that of earlier blocks of its own.
+    """
+    blocks = expiries.where("contract_id_lo IS NOT NULL").withColumn("part", F.floor(F.col("contract_id_lo") / STRETCH))
+    ends = blocks.groupBy("part").agg(F.max("contract_id_hi").alias("end"))
+    parts = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("part", F.max("end").over(parts).alias("end_before"))
+    order = Window.partitionBy("part").orderBy("contract_id_lo", "expiry_id")
+    own = F.max("contract_id_hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return (
-        expiries.where("contract_id_lo IS NOT NULL")
-        .withColumn("reach", reach)
+        blocks.withColumn("own", own)
+        .join(before, "part")
+        .withColumn("reach", F.greatest("own", "end_before"))
         .where(F.col("reach") >= F.col("contract_id_lo"))
         .select("expiry_id", "contract_id_lo", "reach")
     )

@@ -39,22 +39,16 @@ def changed_chunks(chunks: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def outside_windows(candles: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Bars no chunk of the batch claims. The windows of a series are merged first, so a bar meets
-    at most one."""
-    claimed = intervals.merge(chunks.select(*COVERAGE_KEY)).select(
-        F.col("contract_id").alias("_c"),
-        F.col("res_id").alias("_r"),
-        clock.midnight(F.col("range_from")).alias("_start"),
-        clock.window_end(F.col("range_to")).alias("_end"),
-    )
-    return candles.join(
-        claimed,
-        (F.col("contract_id") == F.col("_c"))
-        & (F.col("res_id") == F.col("_r"))
-        & (F.col("ts") >= F.col("_start"))
-        & (F.col("ts") < F.col("_end")),
-        "left_anti",
-    )
+    """Bars no chunk of the batch claims.
+
+    Windows are whole days: merged first, then laid on their days, so the day is part of the join
+    key and a series with most of the bars is spread over its days.
+    """
+    days = F.explode(F.sequence("range_from", "range_to")).alias("_day")
+    claimed = intervals.merge(chunks.select(*COVERAGE_KEY)).select("contract_id", "res_id", days)
+    return candles.withColumn("_day", F.to_date("ts")).join(
+        claimed, ["contract_id", "res_id", "_day"], "left_anti"
+    ).select(*candles.columns)
 
 
 def replace_chunks(candles: DataFrame, chunks: DataFrame, bars: DataFrame) -> DataFrame:
