@@ -91,10 +91,9 @@ MEMBER_SQL = f"""SELECT fytoken, symbol_ticker, {B('10', 'exchange_code')}, {B('
 def s3(t: Tables):
     path = session.fresh_path(t.spark, "master")
     members = t.master_members(1)
-    text = F.concat(
-        F.lit('"'), "symTicker", F.lit('":'), F.regexp_replace(F.to_json(F.struct(*members.columns)), r"\}$", "")
-    )
-    members.select(text.alias("value")).write.option("lineSep", "},").text(path)
+    text = F.concat(F.lit('"'), "symTicker", F.lit('": '), F.to_json(F.struct(*members.columns)))
+    some = members.groupBy(F.floor(F.xxhash64("symTicker") / (1 << 52))).agg(F.array_join(F.collect_list(text), " ,\n  ").alias("m"))
+    some.select(F.concat(F.lit("{ "), "m", F.lit("\n}")).alias("value")).write.text(path)
     rows, _ = master_files.read(t.spark, path)
     return rows.select(
         "fytoken", "symbol_ticker", "exchange_code", "segment_code", "ex_instrument_type", "under_symbol", "under_fytoken",

@@ -96,3 +96,18 @@ def test_what_cannot_be_read_is_refused(spark, payload, reason):
 
 def test_an_empty_answer_is_accepted(spark):
     assert ingest(spark, COLUMNS, []) == ([], [])
+
+
+def test_no_member_of_a_master_file_is_lost(spark, tmp_path):
+    one = json.dumps(MEMBER)
+    path = tmp_path / "m"
+    path.mkdir()
+    brace = json.dumps({**MEMBER, "symDetails": "A }, B"})
+    (path / "spaced.json").write_text('{ "S1": %s ,\n "S2":%s } ' % (one, one))
+    (path / "brace.json").write_text('{"B1": %s, "B2": %s}' % (brace, one))
+    (path / "cut.json").write_text('{"C1": %s, "C2": %s' % (one, one[:40]))
+    (path / "cut_after.json").write_text('{"D1": %s, "D2": %s' % (one, one))
+    rows, bad = master_files.read(spark, str(path))
+    assert {r.symbol_ticker for r in rows.collect()} == {"S1", "S2", "B2"}
+    problems = {(b.file.rsplit("/", 1)[1], b.problem) for b in bad.collect()}
+    assert problems == {("brace.json", "brace_in_value"), ("cut.json", "file_cut_off"), ("cut_after.json", "file_cut_off")}

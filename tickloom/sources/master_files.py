@@ -1,7 +1,10 @@
 """Instrument-master files: one JSON object keyed by ticker, tens of megabytes each.
 
-The object is split at member boundaries by the text reader, so a large file is read by many
-tasks. Members are flat objects, so ``},`` ends one and nothing else.
+The text reader splits the object at closing braces, so a large file is read by many tasks. Members
+are flat, so a brace ends one unless it stands in a value; a piece cut inside a value has an odd
+number of quotes and is refused, never dropped. In a whole file nothing but white space stands
+between the last member's brace and the object's own. A file without such a piece was cut off, and
+all its members are refused.
 """
 
 from __future__ import annotations
@@ -24,25 +27,27 @@ FIELD_SEPARATOR = "\x1f"
 
 
 def members(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, ticker, member)`` per instrument, read in parallel inside each file."""
-    pieces = spark.read.option("lineSep", "},").text(path).select(
-        F.input_file_name().alias("file"), F.col("value")
+    """``(file, ticker, member, flaw)`` per instrument, read in parallel inside each file."""
+    pieces = spark.read.option("lineSep", "}").text(path).select(
+        F.input_file_name().alias("file"), F.regexp_replace("value", r"^[\s,{]*", "").alias("value")
     )
-    return split_members(pieces)
+    whole = pieces.groupBy("file").agg(F.bool_or(F.col("value") == "").alias("is_whole"))
+    split = split_members(pieces).join(whole, "file")
+    return split.withColumn("flaw", F.when(~F.col("is_whole"), "file_cut_off").otherwise(F.col("flaw"))).drop("is_whole")
 
 
 def split_members(pieces: DataFrame) -> DataFrame:
-    """Pieces of object text to ticker and decoded member."""
-    text = F.regexp_replace("value", r"^[\s{]*", "")
+    """Pieces of object text to ticker, decoded member and what is wrong with the piece."""
+    text = F.col("value")
     ticker = F.regexp_extract(text, r'^"((?:[^"\\]|\\.)*)"\s*:', 1)
-    body = F.regexp_extract(text, r'(?s)^"(?:[^"\\]|\\.)*"\s*:\s*(\{[^}]*)', 1)
-    return (
-        pieces.where(F.length(F.regexp_replace("value", r"[\s{}]", "")) > 0)
-        .select(
-            *[c for c in pieces.columns if c != "value"],
-            ticker.alias("ticker"),
-            F.from_json(F.concat(body, F.lit("}")), MEMBER).alias("member"),
-        )
+    body = F.regexp_extract(text, r'(?s)^"(?:[^"\\]|\\.)*"\s*:\s*(\{.*)', 1)
+    quotes = F.length(F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'[^"]', ""))
+    flaw = F.when(quotes % 2 == 1, "brace_in_value").when(body == "", "no_member")
+    return pieces.where(text != "").select(
+        *[c for c in pieces.columns if c != "value"],
+        ticker.alias("ticker"),
+        F.from_json(F.concat(body, F.lit("}")), MEMBER).alias("member"),
+        flaw.alias("flaw"),
     )
 
 
@@ -96,16 +101,17 @@ def project(member_rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "trading_session": _text("tradingSession"),
         "symbol_details": _text("symDetails"),
     }
+    flaw = F.col("flaw") if "flaw" in member_rows.columns else F.lit(None).cast("string")
     typed = member_rows.select(
-        *(keep or []), *[values[n].cast(t).alias(n) for n, t in schemas.MASTER_COLUMNS]
+        *(keep or []), *[values[n].cast(t).alias(n) for n, t in schemas.MASTER_COLUMNS], flaw.alias("_flaw")
     )
-    problem = F.when(F.col("symbol_ticker").isNull(), "ticker_missing").when(
+    problem = F.when(F.col("_flaw").isNotNull(), F.col("_flaw")).when(F.col("symbol_ticker").isNull(), "ticker_missing").when(
         F.col("fytoken").isNull(), "token_missing"
     )
-    return typed.withColumn("row_hash", row_hash()).withColumn("problem", problem)
+    return typed.withColumn("row_hash", row_hash()).withColumn("problem", problem).drop("_flaw")
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Files to (staged rows, members without ticker or token)."""
+    """Files to (staged rows, refused members with their problem)."""
     rows = project(members(spark, path), keep=["file"])
     return rows.where("problem IS NULL").drop("problem"), rows.where("problem IS NOT NULL")
