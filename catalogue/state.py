@@ -345,7 +345,7 @@ def i10(t: Tables):
 @query(
     "w10_shrink_guard",
     qq(f"{SNAPS}, stg AS (SELECT CASE WHEN ts >= TIMESTAMP '2024-01-30' AND value < 8 THEN event_type ELSE 'rest' END AS file, count(*) AS n FROM events GROUP BY ALL)",
-       f"SELECT file, {B('n', 'staged')}, {B('coalesce(row_count, 0)', 'previous')}, {B('CAST(coalesce(n < row_count * 0.5, false) AS INT)', 'refused')} FROM stg LEFT JOIN newest USING (file)"),
+       f"SELECT file, {B('coalesce(n, 0)', 'staged')}, {B('coalesce(row_count, 0)', 'previous')}, {B('CAST(coalesce(coalesce(n, 0) < row_count * 0.5, false) AS INT)', 'refused')} FROM stg FULL JOIN newest USING (file)"),
 )
 def w10(t: Tables):
     late = (F.col("ts") >= "2024-01-30") & (F.col("value") < 8)

@@ -31,19 +31,19 @@ def build(app: str = "tickloom", master: str | None = None, **conf: str) -> Spar
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, or the checkpoint folder set since.
 
-    Only a local master may fall back to a fresh temporary folder; anywhere else executors would
-    not see it.
+    Only a local master may fall back to a fresh temporary folder, made once; anywhere else
+    executors would not see it.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is unset and the master is not local")
-    chosen = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", chosen)
-    return chosen
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not configured:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset and the master is not local")
+        configured = "file://" + tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(configured)
+    return configured.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
