@@ -21,6 +21,7 @@ table gives no rows. ``cleaned`` returns all columns, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,13 +120,17 @@ class Sets:
         else:
             self.map = self.sum = np.empty(0, np.int64)
 
-    def prefixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the prefix words of the chosen sets: number of the set, word hash, position."""
+    def prefixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the prefix words of the chosen sets: number of the set, 32 bits of the word's hash, position,
+        and such bits of the two words before it, zero where there is none."""
         length = self.size - (PART * self.size + WHOLE - 1) // WHOLE + 1
         length = length[chosen]
         which = np.repeat(chosen, length)
         at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        return which, self.hashes[self.begin[which] + at], at
+        short = (self.hashes >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
+        place = self.begin[which] + at
+        before = [np.where(at >= k, short[place - k], np.uint64(0)) for k in (1, 2)]
+        return which, short[place], at, (before[0] << np.uint64(32)) | before[1]
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -150,7 +155,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def entries(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Prefix words of all sets: word, map, sum, size, position."""
+    """Prefix words of all sets: word, map, sum, size, position, words before."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,22 +167,25 @@ def entries(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     seen = set()
                 names = (sets.sum ^ sets.map).tolist()
                 fresh = [i for i, x in enumerate(names) if not (x in seen or seen.add(x))]
-                which, words, at = sets.prefixes(np.array(fresh, np.int64))
-                word = (words >> np.uint64(16)).astype(np.uint32).view(np.int32)
-                columns = (word, sets.map[which], sets.sum[which], sets.size[which], at)
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["word", "map", "sum", "size", "at"]
-                )
+                which, words, at, before = sets.prefixes(np.array(fresh, np.int64))
+                word = words.astype(np.uint32).view(np.int32)
+                columns = (word, sets.map[which], sets.sum[which], sets.size[which], at, before.view(np.int64))
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                names = ["word", "map", "sum", "size", "at", "before"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.select("text").mapInArrow(run, "word int, map long, sum long, size int, at int")
+    return docs.select("text").mapInArrow(run, "word int, map long, sum long, size int, at int, before long")
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Pairs of sets that the filters leave: map, sum of the smaller and of the larger set."""
+    """Pairs of sets that the filters leave, by their sums.
+
+    Sets that share one of the two words before this one have met there, so most pairs are made
+    once, and not for each prefix word they share.
+    """
     dealt = found.repartition("word").distinct()
-    a = dealt.select("word", *[F.col(c).alias(f"{c}_a") for c in ("map", "sum", "size", "at")])
-    b = dealt.select("word", *[F.col(c).alias(f"{c}_b") for c in ("map", "sum", "size", "at")])
+    a = dealt.select("word", *[F.col(c).alias(f"{c}_a") for c in ("map", "sum", "size", "at", "before")])
+    b = dealt.select("word", *[F.col(c).alias(f"{c}_b") for c in ("map", "sum", "size", "at", "before")])
     both = F.col("size_a") + F.col("size_b")
     least = F.expr(f"({PART} * (size_a + size_b) + {PART + WHOLE - 1}) div {PART + WHOLE}")
     smaller = (F.col("size_a") < F.col("size_b")) | (
@@ -186,13 +194,16 @@ def candidates(found: DataFrame) -> DataFrame:
     )
     after = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
     apart = F.bit_count(F.col("map_a").bitwiseXOR(F.col("map_b")))
+    words = {x: [F.shiftrightunsigned(f"before_{x}", 32), F.col(f"before_{x}").bitwiseAND(F.lit(0xFFFFFFFF))] for x in "ab"}
+    met = reduce(lambda p, q: p | q, [(x != 0) & ((x == words["b"][0]) | (x == words["b"][1])) for x in words["a"]])
     passes = (
         smaller
+        & ~met
         & (F.col("size_a") * WHOLE >= F.col("size_b") * PART)
         & (F.least("at_a", "at_b") + after >= least)
         & (apart <= both - 2 * least)
     )
-    return a.join(b, "word").where(passes).select("map_a", "sum_a", "map_b", "sum_b").distinct()
+    return a.join(b, "word").where(passes).select("sum_a", "sum_b").distinct()
 
 
 def _needed(pairs: DataFrame) -> bytes:
@@ -250,7 +261,8 @@ def links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             F.col("map").alias(f"map_{end}"), F.col("sum").alias(f"sum_{end}"),
             F.col("text").alias(f"text_{end}"), F.col("first").alias(f"first_{end}"),
         )
-        pairs = pairs.join(side, [f"map_{end}", f"sum_{end}"])
+        pairs = pairs.join(side, f"sum_{end}")
+    pairs = pairs.where("map_a <> map_b OR sum_a <> sum_b")
     a, b = words_of(F.col("text_a")), words_of(F.col("text_b"))
     pairs = pairs.withColumn("a", a).withColumn("b", b)
     alike = F.size(F.array_intersect("a", "b")) * (PART + WHOLE) >= (F.size("a") + F.size("b")) * PART
@@ -268,6 +280,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     place = F.struct("no_id", "doc_id", "hash", "line")
     classes = lines.groupBy("map", "sum").agg(F.min(place).alias("first"))
     worded = lines.where("text IS NOT NULL").groupBy("map", "sum").agg(F.min("text").alias("text"), F.min(place).alias("first"))
+    worded = stored(worded, "line-classes")
     linked = links(pairs, worded).groupBy("map", "sum").agg(F.count(F.lit(1)).alias("n_links"), F.min("other_first").alias("other"))
     classes = classes.join(linked, ["map", "sum"], "left")
     keep_first = F.col("other").isNull() | (F.col("first") < F.col("other"))
