@@ -136,6 +136,31 @@ def s4b(t: Tables):
     return payloads.expiry_dates(expiry_payloads(t), ["o_custkey"])[1]
 
 
+SPOILED_SQL = """SELECT {0}, CASE o_orderkey % 4 WHEN 1 THEN 'payload_missing' WHEN 2 THEN 'not_json' ELSE '{1}_missing' END AS reason FROM orders WHERE o_orderkey % 4 <> 0"""
+
+
+def spoiled(t: Tables, whole: str):
+    """A payload per order: three in four cannot be read."""
+    kind = F.col("o_orderkey") % 4
+    text = F.when(kind == 0, whole).when(kind == 2, whole[:-9]).when(kind == 3, '{"other":1}')
+    return t.given("orders").select("o_orderkey", text.alias("payload"))
+
+
+@query("s4_undecodable", q(SPOILED_SQL.format(B("o_orderkey"), "expiry_dates")))
+def s4_spoiled(t: Tables):
+    return payloads.undecodable(spoiled(t, '{"expiry_dates":{"futures":["2024-01-25"],"options":[]}}'), ["o_orderkey"], "expiries")
+
+
+@query("s5_undecodable", q(SPOILED_SQL.format(B("o_orderkey"), "contracts")))
+def s5_spoiled(t: Tables):
+    return payloads.undecodable(spoiled(t, '{"contracts":{"futures":["A24JANFUT"],"options":[]}}'), ["o_orderkey"], "contracts")
+
+
+@query("s6_undecodable", q(SPOILED_SQL.format(B("o_orderkey"), "optionsChain")))
+def s6_spoiled(t: Tables):
+    return payloads.undecodable(spoiled(t, '{"optionsChain":[{"symbol":"A"}],"expiryData":[]}'), ["o_orderkey"], "chain")
+
+
 @query("u3_date_membership", qq(EXPIRY_LISTS, f"SELECT {S('d', 'expiry_date')}, {B('CAST(bool_or(f) AS INT)', 'has_futures')}, {B('CAST(bool_or(NOT f) AS INT)', 'has_options')} FROM listed GROUP BY d"))
 def u3(t: Tables):
     everywhere = expiry_payloads(t).withColumn("one", F.lit(1))

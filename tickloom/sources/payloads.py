@@ -19,6 +19,21 @@ CHAIN_PAYLOAD = (
     f"optionsChain array<struct<{LEG}>>, indiavixData struct<ltp: string>"
 )
 SOURCE_ARRAYS = ["futures", "options"]
+#: The member without which a payload of a kind says nothing.
+BODIES = {"expiries": (EXPIRY_PAYLOAD, "expiry_dates"), "contracts": (CONTRACT_PAYLOAD, "contracts"), "chain": (CHAIN_PAYLOAD, "optionsChain")}
+
+
+def undecodable(raw: DataFrame, keys: list[str], kind: str, payload: str = "payload") -> DataFrame:
+    """Keys and reason of payloads that cannot be read as their kind: no row of them goes anywhere else."""
+    schema, needed = BODIES[kind]
+    body = F.from_json(payload, f"{schema}, _corrupt_record string")
+    judged = raw.withColumn("_b", body).withColumn(
+        "reason",
+        F.when(F.col(payload).isNull(), "payload_missing")
+        .when(F.col("_b").isNull() | F.col("_b._corrupt_record").isNotNull(), "not_json")
+        .when(F.col(f"_b.{needed}").isNull(), f"{needed}_missing"),
+    )
+    return judged.where("reason IS NOT NULL").select(*keys, "reason")
 
 
 def _tagged(path: str, source: str) -> Column:
