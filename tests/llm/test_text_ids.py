@@ -79,6 +79,8 @@ def test_encode_and_decode_tables(spark, plain):
     assert got == sorted(want)
     back = bpe.decode(coded.select("doc_id", "ids"), RANKS).collect()
     assert sorted((r[0] or 0, bytes(r[1])) for r in back) == sorted((i or 0, (t or "").encode()) for i, t, *_ in data.rows())
+    both = bpe.encode(docs, RANKS, decoded=True).select("doc_id", "decoded").collect()
+    assert sorted((r[0] or 0, bytes(r[1])) for r in both) == sorted((r[0] or 0, bytes(r[1])) for r in back)
     assert bpe.decode(bpe.encode(data.no_docs(spark), RANKS), RANKS).count() == 0
     assert [bytes(r[1]) for r in bpe.decode(spark.createDataFrame([(1, None)], "a int, ids array<int>"), RANKS).collect()] == [b""]
 

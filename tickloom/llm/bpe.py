@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from tickloom.llm.common import pieces
 
 #: Parts whose ids a worker keeps, in each of two generations.
-KEPT_PARTS = 400_000
+KEPT_PARTS = 300_000
 #: Characters that ``\s`` means in the pattern (Unicode White_Space).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WHITE_SET = frozenset(WHITE)
@@ -169,23 +170,26 @@ class Encoder:
         except Irregular:
             return b"".join(map(self.parts.general, PARTS.findall(text)))
 
-    @property
-    def token_bytes(self) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of all tokens end to end, and where each token begins."""
-        if not hasattr(self, "_flat"):
+
+class Decoder:
+    """Ids to bytes, from a table of the bytes of all tokens end to end; needs no merges."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        if vocabulary.kind == "ranks":
+            tokens = {i: token for token, i in read_ranks(vocabulary.path).items()}
+        else:
+            with open(vocabulary.path, encoding="utf-8") as file:
+                told = json.load(file)
             back = {c: b for b, c in enumerate(alphabet())}
-            added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-            tokens = []
-            for i in range(self.size):
-                shown = self.tokenizer.id_to_token(i)
-                tokens.append(added[i].encode() if i in added else bytes(back[c] for c in shown or ""))
-            ends = np.cumsum([0, *map(len, tokens)])
-            self._flat = np.frombuffer(b"".join(tokens), np.uint8), ends
-        return self._flat
+            tokens = {i: bytes(back[c] for c in shown) for shown, i in told["model"]["vocab"].items()}
+            tokens |= {t["id"]: t["content"].encode() for t in told["added_tokens"]}
+        listed = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
+        self.flat = np.frombuffer(b"".join(listed), np.uint8)
+        self.ends = np.cumsum([0, *map(len, listed)])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids; cutting ids inside a character gives part of its bytes."""
-        flat, ends = self.token_bytes
+        flat, ends = self.flat, self.ends
         begin, length = ends[:-1][ids], np.diff(ends)[ids]
         if not len(ids):
             return b""
@@ -195,14 +199,14 @@ class Encoder:
 
     def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token and the one after its last."""
-        lengths = np.diff(self.token_bytes[1])[ids]
+        lengths = np.diff(self.ends)[ids]
         stop = np.cumsum(lengths)
         character = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80) - 1
         return character[stop - lengths], character[stop - 1] + 1
 
     def text_of_tokens(self, ids: np.ndarray) -> list[str]:
         """Text that each token completes: a split character comes with the token that ends it."""
-        flat, ends = self.token_bytes
+        flat, ends = self.flat, self.ends
         reader = codecs.getincrementaldecoder("utf-8")(errors="replace")
         out = [reader.decode(flat[ends[i] : ends[i + 1]].tobytes()) for i in ids]
         if out:
@@ -216,6 +220,12 @@ def encoder(vocabulary: Vocabulary) -> Encoder:
     return Encoder(vocabulary)
 
 
+@lru_cache(maxsize=4)
+def decoder(vocabulary: Vocabulary) -> Decoder:
+    """The worker's decoder of a vocabulary."""
+    return Decoder(vocabulary)
+
+
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
     flat = np.concatenate(values) if values else np.empty(0)
@@ -223,12 +233,17 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def encode(
-    docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False
-) -> DataFrame:
-    """``id_col`` and ``ids``; with ``offsets`` also ``starts`` and ``stops``, in characters of the text."""
+    docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False,
+    decoded: bool = False,
+) -> DataFrame:
+    """``id_col`` and ``ids``; with ``offsets`` also ``starts`` and ``stops``, in characters of the text.
+
+    With ``decoded`` also the bytes that the ids decode to, by the same task.
+    """
     source = docs.select(docs[id_col], docs[text_col].cast("string").alias("text"))
     columns = [source.schema[0], *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "starts", "stops")]]
-    schema = T.StructType(columns if offsets else columns[:2])
+    extra = [T.StructField("decoded", T.BinaryType())] if decoded else []
+    schema = T.StructType([*(columns if offsets else columns[:2]), *extra])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(vocabulary)
@@ -237,8 +252,10 @@ def encode(
             ids = [np.frombuffer(use.encode(x), use.dtype) for x in texts]
             made = [batch[0], lists(ids, pa.int32())]
             if offsets:
-                spans = [use.spans(x.encode(), i) for x, i in zip(texts, ids, strict=True)]
+                spans = [decoder(vocabulary).spans(x.encode(), i) for x, i in zip(texts, ids, strict=True)]
                 made += [lists([s[k] for s in spans], pa.int32()) for k in (0, 1)]
+            if decoded:
+                made.append(pa.array([decoder(vocabulary).decode(i) for i in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(made, names=schema.names)
 
     return source.mapInArrow(run, schema)
@@ -255,7 +272,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", to: str
     schema = T.StructType([*source.schema[:-1], T.StructField(to, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = encoder(vocabulary)
+        use = decoder(vocabulary)
         for batch in batches:
             column = batch["__ids"]
             for begin in range(0, batch.num_rows, 256):
