@@ -37,10 +37,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row and the digest of the text they decode to."""
-    ids = bpe.encode(docs.select("doc_id", "text"), VOCABULARY)
-    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("ids").alias("again"))
-    back = bpe.decode(told, VOCABULARY, "again")
-    return back.select("doc_id", "n_tokens", F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    ids = bpe.encode(docs, VOCABULARY, decoded=True)
+    told = F.sha2("decoded", 256).alias("decoded_sha256")
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), told, "ids")
 
 
 STAGES = [
