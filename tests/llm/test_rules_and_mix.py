@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
@@ -51,6 +52,38 @@ def test_bands():
     assert quality_rules.chunk_cuts(0) == [(0, 0)] and quality_rules.chunk_cuts(9000) == [(0, 4096), (4096, 9000)]
 
 
+def labelled(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = quality_rules.measure(docs).join(labels, "doc_id").join(docs.select("doc_id", "lang", "text"), "doc_id")
+    return rows.where("NOT base_failed").selectExpr("quality", "lang", "kept", "ratio", "octet_length(text) AS size").toPandas()
+
+
+def test_bands_are_the_fit_and_reject_junk(spark):
+    rows = labelled(spark)
+    good, bad = rows[rows.quality == 1], rows[rows.quality == 0]
+    fit = quality_rules.fitted(good["size"].to_numpy(), good.ratio.to_numpy(), good.lang.to_numpy().astype(str))
+    assert fit == list(quality_rules.BANDS)
+    assert all((~r.kept).mean() <= 0.005 for _, r in good.groupby("lang"))
+    assert (~bad.kept).mean() > 0.75 and (~bad[bad["size"] >= 2048].kept).mean() > 0.95
+
+
+def test_bands_reject_by_themselves():
+    rng = random.Random(6)
+    for n in (60, 100, 300, 1000, 3000, 20000):
+        assert quality_rules.judged(data.prose(9, n).encode())[5:7] == (False, True)
+        coded = base64.b64encode(rng.randbytes(7 * n)).decode()
+        lines = "\n".join(coded[i : i + 9] for i in range(0, len(coded), 9))
+        assert quality_rules.judged(lines.encode())[5:7] == (False, False)
+    listed = "\n".join(f"item{i} costs{i * 7 % 1000} euro{i * 31}" for i in range(300))
+    signs = " ".join(w + rng.choice(["###", "$$$", "%%%", "&&&", "***"]) for w in data.prose(9, 1500).split())
+    assert quality_rules.judged(listed.encode())[5:7] == (False, False)
+    assert quality_rules.judged(signs.encode())[5:7] == (False, False)
+    # half of the chunks, and no more, may be odd
+    prose, odd = data.prose(9, 3000).encode()[:12288], b" ".join(b"no%d of" % i for i in range(9999))
+    assert quality_rules.judged(prose)[8:] == (0, 3)
+    assert quality_rules.judged(prose[:8192] + odd[:8192])[8] == 2
+
+
 def test_keep_returns_rows(spark):
     docs = data.docs(spark)
     kept = quality_rules.keep(docs)
