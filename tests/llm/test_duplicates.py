@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -113,6 +114,30 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(data.no_docs(spark)).count() == 0
 
 
+def shingled(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_hubs_leave_the_components(spark):
+    """Near copies of one text, a chain of edits and single texts, with and without rounds of hubs."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(9000)}" for _ in range(200)]
+    texts = [[*base[:k], f"x{k}", *base[k + 1 :]] for k in range(60)] + [[f"y{rng.randrange(9000)}" for _ in range(200)] for _ in range(20)]
+    chain = [f"z{rng.randrange(9000)}" for _ in range(200)]
+    for k in range(30):
+        chain = [*chain[: 6 * k], f"c{k}", *chain[6 * k + 1 :]]
+        texts.append(chain)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [shingled(t) for _, t in rows]
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = dict(enumerate(roots(len(rows), near)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hubs in (0, 2):
+        got = simhash.near_duplicates(docs, index=simhash.Tables(hubs=hubs)).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, k) for k in range(101, 140)]
