@@ -119,6 +119,37 @@ def shingled(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
+def test_near_copies_against_brute_force(spark):
+    rng, rows = random.Random(11), []
+    for asked in (0.7, 0.8, 0.85, 0.9):
+        for k in range(150):
+            # words are replaced one by one while the pair stays at the similarity asked for; at 0.7 one more
+            words = [f"w{rng.randrange(9000)}" for _ in range(300)]
+            copy, base = list(words), shingled(" ".join(words))
+            places = iter(rng.sample(range(300), 300))
+            while True:
+                at = next(places)
+                tried = [*copy[:at], f"v{at}", *copy[at + 1 :]]
+                other = shingled(" ".join(tried))
+                if len(base & other) < asked * len(base | other):
+                    break
+                copy = tried
+            if asked == 0.7:
+                copy = tried
+            rows += [(len(rows), " ".join(words), asked), (len(rows) + 1, " ".join(copy), asked)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, asked double")
+    got = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    met, of = Counter(), Counter()
+    for (i, a, asked), (j, b, _) in zip(rows[::2], rows[1::2]):
+        a, b = shingled(a), shingled(b)
+        assert i in got
+        assert (len(a & b) >= 0.8 * len(a | b)) == (asked != 0.7)
+        of[asked] += 1
+        met[asked] += j not in got
+    assert met[0.7] == 0
+    assert met[0.8] >= 0.94 * of[0.8] and met[0.85] >= 0.97 * of[0.85] and met[0.9] >= 0.99 * of[0.9], met
+
+
 def test_hubs_leave_the_components(spark):
     """Near copies of one text, a chain of edits and single texts, with and without rounds of hubs."""
     rng = random.Random(12)
