@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import (
     bpe,
+    centroids,
     chat_format,
+    divergence,
     exact_dedup,
     line_dedup,
     mixing,
+    quality_model,
     quality_rules,
     simhash,
     token_counts,
@@ -186,3 +189,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.decisions(table(spark, sf_dir, "documents"))
     removed = F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines")
     return found.select("doc_id", "n_lines", "n_removed", "n_links", removed)
+
+
+@query("op11_centroid_clusters", centroids.oracle(k=8, rounds=10, seed=3, dim=64, scale=1024))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3, dim=64, scale=1024)
+
+
+@query("op12_source_divergence", divergence.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_quality_model")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
