@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalogue.base import EXPIRIES, ID_BLOCK, Tables, query
@@ -87,13 +88,27 @@ MEMBER_SQL = f"""SELECT fytoken, symbol_ticker, {B('10', 'exchange_code')}, {B('
   {B('lot1', 'min_lot_size')}, {D('0.05', 'tick_size')}, {S('expiry_date')}, symbol_details FROM members WHERE in1"""
 
 
+#: Members of one master file.
+MEMBERS_PER_FILE = 100_000
+
+
+def write_master(members, path: str) -> None:
+    """Members as master files of a bounded number of members each, a member a line."""
+    files = 1 + members.count() // MEMBERS_PER_FILE
+    numbered = members.withColumn("file", F.pmod(F.xxhash64("symTicker"), F.lit(files)))
+    first = F.row_number().over(Window.partitionBy("file").orderBy("symTicker")) == 1
+    name = F.regexp_extract(F.to_json(F.struct(F.col("symTicker").alias("t"))), r'(?s)^\{"t":(.*)\}$', 1)
+    text = F.concat(F.when(first, "  ").otherwise(", "), name, F.lit(": "), F.to_json(F.struct(*members.columns)))
+    ends = numbered.select("file").distinct().select("file", F.explode(F.array(F.lit("{ "), F.lit("}"))).alias("value"))
+    ends = ends.select("file", F.when(F.col("value") == "}", 2).otherwise(0).alias("part"), "value", F.lit(True).alias("later"))
+    lines = numbered.select("file", F.lit(1).alias("part"), text.alias("value"), ~first).toDF("file", "part", "value", "later")
+    lines.unionByName(ends).repartition("file").sortWithinPartitions("file", "part", "later").select("file", "value").write.partitionBy("file").text(path)
+
+
 @query("s3_instrument_master", q(MEMBER_SQL))
 def s3(t: Tables):
     path = session.fresh_path(t.spark, "master")
-    members = t.master_members(1)
-    text = F.concat(F.lit('"'), "symTicker", F.lit('": '), F.to_json(F.struct(*members.columns)))
-    some = members.groupBy(F.floor(F.xxhash64("symTicker") / (1 << 52))).agg(F.array_join(F.collect_list(text), " ,\n  ").alias("m"))
-    some.select(F.concat(F.lit("{ "), "m", F.lit("\n}")).alias("value")).write.text(path)
+    write_master(t.master_members(1), path)
     rows, _ = master_files.read(t.spark, path)
     return rows.select(
         "fytoken", "symbol_ticker", "exchange_code", "segment_code", "ex_instrument_type", "under_symbol", "under_fytoken",
@@ -101,6 +116,21 @@ def s3(t: Tables):
     )
 
 
+@query(
+    "s3_braces_in_values",
+    q("""SELECT fytoken, symbol_ticker || CASE WHEN length(fytoken) % 2 = 0 THEN '}"{' ELSE '' END AS symbol_ticker,
+      CASE length(fytoken) % 3 WHEN 0 THEN '} , ' || symbol_details || ' \\"}' WHEN 1 THEN '{"' || symbol_details || '" :}}' ELSE symbol_details END AS symbol_details
+      FROM members WHERE in1"""),
+)
+def s3_braces(t: Tables):
+    path = session.fresh_path(t.spark, "master")
+    kind = F.length("fyToken") % 3
+    told = F.when(kind == 0, F.concat(F.lit("} , "), "symDetails", F.lit(' \\"}'))).when(kind == 1, F.concat(F.lit('{"'), "symDetails", F.lit('" :}}')))
+    ticker = F.concat("symTicker", F.when(F.length("fyToken") % 2 == 0, '}"{').otherwise(""))
+    write_master(t.master_members(1).withColumns({"symDetails": told.otherwise(F.col("symDetails")), "symTicker": ticker}), path)
+    return master_files.read(t.spark, path)[0].select("fytoken", "symbol_ticker", "symbol_details")
+
+
 @query(
     "s3_row_hash",
     q("""SELECT fytoken, sha256(array_to_string([fytoken, symbol_ticker, '10', CAST(segment_code AS VARCHAR), CAST(ex_type AS VARCHAR), under_symbol, under_fytoken, '', '', CAST(lot1 AS VARCHAR), '0.0500', '', '', '',

@@ -102,12 +102,33 @@ def test_no_member_of_a_master_file_is_lost(spark, tmp_path):
     one = json.dumps(MEMBER)
     path = tmp_path / "m"
     path.mkdir()
-    brace = json.dumps({**MEMBER, "symDetails": "A }, B"})
+    brace = json.dumps({**MEMBER, "symDetails": "A }, B", "isin": '} "quoted\\" {"'})
     (path / "spaced.json").write_text('{ "S1": %s ,\n "S2":%s } ' % (one, one))
-    (path / "brace.json").write_text('{"B1": %s, "B2": %s}' % (brace, one))
+    (path / "brace.json").write_text('{"B1": %s, "B}\\"2": %s}\n' % (brace, brace))
     (path / "cut.json").write_text('{"C1": %s, "C2": %s' % (one, one[:40]))
-    (path / "cut_after.json").write_text('{"D1": %s, "D2": %s' % (one, one))
+    (path / "cut_after.json").write_text('{"D1": %s, "D2": %s\n' % (one, one))
+    (path / "cut_in_text.json").write_text('{"E1": %s, "E2": %s' % (one, brace[: brace.index("}") + 1]))
     rows, bad = master_files.read(spark, str(path))
-    assert {r.symbol_ticker for r in rows.collect()} == {"S1", "S2", "B2"}
+    found = {r.symbol_ticker: (r.symbol_details, r.isin) for r in rows.collect()}
+    assert set(found) == {"S1", "S2", "B1", 'B}"2'}
+    assert found["B1"] == found['B}"2'] == ("A }, B", '} "quoted\\" {"')
     problems = {(b.file.rsplit("/", 1)[1], b.problem) for b in bad.collect()}
-    assert problems == {("brace.json", "brace_in_value"), ("cut.json", "file_cut_off"), ("cut_after.json", "file_cut_off")}
+    assert problems == {(f"{name}.json", "file_cut_off") for name in ("cut", "cut_after", "cut_in_text")}
+
+
+def test_members_are_whole_wherever_the_file_is_split(spark, tmp_path):
+    path = tmp_path / "m"
+    path.mkdir()
+    values = ["}" * (i % 5) + ' "x\\ ' * (i % 3) + "é{" * (i % 4) + "," * (i % 2) for i in range(120)]
+    (path / "a.json").write_text(json.dumps({f"T{i}": {**MEMBER, "symDetails": v + "|"} for i, v in enumerate(values)}, ensure_ascii=False))
+    whole = {(f"T{i}", (v + "|").strip()) for i, v in enumerate(values)}
+    for size in (97, 512, 100_000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        try:
+            rows, bad = master_files.read(spark, str(path))
+            assert {(r.symbol_ticker, r.symbol_details) for r in rows.collect()} == whole
+            assert bad.count() == 0
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")

@@ -1,15 +1,20 @@
 """Instrument-master files: one JSON object keyed by ticker, tens of megabytes each.
 
 The text reader splits the object at closing braces, so a large file is read by many tasks. Members
-are flat, so a brace ends one unless it stands in a value; a piece cut inside a value has an odd
-number of quotes and is refused, never dropped. In a whole file nothing but white space stands
-between the last member's brace and the object's own. A file without such a piece was cut off, and
+are flat, so a brace ends one unless it stands inside a text. Whether it does is a prefix scan: a
+piece with an odd number of quotes turns the state "inside a text" round. The odd pieces of each read
+split are counted, the counts of earlier splits of the file are added, and a running count inside the
+split does the rest. Pieces that no text crosses are members as they are; those between two odd
+pieces, often of different splits, are put together again. A text needs as much memory as it is long.
+
+A whole file has as many closing as opening braces outside texts, and its quotes come in pairs. The
+closing braces are the bytes of the file that the pieces lack. Otherwise the file was cut off, and
 all its members are refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom import schemas
@@ -26,28 +31,77 @@ MEMBER = ", ".join(f"{a} string" for a in ATTRIBUTES)
 FIELD_SEPARATOR = "\x1f"
 
 
+#: A text with its quotes; possessive, so that a long one does not deepen the matcher's stack.
+QUOTED = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """Texts between closing braces: file, size (of the file), split, at (their order in the split), value."""
+    return spark.read.option("lineSep", "}").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    )
+
+
+def crossed(parts: DataFrame) -> DataFrame:
+    """Pieces with ``odd``, whether their quotes do not pair, and ``before``, the odd pieces of the file before them."""
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    told = parts.withColumn("odd", ((F.length(bare) - F.length(F.replace(bare, F.lit('"')))) % 2).cast("int"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = told.groupBy("file", "split").agg(F.sum("odd").alias("odd"))
+    splits = splits.select("file", "split", F.coalesce(F.sum("odd").over(earlier), F.lit(0)).alias("in_splits"))
+    inside = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    told = told.withColumn("in_split", F.coalesce(F.sum("odd").over(inside), F.lit(0))).join(splits, ["file", "split"])
+    return told.select(*parts.columns, "odd", (F.col("in_splits") + F.col("in_split")).alias("before"))
+
+
+def joined(parts: DataFrame) -> DataFrame:
+    """Crossed pieces as (file, value): what stands between two odd pieces is one value again."""
+    apart = (F.col("before") % 2 == 0) & (F.col("odd") == 0)
+    order = F.array_sort(F.collect_list(F.struct("split", "at", "value")))
+    text = F.array_join(F.transform(order, lambda x: x["value"]), "}")
+    again = parts.where(~apart).groupBy("file", F.expr("before div 2").alias("text")).agg(text.alias("value"))
+    return parts.where(apart).select("file", "value").unionByName(again.select("file", "value"))
+
+
+def whole_files(parts: DataFrame) -> DataFrame:
+    """(file, paired, closings): whether quotes pair, and the closing braces outside texts, of every file."""
+    inside = ((F.col("before") + F.col("odd")) % 2 == 1).cast("int")
+    return parts.groupBy("file").agg(
+        (F.sum("odd") % 2 == 0).alias("paired"),
+        (F.first("size") - F.sum(F.octet_length("value")) - F.sum(inside)).alias("closings"),
+    )
+
+
 def members(spark: SparkSession, path: str) -> DataFrame:
     """``(file, ticker, member, flaw)`` per instrument, read in parallel inside each file."""
-    pieces = spark.read.option("lineSep", "}").text(path).select(
-        F.input_file_name().alias("file"), F.regexp_replace("value", r"^[\s,{]*", "").alias("value")
-    )
-    whole = pieces.groupBy("file").agg(F.bool_or(F.col("value") == "").alias("is_whole"))
-    split = split_members(pieces).join(whole, "file")
+    parts = crossed(pieces(spark, path))
+    files = whole_files(parts)
+    # Without pairs nothing tells where a text ends: such a file's pieces are refused as they are.
+    fine = parts.join(files.where("paired"), "file", "left_semi")
+    texts = joined(fine).unionByName(parts.join(files.where("NOT paired"), "file", "left_semi").select("file", "value"))
+    opened = F.length(F.regexp_replace(F.regexp_replace("value", QUOTED, ""), r"[^{]", ""))
+    texts = texts.withColumn("opened", opened)
+    openings = texts.groupBy("file").agg(F.sum("opened").alias("openings"))
+    is_whole = files.join(openings, "file").select("file", (F.col("paired") & (F.col("openings") == F.col("closings"))).alias("is_whole"))
+    split = split_members(texts.select("file", F.regexp_replace("value", r"^[\s,{]*", "").alias("value"))).join(is_whole, "file")
     return split.withColumn("flaw", F.when(~F.col("is_whole"), "file_cut_off").otherwise(F.col("flaw"))).drop("is_whole")
 
 
-def split_members(pieces: DataFrame) -> DataFrame:
-    """Pieces of object text to ticker, decoded member and what is wrong with the piece."""
+def split_members(texts: DataFrame) -> DataFrame:
+    """Texts of one member each to ticker, decoded member and what is wrong with it."""
     text = F.col("value")
-    ticker = F.regexp_extract(text, r'^"((?:[^"\\]|\\.)*)"\s*:', 1)
-    body = F.regexp_extract(text, r'(?s)^"(?:[^"\\]|\\.)*"\s*:\s*(\{.*)', 1)
-    quotes = F.length(F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'[^"]', ""))
-    flaw = F.when(quotes % 2 == 1, "brace_in_value").when(body == "", "no_member")
-    return pieces.where(text != "").select(
-        *[c for c in pieces.columns if c != "value"],
-        ticker.alias("ticker"),
+    ticker = F.regexp_extract(text, r'(?s)^"([^"\\]*+(?:\\.[^"\\]*+)*+)"\s*:', 1)
+    body = F.regexp_extract(text, r'(?s)^"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:\s*(\{.*)', 1)
+    name = F.from_json(F.concat(F.lit('{"t":"'), ticker, F.lit('"}')), "t string")["t"]
+    return texts.where(text != "").select(
+        *[c for c in texts.columns if c != "value"],
+        F.coalesce(name, ticker).alias("ticker"),
         F.from_json(F.concat(body, F.lit("}")), MEMBER).alias("member"),
-        flaw.alias("flaw"),
+        F.when(body == "", "no_member").alias("flaw"),
     )
 
 
