@@ -317,19 +317,17 @@ def s12(t: Tables):
 def s13(t: Tables):
     spec = export.Spec(scope=SCOPE)
     counted = export.estimate(spec, t.candles, t.contracts)
-    described = export.sidecar(t.spark, export_rows(t, spec), spec, "e1", "2024-03-01 00:00:00", counted)
-    names = F.from_json("description", "columns array<struct<name: string, type: string>>")
-    return described.select("export_id", "created_at", "row_count", F.size(names["columns"]).alias("described_columns"))
+    described = export.sidecar(export_rows(t, spec), spec, "e1", "2024-03-01 00:00:00", counted)
+    names = F.from_json("description", "schema struct<fields: array<struct<name: string>>>")
+    return described.select("export_id", "created_at", "row_count", F.size(names["schema"]["fields"]).alias("described_columns"))
 
 
 @query("s13_export_manifest", q(f"SELECT 'e2' AS export_id, 'parquet' AS kind, {B('count(*)', 'row_count')}, {B('1', 'has_size')}, {B('64', 'digest_length')} {SCOPE_SQL}"))
 def s13m(t: Tables):
     path = session.fresh_path(t.spark, "export")
     spec = export.Spec(denormalise=False, scope=SCOPE)
-    export.write_single(export_rows(t, spec), path, spec)
-    row = export.manifest_row(
-        spec, "e2", path, "2024-03-01 00:00:00", export.estimate(spec, t.candles, t.contracts), export.file_digests(t.spark, path)
-    )
+    written = export.write_single(export_rows(t, spec), path, spec)
+    row = export.manifest_row(spec, "e2", path, "2024-03-01 00:00:00", written, export.file_digests(t.spark, path))
     return row.select("export_id", "kind", "row_count", (F.col("byte_size") > 0).alias("has_size"), F.length("sha256").alias("digest_length"))
 
 

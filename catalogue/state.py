@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogue.base import Tables, query
+from catalogue.base import ID_BLOCK, Tables, query
 from catalogue.sql import B, D, S, T, q, qq
 from tickloom import schemas
 from tickloom.functions import clock
-from tickloom.operators import ids, registry, versioning, writes
+from tickloom.operators import aggregates, ids, registry, versioning, writes
+from tickloom.sinks import store
 
 # A batch of re-fetched chunks: one per customer, the fortnight from a day of its own, whose
 # answer holds every bar of that fortnight that was above the median price.
@@ -361,8 +362,9 @@ def w10(t: Tables):
 )
 def w11(t: Tables):
     chunks = batch(t)
-    bars = writes.replace_chunks(t.candles, chunks, batch_bars(t, chunks))
-    return writes.refresh_bounds(t.bounds, bars, chunks)
+    bars = store.with_folders(writes.replace_chunks(t.candles, chunks, batch_bars(t, chunks)), ID_BLOCK)
+    partials = aggregates.bounds(store.with_folders(t.candles, ID_BLOCK), *store.FOLDERS)
+    return aggregates.combined_bounds(writes.refresh_bounds(partials, bars, store.touched_folders(chunks, ID_BLOCK)))
 
 
 @query(

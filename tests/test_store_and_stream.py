@@ -59,11 +59,45 @@ def test_batches_replace_shrink_and_survive_a_replay(spark):
     assert [b[2] for b in shrunk[0]] == [20.0, 10.0, 10.0, 10.0] and shrunk[2] == [(5, 4)]
     assert (2000, d, "empty", 0) in shrunk[1]
 
-    # A crash after staging: the table is damaged, the replay publishes the staged content again.
-    store.remove(spark, f"{root}/candles/id_block=0")
+    # A crash before the batch became visible: no table shows any of it, and the replay repairs all.
+    store.remove(spark, f"{root}/versions/batch=002")
+    store.remove(spark, f"{root}/coverage/batch=002")
+    assert tables(spark, root) == (bars, ledger, bounds)
     ingest.apply_batch(spark, root, second, "002")
-    again = tables(spark, root)
-    assert {b for b in again[0] if b[1].date() == d} == {b for b in shrunk[0] if b[1].date() == d}
+    assert tables(spark, root) == shrunk
+
+    # Snapshots that were replaced are left behind in a compacted root, which the stream may go on with.
+    compacted = session.fresh_path(spark, "compacted")
+    ingest.compact(spark, root, compacted)
+    assert tables(spark, compacted) == shrunk
+    ingest.apply_batch(spark, compacted, batch(landed(5, d, 2, datetime(2024, 3, 3))), "003")
+    assert [c for c, _ in tables(spark, compacted)[2]] == [5] and tables(spark, compacted)[2] == [(5, 5)]
+
+
+def test_a_batch_reads_only_the_folders_it_touches(spark):
+    root = session.fresh_path(spark, "tables")
+    months = [date(2024, m, 3) for m in range(1, 7)]
+    at = datetime(2024, 9, 1)
+    ingest.apply_batch(spark, root, spark.createDataFrame([landed(5, d, 3, at) for d in months], ingest.LANDED), "0")
+    table = ingest._table(spark, root, "candles")
+    touched = store.touched_folders(spark.createDataFrame([(5, 2, months[2], months[2])], "contract_id int, res_id int, range_from date, range_to date"))
+    partials = aggregates.bounds(table, *store.FOLDERS)
+    fresh = writes.refresh_bounds(partials, table, touched)
+    assert sorted(map(tuple, aggregates.combined_bounds(fresh).collect())) == sorted(map(tuple, aggregates.bounds(table).collect()))
+    files = store.inside(table, touched, store.FOLDERS).select(F.input_file_name().alias("f")).distinct().collect()
+    assert len(files) == 1 and "trade_month=2024-03" in files[0].f
+    assert "dynamicpruning" in plan_of(store.inside(table, touched, store.FOLDERS)).lower()
+
+
+def test_writes_count_their_rows_and_keep_field_metadata(spark):
+    candles = some_candles(spark, 3, 50)
+    for spec in (export.Spec(denormalise=False), export.Spec(format="csv", denormalise=False)):
+        rows = export.raw(candles, candles.select("contract_id").distinct())
+        assert export.write_single(rows, session.fresh_path(spark, "counted"), spec) == 150
+    described = json.loads(export.sidecar(rows, spec, "e", "2024-01-01", spark.range(1).select(F.lit(150).alias("row_count"))).first().description)
+    fields = {f["name"]: f for f in described["schema"]["fields"]}
+    assert fields["ts_ist"]["metadata"]["offset_seconds"] == 19800 and "ts" not in fields
+    assert described["spec"]["format"] == "csv"
 
 
 def test_a_refused_envelope_is_kept_aside(spark):
@@ -194,3 +228,29 @@ def test_reads_of_the_stored_table_skip_folders(spark):
     for df in (asof.spot_closes(table, owners), bars.spot_series(table, owners), aggregates.trading_days(table, owners, res_id=2)):
         assert "dynamicpruning" in plan_of(df).lower()
         assert df.count() > 0
+
+
+def test_counts_and_windows_come_from_running_counts(spark):
+    import random
+
+    rng = random.Random(12)
+    at = lambda d, m: datetime(2024, 1, 1) + timedelta(days=d, minutes=m)
+    moments = {(c, at(rng.choice([0, 1, 2, 5, 9, 30]), rng.choice([0, 1, 700, 1439]))) for c in (1, 2) for _ in range(40)}
+    candles = spark.createDataFrame(
+        [(c, 2, t, 1, None) for c, t in sorted(moments)], "contract_id int, res_id smallint, ts timestamp_ntz, volume bigint, oi bigint"
+    ).select("*", *[F.lit(1).cast("decimal(11,4)").alias(c) for c in bars.PRICES])
+    asked = [(n, rng.choice([1, 2, 3]), 2, at(rng.randint(-1, 31), rng.choice([0, 0, 1, 699, 700])), at(rng.randint(-1, 31), rng.choice([0, 0, 1, 701]))) for n in range(150)]
+    asked += [(200, 1, 2, at(2, 1), at(2, 701)), (201, 1, 2, at(0, 0), at(1, 0)), (202, 1, 2, at(5, 0), at(5, 0))]
+    requests = spark.createDataFrame(asked, "request_id int, contract_id int, res_id smallint, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    daily = bars.daily_counts(candles)
+    got = {r.request_id: r.available for r in bars.range_cap(candles, requests, 5, daily).collect()}
+    assert got == {n: sum(c == k and a <= t < b for k, t in moments) for n, c, _, a, b in asked}
+
+    for count in (1, 7, 500):
+        before = bars.before_each(candles, requests.withColumnRenamed("start_ts", "before_ts").drop("end_ts"), count, daily)
+        found = {}
+        for r in before.collect():
+            found.setdefault(r.request_id, set()).add(r.ts)
+        for n, c, _, a, _ in asked:
+            assert found.get(n, set()) == set(sorted((t for k, t in moments if k == c and t < a), reverse=True)[:count])
+    assert "collect_list" not in plan_of(before) and "array_agg" not in plan_of(before)

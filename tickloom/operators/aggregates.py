@@ -31,15 +31,25 @@ def daily_bars(candles: DataFrame, res_id: int = MINUTE_RES_ID) -> DataFrame:
     )
 
 
-def bounds(candles: DataFrame) -> DataFrame:
-    """Rows, first and last bar of each series; a series without bars has no row."""
-    return candles.groupBy("contract_id", "res_id").agg(
+def bounds(candles: DataFrame, *parts: str) -> DataFrame:
+    """Rows, first and last bar of each series, or of its part in each of ``parts``; a series
+    without bars has no row."""
+    return candles.groupBy("contract_id", "res_id", *parts).agg(
         F.count("*").alias("row_count"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
     )
 
 
+def combined_bounds(partials: DataFrame) -> DataFrame:
+    """Bounds of each series from those of its parts."""
+    return partials.groupBy("contract_id", "res_id").agg(
+        F.sum("row_count").alias("row_count"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+    )
+
+
 def bounds_utc(bounds_table: DataFrame, resolutions: DataFrame) -> DataFrame:
     """Bounds of every series in UTC seconds with the resolution's codes."""
     return bounds_table.join(

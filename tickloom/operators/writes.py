@@ -62,12 +62,11 @@ def upsert_coverage(coverage: DataFrame, chunks: DataFrame) -> DataFrame:
     return replace_by_key(coverage, chunks, COVERAGE_KEY)
 
 
-def refresh_bounds(bounds: DataFrame, candles: DataFrame, touched: DataFrame) -> DataFrame:
-    """Next bounds: recomputed from bars for the touched series only; an emptied series loses its
-    row."""
-    keys = touched.select(*SERIES).distinct()
-    fresh = aggregates.bounds(candles.join(keys, SERIES, "left_semi"))
-    return bounds.join(keys, SERIES, "left_anti").unionByName(fresh.select(*bounds.columns))
+def refresh_bounds(partials: DataFrame, candles: DataFrame, touched: DataFrame) -> DataFrame:
+    """Next partial bounds, a row a series and folder: those of the touched folders from their bars,
+    which are all that is read, the others as they are. A series emptied there loses its row."""
+    fresh = aggregates.bounds(candles.join(touched.where("id_block >= 0"), folders.FOLDERS, "left_semi"), *folders.FOLDERS)
+    return partials.join(touched, folders.FOLDERS, "left_anti").unionByName(fresh.select(*partials.columns))
 
 
 # -- catalog ---------------------------------------------------------------------------------------

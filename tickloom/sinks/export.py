@@ -10,7 +10,7 @@ import json
 import operator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock, money
@@ -26,14 +26,8 @@ WEAK_CODECS = {"uncompressed": 2, "snappy": 2}
 MARGIN = 0.20
 PARTITIONS = ["underlying_symbol", "expiry_date"]
 KEY = ["contract_id", "res_id", "ts"]
-#: Rows of a full file. A small export has a file per core, but none under a row group.
+#: Most rows of a file.
 ROWS_PER_FILE = 16_000_000
-CONVENTIONS = {
-    "ist_offset_seconds": clock.IST_OFFSET_SECONDS,
-    "prices": "decimal(11,4), never rounded",
-    "ts_ist": "wall clock in India when the bar opens, without a zone",
-    "ts_utc_epoch": "that moment in Unix seconds",
-}
 
 #: What can narrow an export: the table and column it looks at, how it compares, how its value is read.
 LIMITS = {
@@ -125,9 +119,10 @@ def in_scope(candles: DataFrame, contracts: DataFrame, scope: Scope) -> tuple[Da
 
 
 def _times() -> list[Column]:
+    """The bar's moment twice; what each form means stands in the metadata of its field."""
     return [
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts_ist"),
-        clock.utc_seconds(F.col("ts")).alias("ts_utc_epoch"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts_ist", metadata={"offset_seconds": clock.IST_OFFSET_SECONDS}),
+        clock.utc_seconds(F.col("ts")).alias("ts_utc_epoch", metadata={"unit": "second", "offset_seconds": 0}),
     ]
 
 
@@ -180,77 +175,61 @@ def estimate(spec: Spec, candles: DataFrame, contracts: DataFrame) -> DataFrame:
     per_row = BYTES_PER_ROW[spec.format]
     if spec.format == "parquet":
         per_row *= WEAK_CODECS.get(spec.compression.lower(), 1)
-    counted = k.join(c.select("contract_id"), "contract_id", "left_semi").agg(F.count("*").alias("row_count"))
-    return counted.withColumn(
+    total = k.join(c.select("contract_id"), "contract_id", "left_semi").agg(F.count("*").alias("row_count"))
+    return total.withColumn(
         "estimated_bytes", F.floor(F.col("row_count") * F.lit(per_row * (1 + MARGIN))).cast("bigint")
     )
 
 
-def file_count(df: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> int:
-    """Files for the rows there are: full ones, or for small data one a core of a row group at least."""
-    rows = df.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-rows // rows_per_file), min(cores, -(-rows // QUERY_ROW_GROUP)))
+def clustered(df: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Rows range-partitioned by key and sorted. Bounds are sampled from the data, so a hot leading key is cut
+    further along the key instead of landing in one task. Adaptive execution joins small neighbours."""
+    return df.repartitionByRange(*key).sortWithinPartitions(*key)
 
 
-def clustered(df: DataFrame, key: list[str] = KEY, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """Rows range-partitioned into files by size and sorted by key. Bounds are sampled from the data, so a
-    hot leading key is cut further along the key instead of landing in one task."""
-    return df.repartitionByRange(file_count(df, rows_per_file), *key).sortWithinPartitions(*key)
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` with its rows counted as they pass; read ``row_count`` after the write."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("row_count")), seen
 
 
 def _writer(df: DataFrame, spec: Spec):
     writer = df.write.mode("overwrite").option("compression", spec.compression.lower())
-    writer = writer.option("maxRecordsPerFile", 2 * ROWS_PER_FILE)
+    writer = writer.option("maxRecordsPerFile", ROWS_PER_FILE)
     if spec.format == "parquet":
         # Rows per row group are bounded by the page-row checks and the block size in bytes.
         writer = writer.option("parquet.block.row.count.limit", spec.row_group)
     return writer
 
 
-def write_single(df: DataFrame, path: str, spec: Spec) -> None:
-    """A folder of sorted files with disjoint key ranges."""
-    out = clustered(df).drop("ts")
+def write_single(df: DataFrame, path: str, spec: Spec) -> int:
+    """A folder of sorted files with disjoint key ranges; returns the rows written."""
+    out, seen = counted(clustered(df).drop("ts"))
     if spec.format == "csv":
-        out.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", 2 * ROWS_PER_FILE).csv(path)
+        out.write.mode("overwrite").option("header", True).option("maxRecordsPerFile", ROWS_PER_FILE).csv(path)
     else:
         _writer(out, spec).parquet(path)
+    return seen.get["row_count"]
 
 
 def write_archive(
     df: DataFrame, root: str, spec: Spec, catalog: dict[str, DataFrame] | None = None
-) -> None:
-    """A partitioned archive, with the dimensions beside it when given.
+) -> int:
+    """A partitioned archive, with the dimensions beside it when given; returns the bars written.
 
     Range partitioning leads with the partition columns, so each task writes few folders and a
     large (underlying, expiry) is spread over several sorted files.
     """
-    ordered = clustered(df, [*PARTITIONS, *KEY])
-    _writer(ordered.drop("ts"), spec).partitionBy(*PARTITIONS).parquet(f"{root}/candles")
+    out, seen = counted(clustered(df, [*PARTITIONS, *KEY]).drop("ts"))
+    _writer(out, spec).partitionBy(*PARTITIONS).parquet(f"{root}/candles")
     for name, table in (catalog or {}).items():
         _writer(table, spec).parquet(f"{root}/{name}.parquet")
+    return seen.get["row_count"]
 
 
-def sidecar(
-    spark: SparkSession, df: DataFrame, spec: Spec, export_id: str, created_at: str,
-    row_count: DataFrame,
-) -> DataFrame:
-    """One row describing what was written: columns, types, conventions, scope, row count."""
-    fields = [{"name": f.name, "type": f.dataType.simpleString()} for f in df.drop("ts").schema]
-    tree, parquet = spec.layout == "hive", spec.format == "parquet"
-    described = {
-        "columns": fields,
-        "conventions": CONVENTIONS,
-        "limits": dict(spec.scope),
-        "rows_per_file_at_most": 2 * ROWS_PER_FILE,
-        "written_as": {
-            "codec": spec.compression,
-            "file_format": spec.format,
-            "folders": PARTITIONS if tree else [],
-            "rows_per_group": spec.row_group if parquet else None,
-            "with_dimensions": spec.denormalise,
-        },
-    }
+def sidecar(df: DataFrame, spec: Spec, export_id: str, created_at: str, row_count: DataFrame) -> DataFrame:
+    """One row describing what was written: the schema with the metadata of its fields, the spec, the rows."""
+    described = {"schema": df.drop("ts").schema.jsonValue(), "spec": vars(spec)}
     return row_count.select(
         F.lit(export_id).alias("export_id"),
         F.lit(created_at).cast("timestamp_ntz").alias("created_at"),
@@ -279,7 +258,7 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest_row(
-    spec: Spec, export_id: str, path: str, created_at: str, counted: DataFrame, digests: DataFrame
+    spec: Spec, export_id: str, path: str, created_at: str, row_count: int, digests: DataFrame
 ) -> DataFrame:
     """The manifest row of a finished export; its digest covers the sorted file digests."""
     # Digests are folded per prefix first: at most 4096 of them meet in the last step.
@@ -293,7 +272,7 @@ def manifest_row(
         F.lit(spec.format).alias("kind"),
         F.lit(path).alias("path"),
         F.lit(json.dumps(spec.scope, default=str, sort_keys=True)).alias("filters_json"),
-        counted.select("row_count").scalar().alias("row_count"),
+        F.lit(row_count).cast("bigint").alias("row_count"),
         "byte_size",
         "sha256",
         F.lit(created_at).cast("timestamp_ntz").alias("created_at"),

@@ -2,24 +2,30 @@
 
 Bars are foldered by ``id_block`` (contract id over a block of ids, so one expiry sits in one
 folder) and ``trade_month`` and sorted by key inside. A write touches only the folders its request
-windows can change, in two steps that can each be repeated: the new content of those folders is
-written in full beside the table, then published over them.
+windows can change.
+
+A table that changes is a series of snapshots. Each batch writes the new content of the folders it
+touches under its own name, where nothing is ever changed again, and last of all one row a folder
+into ``versions``. Readers take each folder from the newest batch that has such a row: a batch is
+seen whole, in all tables at once, or not at all, and a folder left without rows is one whose newest
+version has none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import folders as layout
 from tickloom.functions.folders import FOLDERS
+from tickloom import schemas
 from tickloom.operators import writes
 from tickloom.schemas import BLOCK_SIZE, CANDLE_COLUMNS, CANDLES
-from tickloom.sinks.export import KEY, file_count
+from tickloom.sinks.export import KEY, clustered
 
 BARS_ON_DISK = f"{CANDLES}, id_block int, trade_month string"
+#: Without a name, the row of the batch itself.
+VERSIONS = "name string, id_block int, trade_month string, batch string"
 
 
 def id_block(ids_per_block: int = BLOCK_SIZE) -> Column:
@@ -35,7 +41,7 @@ def with_folders(candles: DataFrame, ids_per_block: int = BLOCK_SIZE) -> DataFra
 
 def write(candles: DataFrame, path: str, ids_per_block: int = BLOCK_SIZE) -> None:
     """Write the whole table clustered: also the rewrite that restores key order."""
-    _write(with_folders(candles, ids_per_block), path, FOLDERS, KEY, "static")
+    put(with_folders(candles, ids_per_block), path, FOLDERS, KEY)
 
 
 def read(spark: SparkSession, path: str, ids_per_block: int = BLOCK_SIZE) -> DataFrame:
@@ -59,7 +65,7 @@ def touched_folders(chunks: DataFrame, ids_per_block: int = BLOCK_SIZE) -> DataF
 def inside(table: DataFrame, touched: DataFrame, folders: list[str]) -> DataFrame:
     """Rows of the touched folders. The comparison marks the small side as selective, so the join
     prunes the scan of the large one at run time."""
-    return table.join(touched.where(F.col(folders[0]) >= 0), folders, "left_semi")
+    return table.join(touched.where(F.col("id_block") >= 0), folders, "left_semi")
 
 
 def next_bars(
@@ -73,37 +79,41 @@ def next_bars(
     )
 
 
-def replace_folders(
-    spark: SparkSession, path: str, touched: DataFrame, content: Callable[[DataFrame], DataFrame],
-    stage: str, folders: list[str], key: list[str], ddl: str,
-) -> None:
-    """Make the new content of the touched folders durable.
-
-    ``stage`` names the batch: when its content is already complete there, a replay only publishes
-    it again. Folders left without a row are removed.
-    """
-    if not exists(spark, f"{stage}/content/_SUCCESS"):
-        touched.write.mode("overwrite").parquet(f"{stage}/touched")
-        fixed = spark.read.schema(touched.schema).parquet(f"{stage}/touched")
-        _write(content(fixed), f"{stage}/content", folders, key, "static")
-    staged = spark.read.schema(ddl).parquet(f"{stage}/content")
-    _write(staged, path, folders, key, "dynamic")
-    fixed = spark.read.schema(touched.schema).parquet(f"{stage}/touched")
-    emptied = fixed.join(staged.select(*folders).distinct(), folders, "left_anti")
-    # Folder names only: at most the folders one batch touched.
-    for row in emptied.collect():
-        remove(spark, path + "".join(f"/{f}={row[f]}" for f in folders))
-
-
-def _write(df: DataFrame, path: str, folders: list[str], key: list[str], mode: str) -> None:
-    (
-        df.repartitionByRange(file_count(df), *folders, *key)
-        .sortWithinPartitions(*folders, *key)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", mode)
-        .partitionBy(*folders)
-        .parquet(path)
-    )
+def put(df: DataFrame, path: str, folders: list[str], key: list[str]) -> None:
+    """Write a whole table, or one batch's snapshot of some of its folders."""
+    rows = clustered(df, [*folders, *key])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*folders).parquet(path)
+
+
+def versions(spark: SparkSession, root: str, before: str | None = None) -> DataFrame:
+    """Every folder every batch wrote; those of batches before one."""
+    path = f"{root}/versions"
+    found = spark.read.schema(VERSIONS).parquet(path) if exists(spark, path) else spark.createDataFrame([], VERSIONS)
+    return found if before is None else found.where(F.col("batch") < before)
+
+
+def is_committed(spark: SparkSession, root: str, batch: str) -> bool:
+    return not versions(spark, root).where(F.col("batch") == batch).isEmpty()
+
+
+def commit(spark: SparkSession, root: str, batch: str, touched: dict[str, DataFrame]) -> None:
+    """Make a batch visible: one small file with a row for each folder it touched, and one for itself."""
+    rows = spark.createDataFrame([(None, None, None)], VERSIONS.rsplit(",", 1)[0])
+    for name, folders in touched.items():
+        rows = rows.unionByName(folders.withColumn("name", F.lit(name)), allowMissingColumns=True)
+    rows.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{root}/versions/batch={batch}")
+
+
+def current(
+    spark: SparkSession, root: str, name: str, ddl: str, folders: list[str], before: str | None = None
+) -> DataFrame:
+    """A table as of the newest batch, or as it was before one. The versions prune the scan at run time."""
+    path = f"{root}/{name}"
+    if not exists(spark, path):
+        return schemas.empty(spark, ddl)
+    newest = versions(spark, root, before).where(F.col("name") == name).groupBy(*folders).agg(F.max("batch").alias("batch"))
+    snapshots = spark.read.schema(f"{ddl}, batch string").parquet(path)
+    return inside(snapshots, newest, ["batch", *folders]).drop("batch")
 
 
 def out_of_order(table: DataFrame) -> DataFrame:
