@@ -66,6 +66,49 @@ def test_missing_and_held_make_up_what_was_wanted(spark):
         assert gaps.get(w, set()) == asked - held.get((s, res), set())
 
 
+def series_with_many_ranges():
+    """A series of 2,000 short ranges and one of long ones, asked for over many bins of the calendar."""
+    rng = random.Random(9)
+    hot = [(0, 2, day(3 * i), day(3 * i + rng.randint(0, 1))) for i in range(2000)]
+    long = [(1, 2, day(a), day(a + rng.randint(60, 400))) for a in range(-300, 6000, 530)]
+    wants = [(n, n % 3, 2, day(a), day(a + rng.choice([0, 1, 30, 63, 64, 65, 700]))) for n, a in enumerate(rng.sample(range(-400, 6200), 300))]
+    return hot + long, wants
+
+
+WANTS = "want_id int, contract_id int, res_id int, want_from date, want_to date"
+
+
+def test_ranges_are_met_in_bins_of_the_calendar(spark):
+    rows, wants = series_with_many_ranges()
+    held = days_of(rows)
+    df = intervals.missing(spark.createDataFrame(wants, WANTS), spark.createDataFrame(rows, RANGES))
+    gaps = {}
+    for r in df.collect():
+        assert r.gap_from <= r.gap_to
+        assert r.gap_from == r.want_from or r.gap_from - timedelta(days=1) in held[r.contract_id, 2]
+        new = {r.gap_from + timedelta(days=i) for i in range((r.gap_to - r.gap_from).days + 1)}
+        assert not new & gaps.setdefault(r.want_id, set())
+        gaps[r.want_id] |= new
+    for w, s, res, a, b in wants:
+        assert gaps.get(w, set()) == {a + timedelta(days=i) for i in range((b - a).days + 1)} - held.get((s, res), set())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("_bin" in line for line in joins)
+
+
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_containment_is_looked_up_in_one_bin(spark, how):
+    rows, wants = series_with_many_ranges()
+    rows += [(0, 2, day(5), day(900)), (0, 2, day(5), day(7)), (0, 2, day(6), day(5000))]
+    inside = {w for w, s, r, a, b in wants if any((c, q) == (s, r) and f <= a and t >= b for c, q, f, t in rows)}
+    df = intervals.contained_in(spark.createDataFrame(wants, WANTS), spark.createDataFrame(rows, RANGES), "want_from", "want_to", how=how)
+    got = {r.want_id for r in df.collect()}
+    assert got == (inside if how == "left_semi" else {w[0] for w in wants} - inside) and df.columns == WANTS_COLUMNS
+
+
+WANTS_COLUMNS = ["want_id", "contract_id", "res_id", "want_from", "want_to"]
+
+
 def test_split_and_chunks_respect_the_limit(spark):
     gaps = spark.createDataFrame([(1, day(0), day(249)), (2, day(0), day(99)), (3, day(5), day(5))], "id int, gap_from date, gap_to date")
     pieces = sorted((r.id, r.gap_from, r.gap_to) for r in intervals.split(gaps, 100).collect())

@@ -124,6 +124,35 @@ def test_ids_are_disjoint_ordered_and_stable(spark):
     assert second == {**first, "b2": 4100}
 
 
+def test_free_ids_lie_in_the_gaps_between_kept_ones(spark):
+    import random
+
+    rng = random.Random(6)
+    blocks = [(1, date(2025, 1, 2), 1024, 1024 + 199), (1, date(2025, 1, 9), 2048, 2048 + (1 << 20) - 1), (2, date(2025, 1, 2), 9, 11)]
+    spans = {(u, e): (lo, hi) for u, e, lo, hi in blocks}
+    names = [(u, e, f"{u}{e}{i:03}") for (u, e), n in zip(spans, (180, 150, 5)) for i in range(n)]
+    held = {}
+    for (u, e), (lo, hi) in spans.items():
+        mine = [n for a, b, n in names if (a, b) == (u, e)]
+        taken = rng.sample(range(lo, min(hi, lo + 300) + 1), min(len(mine) // 2, hi - lo + 1))
+        held |= dict(zip(rng.sample(mine, len(taken)), taken))
+    held[names[0][2]] = 5
+    batch = spark.createDataFrame([(*n, "OPT", "XX", Decimal(1), "CE") for n in names], "underlying_id int, expiry_date date, fyers_symbol string, kind string, instrument_class string, strike decimal(12,4), option_type string")
+    df = ids.assign(
+        batch, spark.createDataFrame(blocks, "underlying_id int, expiry_date date, contract_id_lo bigint, contract_id_hi bigint"),
+        spark.createDataFrame(list(held.items()), "fyers_symbol string, contract_id int"),
+    )
+    got = {r.fyers_symbol: r.contract_id for r in df.collect()}
+    want = {}
+    for (u, e), (lo, hi) in spans.items():
+        mine = sorted(n for a, b, n in names if (a, b) == (u, e))
+        kept = {n: held[n] for n in mine if lo <= held.get(n, -1) <= hi}
+        free = iter(sorted(set(range(lo, min(hi, lo + 999) + 1)) - set(kept.values())))
+        want |= {n: kept[n] if n in kept else next(free, None) for n in mine}
+    assert got == want
+    assert "sequence(" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_an_overflowing_block_moves_behind_the_last_one(spark):
     recorded = spark.createDataFrame([(1, date(2025, 1, 2), 1024, 2047), (1, date(2025, 1, 9), 2048, 3071)], "underlying_id int, expiry_date date, contract_id_lo int, contract_id_hi int")
     counts = spark.createDataFrame([(1, date(2025, 1, 2), 1025), (1, date(2025, 1, 9), 900)], "underlying_id int, expiry_date date, contract_count int")
@@ -137,10 +166,14 @@ def test_overlap_count_equals_the_pairs(spark):
     rng = random.Random(5)
     blocks = [(i, a, a + rng.randint(0, 5000)) for i in range(120) for a in [rng.randint(0, 200_000)]]
     blocks += [(1000 + i, 50_000, 50_400) for i in range(60)]
+    blocks += [(2000, 50_400, 50_400), (2001, 0, 210_000), (2002, 50_401, 50_401), (2003, 50_401, 50_401)]
     df = spark.createDataFrame(blocks, "expiry_id int, contract_id_lo int, contract_id_hi int")
     want = sum(a[1] <= b[2] and b[1] <= a[2] for i, a in enumerate(blocks) for b in blocks[i + 1 :])
     assert quality.overlap_count(df, stretch=7_000).first().offending == want
-    assert quality.overlapping_blocks(df).count() == want
+    pairs = {(min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(blocks) for b in blocks[i + 1 :] if a[1] <= b[2] and b[1] <= a[2]}
+    for stretch in (1 << 22, 7_000):
+        found = [tuple(r) for r in quality.overlapping_blocks(df, stretch).collect()]
+        assert len(found) == want and set(found) == pairs
 
 
 def test_deviating_cursor_pages_cover_every_row_once(spark):

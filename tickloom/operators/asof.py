@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions import clock, folders
 
@@ -20,8 +21,11 @@ DAY = 86400
 HOUR = 3600
 
 
-def _bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(clock.local_seconds(ts) / seconds).cast("bigint")
+def _bucket(df: DataFrame, column: str, width: int) -> Column:
+    """The bucket of a moment, ``width`` in seconds, or of a whole number."""
+    is_number = isinstance(df.schema[column].dataType, T.IntegralType)
+    place = F.col(column) if is_number else clock.local_seconds(F.col(column))
+    return F.floor(place / width).cast("bigint")
 
 
 def asof_backward(
@@ -38,7 +42,7 @@ def asof_backward(
 ) -> DataFrame:
     """Every left row with ``values`` of the last right row at or before it (nulls when none).
 
-    ``right`` must be unique on (keys, right_ts). With ``inclusive=False`` the match is strictly
+    ``right`` must be unique on (keys, right_ts). Both sides are moments or both whole numbers. With ``inclusive=False`` the match is strictly
     before. Rows whose moment is null match nothing and are kept.
     """
     keys = list(keys)
@@ -46,9 +50,9 @@ def asof_backward(
         F.col(right_ts).alias("_at"), *[F.col(v).alias(f"_v_{v}") for v in values]
     )
     points = right.where(F.col(right_ts).isNotNull()).select(
-        *keys, _bucket(F.col(right_ts), bucket_seconds).alias("_b"), payload.alias("_p")
+        *keys, _bucket(right, right_ts, bucket_seconds).alias("_b"), payload.alias("_p")
     )
-    asks = left.withColumn("_b", _bucket(F.col(left_ts), bucket_seconds))
+    asks = left.withColumn("_b", _bucket(left, left_ts, bucket_seconds))
 
     # One row per (key, bucket): the last point inside it, columns taken one by one so that the
     # aggregate buffers stay fixed-width.

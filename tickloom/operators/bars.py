@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock, folders, money, rows
+from tickloom.operators import asof
 
 PRICES = ["open", "high", "low", "close"]
 MAX_BARS_PER_ANSWER = 500_000
@@ -117,11 +118,53 @@ def as_store_windows(clamped: DataFrame) -> DataFrame:
     )
 
 
+def daily_counts(candles: DataFrame) -> DataFrame:
+    """Bars of each series and day, as ``(contract_id, res_id, day, n)``."""
+    return candles.groupBy("contract_id", "res_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+
+
+def running_counts(daily: DataFrame) -> DataFrame:
+    """Daily counts with the bars of the series up to the day (``through``) and ``before`` it, a
+    window over the calendar; ``at`` is the day as a moment."""
+    so_far = F.sum("n").over(Window.partitionBy("contract_id", "res_id").orderBy("day"))
+    counted = daily.withColumn("through", so_far.cast("bigint"))
+    return counted.withColumns({"before": F.col("through") - F.col("n"), "at": clock.midnight(F.col("day"))})
+
+
+def _counted_before(asks: DataFrame, counts: DataFrame, moment: str, name: str) -> DataFrame:
+    """``asks`` with the bars of their series on days before ``moment``, a midnight."""
+    found = asof.asof_backward(
+        asks, counts, ["contract_id", "res_id"], moment, "at", ["through"], bucket_seconds=366 * asof.DAY, inclusive=False
+    )
+    return found.withColumn(name, F.coalesce("through", F.lit(0))).drop("through", "matched_ts")
+
+
 def range_cap(
-    candles: DataFrame, requests: DataFrame, maximum: int = MAX_BARS_PER_ANSWER
+    candles: DataFrame, requests: DataFrame, maximum: int = MAX_BARS_PER_ANSWER, daily: DataFrame | None = None
 ) -> DataFrame:
-    """Bars available per request and whether that is more than one answer may carry."""
-    counted = windows(candles, requests).groupBy("request_id").agg(F.count("*").alias("n"))
+    """Bars available per request and whether that is more than one answer may carry.
+
+    Whole days are the difference of two running counts of ``daily`` (``daily_counts``, kept beside
+    the bars where there are many). Bars are read for the days that a request begins or ends inside
+    of, two at most.
+    """
+    counts = running_counts(daily_counts(candles) if daily is None else daily)
+    first, last = (clock.midnight(F.to_date(c)) for c in ("start_ts", "end_ts"))
+    next_day = F.when(F.col("start_ts") == first, first).otherwise(clock.midnight(F.date_add(F.to_date("start_ts"), 1)))
+    asked = requests.select("request_id", "contract_id", "res_id", "start_ts", "end_ts").where("end_ts > start_ts")
+    asked = asked.withColumns({"_from": next_day, "_to": last})
+    whole = asked.where("_from < _to")
+    for moment, name in (("_from", "_n_from"), ("_to", "_n_to")):
+        whole = _counted_before(whole, counts, moment, name)
+    inside = whole.select("request_id", (F.col("_n_to") - F.col("_n_from")).alias("n"))
+    edges = F.array(
+        F.struct(F.col("start_ts").alias("a"), F.least("_from", "end_ts").alias("b")),
+        F.struct(F.greatest("_to", "start_ts", F.when(F.col("_from") > F.col("_to"), F.col("end_ts"))).alias("a"), F.col("end_ts").alias("b")),
+    )
+    parts = asked.select("request_id", "contract_id", "res_id", F.inline(edges)).where("a < b")
+    edge_bars = windows(candles, parts.withColumnsRenamed({"a": "start_ts", "b": "end_ts"}))
+    counted = inside.unionByName(edge_bars.select("request_id", F.lit(1).cast("bigint").alias("n")))
+    counted = counted.groupBy("request_id").agg(F.sum("n").alias("n"))
     available = F.coalesce("n", F.lit(0))
     return requests.join(counted, "request_id", "left").select(
         "request_id",
@@ -148,33 +191,24 @@ def before(
     )
 
 
-def before_each(candles: DataFrame, requests: DataFrame, count: int = DEFAULT_BEFORE) -> DataFrame:
+def before_each(
+    candles: DataFrame, requests: DataFrame, count: int = DEFAULT_BEFORE, daily: DataFrame | None = None
+) -> DataFrame:
     """``before`` for many ``(request_id, contract_id, res_id, before_ts)`` at once.
 
-    Bars are counted per day first. Each request reaches back to the latest day from which enough
-    bars follow (or to the first day there is), and only that window is read and ranked.
+    Bars are counted per day first (``daily``, as in ``range_cap``). The running count says how many
+    bars come before a request's day; looked up the other way round, it says on which day the bar
+    ``count`` places earlier lies. Only the window from there is read and ranked.
     """
     wanted = rows.at_least_one(count)
     series = ["contract_id", "res_id"]
-    days = candles.groupBy(*series, F.to_date("ts").alias("_d")).agg(F.count("*").alias("_n"))
-    so_far = Window.partitionBy(*series).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    counted = days.withColumn("_before", F.coalesce(F.sum("_n").over(so_far), F.lit(0)))
-    reach = (
-        requests.join(counted, series)
-        .where(F.col("_d") <= F.to_date("before_ts"))
-        .groupBy("request_id", *series, "before_ts")
-        .agg(
-            F.max("_before").alias("_at"),
-            F.min("_d").alias("_first"),
-            # Bars before each day, to find the day that leaves enough after it.
-            F.array_agg(F.struct("_before", "_d")).alias("_days"),
-        )
-    )
-    enough = F.filter("_days", lambda d: d["_before"] <= F.col("_at") - wanted)
-    start = F.coalesce(F.array_max(enough)["_d"], F.col("_first"))
-    bounded = reach.select(
-        "request_id", *series, "before_ts", clock.midnight(start).alias("start_ts"),
-        F.col("before_ts").alias("end_ts"),
+    counts = running_counts(daily_counts(candles) if daily is None else daily)
+    asked = requests.select("request_id", *series, "before_ts", clock.midnight(F.to_date("before_ts")).alias("_day"))
+    placed = _counted_before(asked, counts, "_day", "_at")
+    placed = placed.withColumn("_at", F.greatest(F.col("_at") - wanted, F.lit(0)))
+    found = asof.asof_backward(placed, counts, series, "_at", "before", ["day"], bucket_seconds=1 << 20, matched_ts="_before")
+    bounded = found.where("day IS NOT NULL").select(
+        "request_id", *series, "before_ts", clock.midnight(F.col("day")).alias("start_ts"), F.col("before_ts").alias("end_ts")
     )
     ranked = windows(candles, bounded).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("ts")))

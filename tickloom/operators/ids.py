@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import catalog
+from tickloom.operators import asof, catalog
 from tickloom.schemas import BLOCK_SIZE, FIRST_BLOCK_BASE, MAX_CONTRACT_ID, SPOT_ID_MAX
 
 
@@ -96,7 +96,8 @@ def assign(batch: DataFrame, blocks: DataFrame, existing: DataFrame) -> DataFram
     """Contract ids of a deduplicated batch.
 
     An id already recorded stays when it is inside the block; other symbols take the lowest free
-    slots in id order. Slots are generated only up to what the expiry's block holds.
+    slots in id order. Free slots are the gaps between kept ids: the k-th of a block lies in the last
+    gap with fewer than k free slots before it.
     """
     keys = ["underlying_id", "expiry_date"]
     placed = batch.join(blocks.select(*keys, "contract_id_lo", "contract_id_hi"), keys).join(
@@ -105,21 +106,22 @@ def assign(batch: DataFrame, blocks: DataFrame, existing: DataFrame) -> DataFram
     stays = F.col("_had").between(F.col("contract_id_lo"), F.col("contract_id_hi"))
     kept = placed.where(stays).withColumn("contract_id", F.col("_had").cast("bigint"))
     fresh = placed.where(~F.coalesce(stays, F.lit(False)))
-    slots = (
-        blocks.select(
-            *keys,
-            F.explode(F.sequence("contract_id_lo", "contract_id_hi")).alias("contract_id"),
-        )
-        .join(kept.select("contract_id"), "contract_id", "left_anti")
-        .withColumn(
-            "_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("contract_id"))
-        )
-    )
+    taken = kept.select(*keys, F.col("contract_id").alias("_at")).distinct()
+    edges = blocks.where("contract_id_lo IS NOT NULL").select(
+        *keys, F.explode(F.array((F.col("contract_id_lo") - 1).cast("bigint"), (F.col("contract_id_hi") + 1).cast("bigint"))).alias("_at")
+    )
+    along = Window.partitionBy(*keys).orderBy("_at")
+    gaps = taken.unionByName(edges).select(*keys, (F.lag("_at").over(along) + 1).alias("_first"), "_at")
+    gaps = gaps.where("_at > _first").withColumn("_size", F.col("_at") - F.col("_first"))
+    free_before = F.sum("_size").over(Window.partitionBy(*keys).orderBy("_first")) - F.col("_size")
+    gaps = gaps.withColumn("_free", free_before)
     ranked = fresh.withColumn(
         "_nth",
-        F.row_number().over(Window.partitionBy(*keys).orderBy(*catalog.in_id_order(fresh))),
+        F.row_number().over(Window.partitionBy(*keys).orderBy(*catalog.in_id_order(fresh))).cast("bigint") - 1,
     )
-    given = ranked.join(slots, [*keys, "_nth"], "left").drop("_nth")
+    found = asof.asof_backward(ranked, gaps, keys, "_nth", "_free", ["_first", "_size"], bucket_seconds=1 << 16, matched_ts="_gap")
+    inside = F.col("_nth") - F.col("_gap")
+    given = found.withColumn("contract_id", F.when(inside < F.col("_size"), F.col("_first") + inside))
     columns = [*batch.columns, "contract_id", "_had"]
     return (
         kept.select(*columns)

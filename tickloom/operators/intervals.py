@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tickloom.functions import clock
 
 SERIES = ["contract_id", "res_id"]
+#: Days of a bin in joins of ranges.
+BIN_DAYS = 64
 HELD_STATUSES = ["ok", "empty"]
 
 
@@ -82,45 +84,44 @@ def gap_detail(gaps: DataFrame) -> DataFrame:
     )
 
 
+def bin_of(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / BIN_DAYS).cast("int")
+
+
+def on_bins(ranges: DataFrame, start: str, end: str, *names: str) -> DataFrame:
+    """Ranges on every bin they touch, as ``_bin``, under ``names``; ``_own`` is the bin they start in.
+
+    Of disjoint ranges of one series only the first on a bin can come in from an earlier one, so
+    there are at most half as many on a bin as it has days, and one more.
+    """
+    first, last = bin_of(F.col(start)), bin_of(F.col(end))
+    return ranges.where(F.col(start) <= F.col(end)).select(*names, first.alias("_own"), F.explode(F.sequence(first, last)).alias("_bin"))
+
+
 def missing(
     wants: DataFrame, ranges: DataFrame, keys: Sequence[str] = SERIES, want_id: str = "want_id"
 ) -> DataFrame:
     """Parts of each ``(want_id, keys.., want_from, want_to)`` that no range covers.
 
-    Each want meets only the merged ranges that intersect it; every one of them can leave a hole
-    before it and the last one a hole after it.
+    Wants and merged ranges are laid on bins of the calendar and the bin joins the key, so a want
+    meets the ranges of its own bins only, however many its series has. A pair that shares several
+    bins meets in the first. Every range met can leave a hole before it, and so does the end of the
+    want, which stands behind them as one more.
     """
-    islands = merge(ranges, keys).select(
-        *keys, F.col("range_from").alias("_from"), F.col("range_to").alias("_to")
-    )
-    overlap = (
-        [wants[k] == islands[k] for k in keys]
-        + [islands["_from"] <= wants["want_to"], islands["_to"] >= wants["want_from"]]
-    )
-    met = wants.where("want_to >= want_from").join(islands, overlap, "left").select(
-        *[wants[c] for c in wants.columns], "_from", "_to"
-    )
-    by_want = Window.partitionBy(want_id, *keys).orderBy("_from")
-    previous = F.coalesce(
-        F.date_add(F.lag("_to").over(by_want), 1), F.col("want_from")
-    )
-    is_last = F.lead("_from").over(by_want).isNull()
-    none_held = F.col("_from").isNull()
-    before = F.struct(
-        previous.alias("gap_from"),
-        F.when(none_held, F.col("want_to"))
-        .otherwise(F.least(F.date_sub("_from", 1), F.col("want_to")))
-        .alias("gap_to"),
-    )
-    after = F.struct(
-        F.when(is_last & ~none_held, F.date_add("_to", 1)).alias("gap_from"),
-        F.col("want_to").alias("gap_to"),
+    merged = merge(ranges, keys).withColumns({"_from": F.col("range_from"), "_to": F.col("range_to")})
+    islands = on_bins(merged, "_from", "_to", *keys, "_from", "_to").withColumnRenamed("_own", "_island_bin")
+    asked = wants.where("want_to >= want_from")
+    met = on_bins(asked, "want_from", "want_to", *wants.columns).join(islands, [*keys, "_bin"]).where(
+        (F.col("_bin") == F.greatest("_own", "_island_bin")) & (F.col("_from") <= F.col("want_to")) & (F.col("_to") >= F.col("want_from"))
     )
+    behind = F.date_add("want_to", 1)
+    ends = asked.select(*wants.columns, behind.alias("_from"), behind.alias("_to"))
+    order = Window.partitionBy(want_id, *keys).orderBy("_from")
+    gap_from = F.coalesce(F.date_add(F.lag("_to").over(order), 1), F.col("want_from"))
     return (
-        met.withColumn("_gap", F.array(before, after))
-        .select(*wants.columns, F.explode("_gap").alias("_gap"))
-        .where("_gap.gap_from <= _gap.gap_to")
-        .select(*wants.columns, "_gap.gap_from", "_gap.gap_to")
+        met.select(*wants.columns, "_from", "_to").unionByName(ends)
+        .select(*wants.columns, gap_from.alias("gap_from"), F.date_sub("_from", 1).alias("gap_to"))
+        .where("gap_from <= gap_to")
     )
 
 
@@ -161,16 +162,25 @@ def contained_in(
     how: str = "left_semi",
 ) -> DataFrame:
     """Rows whose [start, end] lies inside one of ``ranges`` (``left_anti`` for those that do
-    not). Pass merged ranges for the exact test, ledger rows for the row-wise one."""
-    r = ranges.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("range_from").alias("_from"),
-        F.col("range_to").alias("_to"),
-    )
-    on = [df[k] == r[f"_k_{k}"] for k in keys] + [
-        r["_from"] <= df[start], r["_to"] >= df[end]
+    not). Pass merged ranges for the exact test, ledger rows for the row-wise one.
+
+    A range that holds all of a row holds its first day: rows are looked up in the bin of that day,
+    among ranges laid on every bin they touch.
+    """
+    held = around(ranges, keys)
+    first = df.withColumn("_bin", bin_of(F.col(start)))
+    on = [first[k] == held[f"_k_{k}"] for k in keys] + [
+        first["_bin"] == held["_held_bin"], held["_from"] <= first[start], held["_to"] >= first[end]
     ]
-    return df.join(r, on, how)
+    return first.join(held, on, how).drop("_bin")
+
+
+def around(ranges: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
+    """Ranges under names of their own, on every bin they touch; of one start the longest."""
+    longest = longest_per_start(ranges, keys).withColumns({"_from": F.col("range_from"), "_to": F.col("range_to")})
+    named = longest.withColumns({f"_k_{k}": F.col(k) for k in keys})
+    laid = on_bins(named, "_from", "_to", *[f"_k_{k}" for k in keys], "_from", "_to")
+    return laid.drop("_own").withColumnRenamed("_bin", "_held_bin")
 
 
 def last_of_month(dates: DataFrame, key: str = "underlying_id") -> DataFrame:

@@ -77,36 +77,29 @@ def outside_block(contracts: DataFrame, expiries: DataFrame) -> DataFrame:
     )
 
 
-def overlapping_blocks(expiries: DataFrame, width: int = BLOCK_SIZE) -> DataFrame:
+def overlapping_blocks(expiries: DataFrame, stretch: int = 1 << 22) -> DataFrame:
     """Pairs of expiries whose id blocks intersect.
 
-    Each block is laid on the aligned units it touches, so only blocks sharing a unit meet. A pair
-    is reported from the first unit both touch.
+    One sweep along the id line numbers the blocks by their start. A block that starts as number n
+    and ends when m have started meets exactly the blocks n + 1 to m: those numbers are its pairs,
+    and nothing else is formed. The sweep runs in stretches of ids, each on top of the number of
+    starts in the stretches before it (at most 512 for the id type).
     """
     blocks = expiries.where("contract_id_lo IS NOT NULL").select(
-        F.col("expiry_id").alias("id"),
-        F.col("contract_id_lo").alias("lo"),
-        F.col("contract_id_hi").alias("hi"),
-    )
-
-    def laid(prefix: str) -> DataFrame:
-        first, last = F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)
-        return blocks.select(
-            *[F.col(c).alias(f"{prefix}{c}") for c in ("id", "lo", "hi")],
-            F.explode(F.sequence(first, last)).alias("unit"),
-        )
-
-    a, b = laid("a_"), laid("b_")
-    first_shared = F.floor(F.greatest("a_lo", "b_lo") / width)
-    return (
-        a.join(b, "unit")
-        .where(
-            (F.col("a_id") < F.col("b_id"))
-            & (F.col("a_lo") <= F.col("b_hi"))
-            & (F.col("b_lo") <= F.col("a_hi"))
-            & (F.col("unit") == first_shared)
-        )
-        .select("a_id", "b_id")
+        F.col("expiry_id").alias("id"), F.col("contract_id_lo").cast("bigint").alias("lo"), F.col("contract_id_hi").cast("bigint").alias("hi")
+    )
+    ends = F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("start")), F.struct(F.col("hi").alias("at"), F.lit(0).alias("start")))
+    events = blocks.where("hi >= lo").select("id", F.inline(ends)).withColumn("part", F.floor(F.col("at") / stretch))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = events.groupBy("part").agg(F.sum("start").alias("starts"))
+    before = before.select("part", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("base"))
+    # At one id blocks start before any ends: blocks that share only that id intersect.
+    sweep = Window.partitionBy("part").orderBy("at", F.desc("start"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = events.withColumn("nth", F.sum("start").over(sweep)).join(before, "part").withColumn("nth", F.col("nth") + F.col("base"))
+    placed = numbered.groupBy("id").agg(F.max(F.when(F.col("start") == 1, F.col("nth"))).alias("own"), F.max("nth").alias("last"))
+    met = placed.where("last > own").select("id", F.explode(F.sequence(F.col("own") + 1, "last")).alias("own"))
+    return met.join(placed.select("own", F.col("id").alias("other")), "own").select(
+        F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")
     )
 
 

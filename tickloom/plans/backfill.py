@@ -182,22 +182,18 @@ def candidate_chunks(windows: DataFrame) -> DataFrame:
 
 def classify_chunks(chunks: DataFrame, coverage: DataFrame) -> DataFrame:
     """What each candidate is: ``dead`` (inside a recorded hole in the data), ``held`` (inside
-    merged coverage) or ``missing``. Merged ranges are disjoint, so each test matches at most one."""
+    merged coverage) or ``missing``. Merged ranges are disjoint, so each test matches at most one,
+    looked up in the bin of the chunk's first day."""
     held = intervals.merge(intervals.held(coverage))
     dead = intervals.merge(coverage.where("status = 'empty' AND row_count = 0"))
 
     def inside(df: DataFrame, ranges: DataFrame, flag: str) -> DataFrame:
-        r = ranges.select(
-            F.col("contract_id").alias("_c"), F.col("res_id").alias("_r"),
-            F.col("range_from").alias("_f"), F.col("range_to").alias("_t"),
-            F.lit(True).alias(flag),
+        r = intervals.around(ranges).withColumn(flag, F.lit(True))
+        df = df.withColumn("_bin", intervals.bin_of(F.col("chunk_from")))
+        on = [df[k] == r[f"_k_{k}"] for k in SERIES] + [df["_bin"] == r["_held_bin"]]
+        return df.join(r, [*on, r["_from"] <= df["chunk_from"], r["_to"] >= df["chunk_to"]], "left").drop(
+            "_bin", *[c for c in r.columns if c != flag]
         )
-        return df.join(
-            r,
-            (df["contract_id"] == r["_c"]) & (df["res_id"] == r["_r"])
-            & (r["_f"] <= df["chunk_from"]) & (r["_t"] >= df["chunk_to"]),
-            "left",
-        ).drop("_c", "_r", "_f", "_t")
 
     marked = inside(inside(chunks, held, "_held"), dead, "_dead")
     return marked.withColumn(
