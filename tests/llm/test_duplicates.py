@@ -8,6 +8,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -150,6 +151,22 @@ def test_near_copies_against_brute_force(spark):
     assert met[0.8] >= 0.94 * of[0.8] and met[0.85] >= 0.97 * of[0.85] and met[0.9] >= 0.99 * of[0.9], met
 
 
+@pytest.mark.parametrize("nodes", [1, 600, 200_000, 10**10])
+def test_segments_keep_chance_meetings_few_and_recall_high(nodes):
+    segments = simhash.SIMILAR.segments(nodes)
+    count, width = segments.shape
+    assert count * (width + 1) * nodes / 2**width < 120
+    assert all(len(set(row)) == width for row in segments.tolist()) and segments.max() < 768
+    rng, differ = np.random.RandomState(3), 0.1515
+    flips = rng.random_sample((4000, 768)) < differ
+    met = np.zeros(4000, bool)
+    for row in segments:
+        met |= flips[:, row].sum(1) <= 1
+    # Segments of many orders of the same bits are not independent: 97 % at 200,000 prints, 92 % at 10**10.
+    assert met.mean() > (0.955 if nodes < 10**6 else 0.915)
+    assert (flips.sum(1) <= simhash.SIMILAR.distance).mean() > 0.995
+
+
 def test_hubs_leave_the_components(spark):
     """Near copies of one text, a chain of edits and single texts, with and without rounds of hubs."""
     rng = random.Random(12)
@@ -165,7 +182,7 @@ def test_hubs_leave_the_components(spark):
     want = dict(enumerate(roots(len(rows), near)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for hubs in (0, 2):
-        got = simhash.near_duplicates(docs, index=simhash.Tables(hubs=hubs)).collect()
+        got = simhash.near_duplicates(docs, index=simhash.Similar(hubs=hubs)).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 

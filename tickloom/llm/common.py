@@ -20,10 +20,13 @@ NOT_SPACES = r"[^\x20\x09-\x0D]+"
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder name under the shared folder of ``spark.checkpoint.dir``.
 
-    Where the setting is absent, as in tests, a temporary folder is made and set once.
+    Where the setting is absent and the master local, as in tests, a temporary folder is made and
+    set once; elsewhere executors would not see it, and that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset and the master is not local")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -44,6 +47,23 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+class Scratch:
+    """Working tables that are removed together once what was made from them is stored."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path = work_folder(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_folder(self.spark, path)
+
+
 def opened(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, for tasks that write or read plain files."""
     if ":/" in path:

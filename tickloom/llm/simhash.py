@@ -11,12 +11,15 @@ cut into segments; a fingerprint looks up, in each segment's table, the values w
 bits of its own, and checks the whole distance of what it meets. Linked pairs that differ by at most
 ``(radius + 1) * segments - 1`` bits agree that well in some segment and are always met.
 
-``Tables``: texts are linked whose sets of shingles have at least the Jaccard ``similarity``, compared
-exactly but for collisions of 64-bit hashes. Pairs compared are those that agree in all ``width``
-bits of one of ``tables`` choices of bits and differ in at most ``distance`` of all bits; the last
-only spares comparisons. Pairs that other links join already are not compared: that leaves the
-components as they are, so rounds first compare each text with one hub of its buckets, and then all
-pairs still apart that share a bucket.
+``Similar``: texts are linked whose sets of shingles have at least the Jaccard ``similarity``, compared
+exactly but for collisions of 64-bit hashes. Longer fingerprints are cut into segments, in as many
+orders of their bits as it takes; a fingerprint looks up the values within one bit of its own in each
+segment's table. Segments are ``spare`` bits wider than the number of fingerprints needs, so that the
+chance meetings of one fingerprint stay the same few however many there are, and as many as give the
+``recall`` at that width. What is met has its whole distance checked, and what is within ``distance`` its
+sets. Pairs that other links join already are not compared: that leaves the components as they are, so
+rounds first compare each text with one hub of the tables' entries it meets, and then all pairs still
+apart that meet.
 
 Only different fingerprints are looked up: equal ones are one node, however many documents have it.
 
@@ -29,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from tickloom.llm.common import byte_texts, pieces, stored
+from tickloom.llm.common import Scratch, byte_texts, pieces, stored
 from tickloom.llm.components import components
 
 BITS, SEED = 64, 42
@@ -58,29 +62,36 @@ class Index:
 
 
 @dataclass(frozen=True)
-class Tables:
+class Similar:
     """How longer fingerprints are made, looked up and compared."""
 
     shingle: int = 5
-    words: int = 4
-    width: int = 20
-    tables: int = 192
-    distance: int = 60
+    words: int = 12
+    spare: int = 6
+    recall: float = 0.97
+    distance: int = 146
     similarity: float = 0.8
     #: Rounds that compare a node with one hub.
     hubs: int = 2
 
-    def choices(self) -> np.ndarray:
-        """The bits of every table: permutations of all bits, cut."""
+    def segments(self, nodes: int) -> np.ndarray:
+        """The bits of every segment for so many fingerprints, one segment a row.
+
+        Sets of Jaccard similarity s and equal size make prints that differ in each bit with probability
+        acos(2 s / (1 + s)) / pi; a segment meets if none of its bits differ, or one.
+        """
+        width = max(12, ceil(log2(max(nodes, 1))) + self.spare)
+        same = 1 - acos(2 * self.similarity / (1 + self.similarity)) / pi
+        meets = same**width + width * (1 - same) * same ** (width - 1)
+        wanted = ceil(log(1 - self.recall) / log(1 - meets))
         rng, n = np.random.RandomState(SEED), self.words * BITS
-        each = n // self.width
-        rows = [rng.permutation(n)[: each * self.width].reshape(each, self.width) for _ in range(-(-self.tables // each))]
-        return np.concatenate(rows)[: self.tables]
+        each = n // width
+        rows = [rng.permutation(n)[: each * width].reshape(each, width) for _ in range(-(-wanted // each))]
+        return np.concatenate(rows)[:wanted]
 
 
-#: Simulated on random sets of 100 and 400 shingles, 3,000 pairs each: of pairs at 0.8 98.9 and 98.6 % are met, at 0.85
-#: 99.8 and 99.7 %, at 0.9 all; pairs under 0.8 are met less often and then spared by the comparison.
-SIMILAR = Tables()
+#: A pair at 0.8 differs in 116 of 768 bits on average, with a spread of 10; the segments meet 97 % of such pairs.
+SIMILAR = Similar()
 #: 64 bits of three-word shingles and links up to 3 bits, all of which are met.
 CLOSE = Index(shingle=3, words=1, per_word=2, radius=1, distance=3)
 
@@ -124,7 +135,7 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
     return np.packbits(2 * counts > n, bitorder="little").view("<i8").tolist()
 
 
-def fingerprints(df: DataFrame, text_col: str, index: Index | Tables) -> DataFrame:
+def fingerprints(df: DataFrame, text_col: str, index: Index | Similar) -> DataFrame:
     """All columns of ``df`` but the text, then ``print``: the fingerprint's words."""
     rest = [c for c in df.columns if c != text_col]
     source = df.select(*[df[f"`{c}`"] for c in rest], df[text_col].cast("string").alias("__text"))
@@ -173,23 +184,29 @@ def links(prints: DataFrame, index: Index) -> DataFrame:
     return met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def buckets(nodes: DataFrame, index: Tables) -> DataFrame:
-    """(key, node) of every table for ``nodes`` (node, print): the chosen bits and the table's number."""
-    choices = index.choices()
-    weights = (1 << np.arange(index.width)).astype(np.float32)
-    numbers = np.arange(len(choices), dtype=np.int32) << index.width
+def looked_up(nodes: DataFrame, segments: np.ndarray, radius: int) -> DataFrame:
+    """(key, node) of ``nodes`` (node, print): each segment's own value and, with radius 1, those with one more bit.
+
+    Where two values differ in one bit, the one that has a zero there finds the other.
+    """
+    count, width = segments.shape
+    powers, numbers = np.int64(1) << np.arange(width), np.arange(count, dtype=np.int64) << width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 1024):
-                part = batch.slice(begin, 1024)
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
                 words = np.array(part["print"].flatten(), "<i8").view(np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(words, axis=1, bitorder="little").astype(np.float32)
-                keys = (bits[:, choices] @ weights).astype(np.int32) + numbers
-                ids = np.repeat(part["node"].to_numpy(), len(choices))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "node"])
+                bits = np.unpackbits(words, axis=1, bitorder="little")[:, segments]
+                own, names = bits @ powers + numbers, part["node"].to_numpy()
+                keys, ids = [own.ravel()], [np.repeat(names, count)]
+                if radius:
+                    row, segment, bit = np.nonzero(bits == 0)
+                    keys.append(own[row, segment] + powers[bit])
+                    ids.append(names[row])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids)], names=["key", "node"])
 
-    return nodes.select("node", "print").mapInArrow(run, "key int, node long")
+    return nodes.select("node", "print").mapInArrow(run, "key long, node long")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, index: Tables) -> DataFrame:
@@ -208,63 +225,75 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, tex
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, index: Tables) -> DataFrame:
+def similar(
+    docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, index: Similar, work: Scratch
+) -> DataFrame:
     """The ``pairs`` (a, b) whose texts are as similar as asked."""
     for end in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("print").alias(f"print_{end}")), end)
-    near = stored(pairs.where(_apart("print_a", "print_b", index) <= index.distance).select("a", "b"), "near")
+    near = work.stored(pairs.where(_apart("print_a", "print_b", index) <= index.distance).select("a", "b"), "near")
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(_sets(docs, nodes, wanted, id_col, text_col, index), "shingles")
+    sets = work.stored(_sets(docs, nodes, wanted, id_col, text_col, index), "shingles")
     for end in ("a", "b"):
         near = near.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
-    return stored(near.where(both >= index.similarity * either).select("a", "b"), "similar")
+    return work.stored(near.where(both >= index.similarity * either).select("a", "b"), "similar")
 
 
-def _apart(a: str, b: str, index: Tables) -> Column:
+def _apart(a: str, b: str, index: Similar) -> Column:
     return sum(F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(index.words))
 
 
-def similar_groups(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, index: Tables) -> DataFrame:
+def similar_groups(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, index: Similar) -> DataFrame:
     """(node, root) of every one of ``nodes`` (node, print, first), linked by similarity."""
-    whole = Window.partitionBy("key")
-    shared = buckets(nodes, index).withColumn("n", F.count(F.lit(1)).over(whole)).where("n > 1").select("key", "node")
-    shared, roots, links = stored(shared, "buckets"), nodes.select("node", F.col("node").alias("root")), None
+    work, segments = Scratch(nodes.sparkSession), index.segments(nodes.count())
+    held = looked_up(nodes, segments, 0)
+    others = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("one"))
+    asks = looked_up(nodes, segments, 1).join(others, "key").where("n > 1 OR one <> node").select("key", "node")
+    asks = work.stored(asks, "asks")
+    held = work.stored(held.join(asks.select("key").distinct(), "key", "left_semi"), "held")
+    roots, links = nodes.select("node", F.col("node").alias("root")), None
     for turn in range(index.hubs + 1):
-        apart = shared.join(roots, "node").withColumn("least", F.min("root").over(whole))
-        apart = apart.withColumn("most", F.max("root").over(whole)).where("least <> most").select("key", "node", "root")
+        members = held.join(roots, "node")
+        hub = F.min(F.struct(F.xxhash64("root", F.lit(turn)), "node", "root")).alias("hub")
+        keys = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), hub)
+        apart = asks.join(roots, "node").join(keys, "key").where("least <> root OR most <> root")
         if turn < index.hubs:
-            hub = F.min(F.struct(F.xxhash64("root", F.lit(turn)), F.col("node"), F.col("root"))).over(whole)
-            pairs = apart.withColumn("hub", hub).where("root <> hub.root").groupBy("node", F.col("hub.node").alias("b"))
+            pairs = apart.where("root <> hub.root").groupBy("node", F.col("hub.node").alias("b"))
             pairs = pairs.agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("node").alias("a"))
             pairs = pairs.agg(F.max_by("b", F.struct("n", "b")).alias("b"))
         else:
-            apart = apart.join(nodes.select("node", "print"), "node")
-            one, two = (apart.select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "print")]) for k in "ab")
-            met = one.join(two, "key").where("node_a < node_b AND root_a <> root_b")
+            apart = work.stored(apart.select("key", "node", "root"), "apart")
+            open_members = members.join(apart.select("key").distinct(), "key", "left_semi")
+            one, two = (
+                x.join(nodes.select("node", "print"), "node").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "print")])
+                for k, x in (("a", apart), ("b", open_members))
+            )
+            met = one.join(two, "key").where(F.col("root_a") != F.col("root_b"))
             met = met.where(_apart("print_a", "print_b", index) <= index.distance)
-            pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        found = similar(docs, nodes, pairs, id_col, text_col, index)
+            pairs = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        found = similar(docs, nodes, pairs, id_col, text_col, index, work)
         links = found if links is None else links.unionByName(found)
         placed = stored(components(links).withColumnRenamed("node", "linked"), "roots")
         roots = nodes.join(placed, nodes["node"] == placed["linked"], "left").select("node", F.coalesce("root", "node").alias("root"))
+    work.drop()
     return roots
 
 
-def _prints(docs: DataFrame, id_col: str, text_col: str, index: Index | Tables) -> DataFrame:
+def _prints(docs: DataFrame, id_col: str, text_col: str, index: Index | Similar) -> DataFrame:
     """Stored per row: doc_id, text_hash (tells rows of one id apart), print, node (its short name)."""
     text = docs[text_col].cast("string")
     source = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return stored(fingerprints(source, "text", index), "doc-prints")
 
 
-def grouped(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, index: Index | Tables) -> DataFrame:
+def grouped(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, index: Index | Similar) -> DataFrame:
     """Per fingerprint of ``_prints``: print, and first: the least row of its component."""
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    name = F.monotonically_increasing_id() if isinstance(index, Tables) else F.element_at("print", 1)
+    name = F.monotonically_increasing_id() if isinstance(index, Similar) else F.element_at("print", 1)
     nodes = stored(prints.groupBy("print").agg(F.min(row).alias("first")).withColumn("node", name), "prints")
-    if isinstance(index, Tables):
+    if isinstance(index, Similar):
         roots = similar_groups(docs, nodes, id_col, text_col, index)
     else:
         roots = components(links(nodes.select("node", "print"), index))
@@ -276,7 +305,7 @@ def grouped(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, inde
     return placed.select("print", "root").join(least, "root").select("print", "first")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | Tables = SIMILAR) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | Similar = SIMILAR) -> DataFrame:
     """Per row: doc_id, fingerprint (hex digits), component_id, the least id reachable by links."""
     prints = _prints(docs, id_col, text_col, index)
     found = prints.join(grouped(docs, prints, id_col, text_col, index), "print")
@@ -284,7 +313,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", digits.alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | Tables = SIMILAR) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | Similar = SIMILAR) -> DataFrame:
     """The row of the least id of every component, with all its columns; one of repeated rows."""
     prints = _prints(docs, id_col, text_col, index)
     keep = grouped(docs, prints, id_col, text_col, index).select("first.*").distinct()
