@@ -51,7 +51,27 @@ def test_a_null_value_is_a_value(spark):
 
 
 def test_no_window_spans_a_whole_key(spark):
-    """The plan shuffles rows by (key, bucket); only one row per bucket is ordered by key alone."""
+    """The plan shuffles moments by (key, bucket); only one row per bucket is ordered by key alone. Nothing is
+    joined to find a match; the one join brings it back to the asks of its moment, by equality."""
     _, _, l, r = build(spark)
-    plan = asof.asof_backward(l, r, ["k"], "at", "ts", ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    plan = asof._matched(l.select("k", "at").distinct(), r, ["k"], "at", "ts", ["v"], asof.DAY, True)
+    plan = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan and "Join" not in plan
+    whole = asof.asof_backward(l, r, ["k"], "at", "ts", ["v"])._jdf.queryExecution()
+    joins = [line for line in whole.optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and "LeftOuter" in joins[0] and "at#" in joins[0] and " = _k_at#" in joins[0]
+    assert "NestedLoop" not in whole.executedPlan().toString() and "Cartesian" not in whole.executedPlan().toString()
+
+
+def test_a_moment_that_most_asks_share_is_matched_once(spark):
+    points = spark.range(1000).selectExpr("1 AS k", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) AS ts", "id AS v")
+    asks = spark.range(20_000).selectExpr(
+        "id", "1 AS k", "timestamp_ntz'2024-01-01 10:00:30' + make_interval(0, 0, 0, 0, 0, IF(id % 10 = 0, id div 10 % 700, 0)) AS at"
+    ).union(spark.createDataFrame([(-1, None, None), (-2, 1, None)], "id long, k int, at timestamp_ntz"))
+    got = asof.asof_backward(asks, points, ["k"], "at", "ts", ["v"], bucket_seconds=asof.HOUR)
+    moments = asks.select("k", "at").distinct()
+    once = asof._matched(moments, points, ["k"], "at", "ts", ["v"], asof.HOUR, True)
+    assert once.count() == moments.where("at IS NOT NULL").count() == 700
+    rows = {r.id: r.v for r in got.collect()}
+    assert len(rows) == 20_002 and rows[-1] is None and rows[-2] is None
+    assert all(rows[i] == 600 + (i // 10 % 700 if i % 10 == 0 else 0) if (i // 10 % 700 if i % 10 == 0 else 0) < 400 else rows[i] == 999 for i in range(20_000))

@@ -1,10 +1,11 @@
 """Backward as-of matching without a theta join.
 
-Both sides are laid on one time line per key and each left row takes the last right row at or
-before it. A key can hold a large share of all rows, so the line is cut into time buckets: the
-window runs per (key, bucket), and every bucket is opened by the last right row of the buckets
-before it. Those openers come from one aggregated row per (key, bucket), a number bounded by the
-calendar rather than by the data.
+Asks are reduced to their distinct moments first and joined back to the match, so a moment that most
+of them share is matched once. Moments and right rows are laid on one time line per key and each
+moment takes the last right row at or before it. A key can hold a large share of all rows, so the
+line is cut into time buckets: the window runs per (key, bucket), and every bucket is opened by the
+last right row of the buckets before it. Those openers come from one aggregated row per (key,
+bucket), a number bounded by the calendar rather than by the data.
 """
 
 from __future__ import annotations
@@ -46,13 +47,27 @@ def asof_backward(
     before. Rows whose moment is null match nothing and are kept.
     """
     keys = list(keys)
+    moments = left.select(*keys, left_ts).distinct()
+    found = _matched(moments, right, keys, left_ts, right_ts, values, bucket_seconds, inclusive)
+    # Keys may be null on both sides; a moment that is null matches nothing.
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(left_ts) == F.col("_k_at")]
+    return left.join(found, same, "left").select(
+        *[F.col(c) for c in left.columns], F.col("_p._at").alias(matched_ts), *[F.col(f"_p._v_{v}").alias(v) for v in values]
+    )
+
+
+def _matched(
+    asked: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: Sequence[str],
+    bucket_seconds: int, inclusive: bool,
+) -> DataFrame:
+    """Each distinct moment as (_k_<key>.., _k_at) with ``_p``, the last right row: _at and _v_<value>.."""
     payload = F.struct(
         F.col(right_ts).alias("_at"), *[F.col(v).alias(f"_v_{v}") for v in values]
     )
     points = right.where(F.col(right_ts).isNotNull()).select(
         *keys, _bucket(right, right_ts, bucket_seconds).alias("_b"), payload.alias("_p")
     )
-    asks = left.withColumn("_b", _bucket(left, left_ts, bucket_seconds))
+    asks = asked.where(F.col(left_ts).isNotNull()).withColumn("_b", _bucket(asked, left_ts, bucket_seconds))
 
     # One row per (key, bucket): the last point inside it, columns taken one by one so that the
     # aggregate buffers stay fixed-width.
@@ -78,18 +93,14 @@ def asof_backward(
         .select(*keys, "_b", "_p")
     )
 
-    left_row = F.struct(*[F.col(c) for c in left.columns])
     side = 1 if inclusive else -1
     line = (
         points.unionByName(openers)
-        .select(
-            *keys, "_b", "_p", F.lit(None).cast(left.schema).alias("_l"),
-            at.alias("_t"), F.lit(0).alias("_side"),
-        )
+        .select(*keys, "_b", "_p", at.alias("_t"), F.lit(0).alias("_side"))
         .unionByName(
             asks.select(
                 *keys, "_b", F.lit(None).cast(points.schema["_p"].dataType).alias("_p"),
-                left_row.alias("_l"), F.col(left_ts).alias("_t"), F.lit(side).alias("_side"),
+                F.col(left_ts).alias("_t"), F.lit(side).alias("_side"),
             )
         )
     )
@@ -98,15 +109,8 @@ def asof_backward(
         .orderBy("_t", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    matched = line.withColumn("_hit", F.last("_p", ignorenulls=True).over(up_to_here)).where(
-        F.col("_side") != 0
-    )
-    found = F.when(F.col(f"_l.{left_ts}").isNotNull(), F.col("_hit"))
-    return matched.select(
-        *[F.col(f"_l.{c}").alias(c) for c in left.columns],
-        found["_at"].alias(matched_ts),
-        *[found[f"_v_{v}"].alias(v) for v in values],
-    )
+    hits = line.withColumn("_p", F.last("_p", ignorenulls=True).over(up_to_here)).where(F.col("_side") != 0)
+    return hits.where("_p IS NOT NULL").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_t").alias("_k_at"), "_p")
 
 
 def spot_closes(candles: DataFrame, underlyings: DataFrame, res_id: int | None = None) -> DataFrame:
