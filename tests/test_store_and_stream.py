@@ -84,7 +84,8 @@ def test_a_batch_reads_only_the_folders_it_touches(spark):
     partials = aggregates.bounds(table, *store.FOLDERS)
     fresh = writes.refresh_bounds(partials, table, touched)
     assert sorted(map(tuple, aggregates.combined_bounds(fresh).collect())) == sorted(map(tuple, aggregates.bounds(table).collect()))
-    files = store.inside(table, touched, store.FOLDERS).select(F.input_file_name().alias("f")).distinct().collect()
+    written = spark.read.schema(store.BARS_ON_DISK).parquet(f"{root}/candles").select("*", "_metadata.file_path")
+    files = store.inside(written, touched, store.FOLDERS).select(F.col("file_path").alias("f")).distinct().collect()
     assert len(files) == 1 and "trade_month=2024-03" in files[0].f
     assert "dynamicpruning" in plan_of(store.inside(table, touched, store.FOLDERS)).lower()
 
