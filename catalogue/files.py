@@ -343,6 +343,15 @@ def s14(t: Tables):
     return export.file_digests(t.spark, path).select("folder", "byte_size", "sha256")
 
 
+@query("s16_arrow_hand_off", q(f"SELECT {B('res_id')}, {B('count(*)', 'bars')}, {D('min(low)', 'low')}, {D('max(high)', 'high')}, {D('sum(close)', 'closes')}, {T('max(ts)', 'last_ts')} FROM candles GROUP BY res_id"))
+def s16(t: Tables):
+    # At most a row for each of the fifteen resolutions crosses to the driver.
+    summary = t.candles.groupBy("res_id").agg(
+        F.count("*").alias("bars"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("close").alias("closes"), F.max("ts").alias("last_ts")
+    )
+    return t.spark.createDataFrame(export.to_arrow(summary))
+
+
 @query(
     "s11_spec_problems",
     f"""SELECT {B('o_orderkey')}, CASE WHEN f = 'orc' THEN 'format_unknown' WHEN l = 'flat' THEN 'layout_unknown' WHEN c = 'lz77' THEN 'codec_unknown'
