@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tests.llm import data
 from tickloom.llm import bpe, token_counts, token_files
@@ -88,13 +89,15 @@ def test_encode_and_decode_tables(spark, plain):
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0], [1, 1, 7, 7, 900, 10**6], list(range(0, 9000, 3)), [0] * 700 + [1 << 40]])
 def test_elias_fano(values):
     coded = token_files.EliasFano.from_bytes(token_files.EliasFano.of(np.array(values, np.uint64)).to_bytes())
-    assert coded.values().tolist() == values
-    assert [coded.select(i) for i in range(len(values))] == values
+    assert coded.select(0, len(values)).tolist() == values
+    for i in range(0, len(values), 37):
+        for n in (1, 2, 255, 256, 257, 1000):
+            assert coded.select(i, min(i + n, len(values))).tolist() == values[i : i + n]
     if len(values) > 1000:
         assert len(coded.to_bytes()) < 8 * len(values) / 6
 
 
-def test_token_files(spark, plain, tmp_path):
+def test_token_files(spark, plain, tmp_path, monkeypatch):
     listing = token_files.write(data.docs(spark), str(tmp_path), JSON, 0, files=3)
     got = token_files.read(listing).collect()
     order = sorted(data.rows(), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -107,12 +110,25 @@ def test_token_files(spark, plain, tmp_path):
         assert r["start"] == at
         at += r["n_tokens"]
     file = token_files.TokenFile(sorted(r["file"] for r in listing.collect())[0])
-    for i, (_, _, found) in enumerate(file.documents()):
-        assert file.document(i).tolist() == found.tolist()
+    whole = [(k, b, x.tolist()) for k, b, x in file.documents()]
+    assert len(whole) == file.docs
+    for first in range(file.docs):
+        for last in range(first, file.docs + 1):
+            assert [(k, b, x.tolist()) for k, b, x in file.documents(first, last)] == whole[first:last]
+    monkeypatch.setattr(token_files, "READ_DOCS", 2)
+    assert sorted(map(repr, token_files.read(listing).collect())) == sorted(map(repr, got))
     empty = token_files.write_and_read(data.no_docs(spark), JSON, 0)
     assert empty.count() == 0
 
 
+def test_special_strings_as_the_library_by_default():
+    library = Tokenizer.from_file(JSON.path)
+    use = bpe.Encoder(bpe.Vocabulary(JSON.path, special=True))
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>\n", "<|endoftext", "plain  text\n", ""):
+        assert ids(use, text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert 50256 in ids(use, "x <|endoftext|> y") and 50256 not in ids(bpe.Encoder(JSON), "x <|endoftext|> y")
+
+
 def test_separator_scan(spark, plain):
     folder = work_folder(spark, "flat")
     listing = token_counts.write_flat(data.docs(spark), folder, JSON, 50256)

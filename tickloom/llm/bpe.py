@@ -47,10 +47,15 @@ UNSETTLED = re.compile("[^\\0-\u024f]").search
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A tokenizer file: ``json`` of the tokenizers library, or ``ranks`` as base64 and number a line."""
+    """A tokenizer file: ``json`` of the tokenizers library, or ``ranks`` as base64 and number a line.
+
+    With ``special``, added tokens that stand in a text get their own ids, as the library does by
+    default; else they are ordinary text.
+    """
 
     path: str
     kind: str = "json"
+    special: bool = False
 
 
 def alphabet() -> list[str]:
@@ -148,8 +153,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, limit: int = KEPT_PARTS) -> None:
         made = from_ranks(vocabulary.path) if vocabulary.kind == "ranks" else Tokenizer.from_file(vocabulary.path)
-        made.encode_special_tokens = True
+        made.encode_special_tokens = not vocabulary.special
         self.tokenizer = made
+        self.added = [t.content for t in made.get_added_tokens_decoder().values()] if vocabulary.special else []
         self.size = made.get_vocab_size(with_added_tokens=True)
         self.code, self.dtype = ("H", "<u2") if self.size <= 1 << 16 else ("I", "<u4")
         before = made.pre_tokenizer
@@ -161,7 +167,7 @@ class Encoder:
         """Ids of one whole text."""
         if not text:
             return b""
-        if not self.cuttable:
+        if not self.cuttable or any(token in text for token in self.added):
             return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         cut = text.replace("\n", " \n").split(" ")
         cut[0] = " " + cut[0]

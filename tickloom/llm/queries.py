@@ -30,6 +30,8 @@ ORACLES: dict[str, str] = {}
 
 RANKS = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), "ranks")
 JSON = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+#: The same as the library reads a text by default: special strings in it are special ids.
+LIBRARY = bpe.Vocabulary(JSON.path, special=True)
 #: Rules of the URL query, as host and path, and what they say.
 RULES = (
     ("org/", "allow"),
@@ -58,7 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.write_and_read(table(spark, sf_dir, "documents"), JSON, 0)
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), LIBRARY, 0)
 
 
 @query("op8_byte_bpe")
