@@ -127,6 +127,20 @@ def test_mix(spark):
     assert mixing.assign(data.no_docs(spark)).count() == 0
 
 
+def test_schedule_is_the_mix_in_order(spark):
+    assigned = mixing.assign(data.docs(spark))
+    mix = mixing.schedule(assigned)
+    due = [r["position"] for r in mix.collect()]
+    per_file = [[r["position"] or 0.0 for r in part] for part in mix.rdd.glom().collect()]
+    assert all(part == sorted(part) for part in per_file) and len([x for x in due if x is not None]) > len(data.rows()) / 2
+    told = Counter((r["doc_id"], r["size"], r["taken"], r["first_position"]) for r in assigned.collect())
+    got = mixing.tally(mix).collect()
+    assert Counter((r["doc_id"], r["size"], r["taken"], r["first_position"]) for r in got) == told
+    assert any(r["passes"] > 1 and r["last_position"] > r["first_position"] for r in got)
+    assert all(r["passes"] == (math.ceil(r["taken"] / r["size"]) if r["taken"] else 0) for r in got)
+    assert mixing.tally(mixing.schedule(mixing.assign(data.no_docs(spark)))).count() == 0
+
+
 def test_curriculum_repeats_rows(spark):
     docs = data.docs(spark)
     rows = mixing.curriculum(docs).collect()
@@ -183,6 +197,22 @@ def test_templates_learn_from_rules(spark):
     assert got[61]["template"] == "/*/q"
 
 
+def test_similar_siblings_are_merged(spark):
+    rows = [("h", "/a/1", 40, 20, 16), ("h", "/b/1", 40, 18, 14), ("h", "/c/1", 60, 30, 0), ("h", "/d/1", 40, 0, 0)]
+    rows += [("h", f"/rare{i}/1", 3, 0, 0) for i in range(9)] + [("h", "", 1, 0, 0)]
+    rows += [("deep", "/y" * 9, 4096, 0, 0), ("short", "/y" * 9, 40, 0, 0)]
+    paths = spark.createDataFrame(rows, "host string, path string, pages long, labels long, blocked long")
+    found, levels = url_filters.templates(paths)
+    assert levels == 9
+    shown = {(r["host"], r["path"]): r[f"t{levels}"] for r in found.collect()}
+    assert shown["h", "/a/1"] == "/a/*" and shown["h", "/rare3/1"] == "/*/*" and shown["h", ""] == ""
+    assert shown["deep", "/y" * 9] == "/y" * 9 and shown["short", "/y" * 9] == "/y/y/y/**"
+    purity = {(r["host"], r["template"]): r["purity"] for r in url_filters.purities(found, levels).collect()}
+    host = 30 / 68
+    for branch, want in {"/a/*": (30 + 10 * host) / 48, "/b/*": (30 + 10 * host) / 48, "/c/*": 10 * host / 40, "/d/*": host, "/*/*": host}.items():
+        assert math.isclose(purity["h", branch], want), branch
+
+
 def chats():
     odd = "\\### Assistant: </turn> ok"
     rng = random.Random(4)

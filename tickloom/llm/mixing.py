@@ -8,7 +8,8 @@ is shared by weight among the others, until none is above.
 The documents of a source stand in a fixed random order, end to end, and are read over and over
 until its target is met. An occurrence that begins at word x of that demand is due when the
 integral of the source's curve reaches x of the target: that moment, found by inverting the
-integral, is its training position, and the mix is sorted by position over ranges.
+integral, is its training position, and the mix is sorted by position over ranges. A position is a
+moment in [0, 1] that all sources share, not a count of words before it.
 
 Order is by MD5 of the id. Its first three hex digits split every source into buckets: words are
 summed by bucket, buckets are added up along the source, and only inside a bucket are documents
@@ -141,12 +142,50 @@ def assign(
     )
 
 
+def _due(pass_: Column) -> Column:
+    """The training position of a document's ``pass_``-th reading."""
+    demand = (F.col("begin") + pass_ * F.col("source_size")) / F.col("target")
+    return F.least(moment(F.least(demand, F.lit(1.0)), F.col("segments")), F.lit(1.0))
+
+
 def occurrences(assigned: DataFrame) -> DataFrame:
     """One row per copy of a whole document: doc_id, pass, size, position."""
     each = assigned.where("copies > 0").withColumn("pass", F.explode(F.expr("sequence(0L, copies - 1)")))
-    demand = (F.col("begin") + F.col("pass") * F.col("source_size")) / F.col("target")
-    position = F.least(moment(F.least(demand, F.lit(1.0)), F.col("segments")), F.lit(1.0))
-    return each.select("doc_id", "source", "pass", "size", position.alias("position"), "digest")
+    return each.select("doc_id", "source", "pass", "size", _due(F.col("pass")).alias("position"), "digest")
+
+
+def schedule(assigned: DataFrame) -> DataFrame:
+    """The mix itself, stored in training order over ranges: a row per document and pass, with its words.
+
+    The last pass may take a part of a document. Documents of which nothing is taken stand first,
+    with null pass and position.
+    """
+    passes = F.when(F.col("taken") > 0, F.expr("sequence(0L, (taken - 1) div size)"))
+    each = assigned.withColumn("pass", F.explode_outer(passes))
+    read = F.col("pass").isNotNull()
+    words_ = F.when(read, F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))).otherwise(0)
+    position = F.when(read, _due(F.col("pass")))
+    each = each.select(
+        "doc_id", "source", "begin", "size", "source_size", "target", "pass", words_.alias("words"), position.alias("position"), "digest"
+    )
+    return stored(each.repartitionByRange("position", "digest").sortWithinPartitions("position", "digest", "pass"), "mix")
+
+
+def tally(mix: DataFrame) -> DataFrame:
+    """Per document of a ``schedule``: its words in the mix, readings, first and last position."""
+    told = ("doc_id", "size", "source_size", "target")
+    idle = mix.where("pass IS NULL").select(
+        *told, "words", F.lit(0).cast("long").alias("passes"), F.col("position").alias("first"), F.col("position").alias("last")
+    )
+    read = mix.where("pass IS NOT NULL").groupBy("source", "begin").agg(
+        *[F.min(c).alias(c) for c in told],
+        F.sum("words").alias("words"),
+        F.count("pass").alias("passes"),
+        F.min("position").alias("first"),
+        F.max("position").alias("last"),
+    )
+    names = {"words": "taken", "first": "first_position", "last": "last_position"}
+    return idle.unionByName(read.drop("source", "begin")).withColumnsRenamed(names)
 
 
 def curriculum(

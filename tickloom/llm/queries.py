@@ -133,19 +133,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source),
     taken AS (
         SELECT *, CASE WHEN source_size > 0 THEN (due // source_size) * size
-                + greatest(0, least(due - (due // source_size) * source_size - start_word, size)) ELSE 0 END AS taken,
-            start_word::DOUBLE / target AS share
-        FROM laid)
-    SELECT doc_id, size, source_size, target, taken::BIGINT AS taken,
+                + greatest(0, least(due - (due // source_size) * source_size - start_word, size)) ELSE 0 END AS taken
+        FROM laid),
+    passed AS (
+        SELECT *, CASE WHEN taken > 0 THEN (taken - 1) // size + 1 ELSE 0 END AS passes FROM taken),
+    shares AS (
+        SELECT *, least(1.0, start_word::DOUBLE / target) AS share,
+            least(1.0, (start_word + (passes - 1) * source_size)::DOUBLE / target) AS last_share
+        FROM passed)
+    SELECT doc_id, size, source_size, target, taken::BIGINT AS taken, passes::BIGINT AS passes,
         CASE WHEN taken > 0 THEN round(least(1.0, CASE WHEN share = 0 THEN 0 ELSE
-            2 * share / (strength + sqrt(strength * strength + 2 * slope * share)) END), 6) END AS first_position
-    FROM taken
+            2 * share / (strength + sqrt(strength * strength + 2 * slope * share)) END), 6) END AS first_position,
+        CASE WHEN taken > 0 THEN round(least(1.0, CASE WHEN last_share = 0 THEN 0 ELSE
+            2 * last_share / (strength + sqrt(strength * strength + 2 * slope * last_share)) END), 6) END AS last_position
+    FROM shares
     """,
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.assign(table(spark, sf_dir, "documents"))
-    position = F.round("first_position", 6).alias("first_position")
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", position)
+    mixed = mixing.tally(mixing.schedule(mixing.assign(table(spark, sf_dir, "documents"))))
+    positions = [F.round(c, 6).alias(c) for c in ("first_position", "last_position")]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "passes", *positions)
 
 
 @query("op6_url_filters", url_filters.oracle(RULES))

@@ -5,12 +5,19 @@ both empty. A rule such as ``example.org/en/`` fits its host, all subdomains, an
 with its path; the longest fitting rule decides, ties by code point.
 
 Where no rule fits, the path's template decides. Per host, paths are read segment by segment. A
-segment that is a number or a long hexadecimal string becomes ``*``; so do all segments below a
-parent with more than ``MOST_BRANCHES`` different ones. What lies deeper than ``DEPTH`` segments is
-one ``**``. Pages that a rule has judged are the labels. From the host down, a node's purity is
-its share of blocked labels, smoothed towards its parent's by ``STRENGTH`` labels; a branch whose
-share does not differ from its parent's by ``DEVIATIONS`` standard deviations, or that has no
-labels, is merged into it and takes its purity. Templates of purity ``REJECT`` or more are blocked.
+number or a long hexadecimal string is a variable segment, ``*``. Any other segment keeps its name
+if at least ``SUPPORT * 2**depth`` pages take it and they are one in ``MOST_BRANCHES`` or more of
+the pages at its parent; the rest are generalised into ``*`` too. Where these do not reach that support together,
+the path ends in ``**``: a tree is as deep as its pages bear, and the depth grows with the logarithm
+of their number at most.
+
+Pages that a rule has judged are the labels. From the host down, siblings whose shares of blocked
+labels do not differ are merged: in order of share, a branch joins the one before it unless the
+difference passes ``DEVIATIONS`` standard deviations. A merged branch's purity is its share of
+blocked labels, smoothed towards its parent's by ``STRENGTH`` labels; where it does not differ from
+the parent's, or there are no labels, it takes the parent's. Hosts are compared with all labels and
+are not siblings; a host without labels has no purity. Templates are rejected where more than
+``REJECT`` of the smoothed labels are blocked.
 
 Counts are combined per host and path before any shuffle, and per node below, so a host with most
 pages leaves no large group. Repeated rows and null ids come back one row each; an empty table
@@ -21,15 +28,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import stored
 
-DEPTH, MOST_BRANCHES = 4, 20
-STRENGTH, DEVIATIONS, REJECT = 10.0, 2.0, 0.7
+SUPPORT, MOST_BRANCHES = 4, 20
+STRENGTH, DEVIATIONS, REJECT = 10.0, 2.0, 0.5
+#: Levels of the tree between two working tables.
+LEVELS_AT_ONCE = 4
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-VARIABLE = r"^([0-9]+([.][A-Za-z0-9]+)?|[0-9a-fA-F-]{16,})$"
+VARIABLE = r"\A([*]+|[0-9]+([.][A-Za-z0-9]+)?|[0-9a-fA-F-]{16,})\z"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str]
@@ -53,41 +62,75 @@ def fitting(rules: Sequence[Rule]) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def templates(paths: DataFrame) -> DataFrame:
-    """``paths`` (host, path, labels, blocked) with ``t0`` .. : the template after each depth."""
-    segments = F.slice(F.split("path", "/"), 2, 1 << 20)
-    out = paths.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments))
-    out = out.withColumn("t0", F.lit(""))
-    for d in range(1, DEPTH + 1):
-        raw = F.get("segments", F.lit(d - 1))
-        out = out.withColumn("segment", F.when(raw.rlike(VARIABLE), F.lit("*")).otherwise(raw))
-        branches = out.where("segment IS NOT NULL").groupBy("host", f"t{d - 1}", "segment").agg(F.lit(1).alias("one"))
-        wide = branches.groupBy("host", f"t{d - 1}").agg((F.count("one") > MOST_BRANCHES).alias("wide"))
-        shown = F.when(F.col("wide"), F.lit("*")).otherwise(F.col("segment"))
-        longer = F.concat(f"t{d - 1}", F.lit("/"), shown)
-        out = out.join(wide, ["host", f"t{d - 1}"], "left")
-        out = out.withColumn(f"t{d}", F.coalesce(longer, F.col(f"t{d - 1}"))).drop("wide", "segment")
-    rest = F.when(F.size("segments") > DEPTH, F.lit("/**")).otherwise(F.lit(""))
-    return out.withColumn(f"t{DEPTH + 1}", F.concat(f"t{DEPTH}", rest)).drop("segments")
-
-
-def purities(found: DataFrame) -> DataFrame:
+def depth(paths: DataFrame) -> int:
+    """Levels that the tree of ``paths`` (path, host, pages) can have, by longest path and largest host."""
+    hosts = paths.groupBy("host").agg(F.sum("pages").alias("pages"), F.max(F.size(F.split("path", "/"))).alias("segments"))
+    most = hosts.agg(F.max("pages"), F.max("segments")).first()
+    return min(most[1] - 1, max(1, (most[0] // SUPPORT).bit_length())) if most[0] else 0
+
+
+def templates(paths: DataFrame) -> tuple[DataFrame, int]:
+    """``paths`` (host, path, pages, labels, blocked) with ``t0`` .. : the template after each depth."""
+    levels = depth(paths)
+    out = paths.select("*", F.lit("").alias("t0"), F.lit(True).alias("open"))
+    for d in range(1, levels + 1):
+        up, raw = f"t{d - 1}", F.get(F.split("path", "/"), F.lit(d))
+        out = out.withColumn("segment", F.when(F.col("open"), F.when(raw.rlike(VARIABLE), F.lit("*")).otherwise(raw)))
+        branches = out.where("segment IS NOT NULL").groupBy("host", up, "segment").agg(F.sum("pages").alias("through"))
+        whole = branches.groupBy("host", up).agg(F.sum("through").alias("whole"))
+        named = (F.col("segment") != "*") & (F.col("through") >= SUPPORT << d)
+        named = named & (F.col("through") * MOST_BRANCHES >= F.col("whole"))
+        kept = branches.join(whole, ["host", up]).groupBy("host", up).agg(
+            F.collect_list(F.when(named, F.col("segment"))).alias("names"),
+            (F.coalesce(F.sum(F.when(~named, F.col("through"))), F.lit(0)) >= SUPPORT << d).alias("bears"),
+        )
+        out = out.join(kept, ["host", up], "left")
+        by_name = F.array_contains("names", F.col("segment"))
+        shown = F.when(by_name, F.col("segment")).when(F.col("bears"), "*").otherwise("**")
+        out = out.withColumn(f"t{d}", F.coalesce(F.concat(up, F.lit("/"), F.when(F.col("segment").isNotNull(), shown)), up))
+        out = out.withColumn("open", F.coalesce(by_name | F.col("bears"), F.lit(False))).drop("names", "bears", "segment")
+        if d % LEVELS_AT_ONCE == 0 and d < levels:
+            out = stored(out, "path-templates")
+    return stored(out.drop("open"), "path-templates"), levels
+
+
+def purities(found: DataFrame, levels: int) -> DataFrame:
     """Per host and template: ``purity``, worked out from the host down."""
-    levels = [f"t{d}" for d in range(DEPTH + 2)]
-    nodes = found.groupBy("host", *levels).agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked"))
+    columns = [f"t{d}" for d in range(levels + 1)]
+    nodes = found.groupBy("host", *columns).agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked"))
     nodes = stored(nodes, "templates")
     overall = nodes.agg(F.sum("blocked").alias("b"), F.sum("labels").alias("n"))
-    overall = overall.select(F.coalesce(F.col("b") / F.col("n"), F.lit(0.0)).alias("purity"))
-    known = nodes.select("host").distinct().join(F.broadcast(overall))
-    for d, level in enumerate(levels):
-        by = ["host", *levels[: d + 1]]
-        here = nodes.groupBy(*by).agg(F.sum("labels").alias("n"), F.sum("blocked").alias("b"))
-        here = here.join(known.withColumnRenamed("purity", "p"), by[:-1] if d else ["host"])
-        n, b, p = F.col("n"), F.col("b"), F.col("p")
-        same = (n == 0) | (F.abs(b / n - p) <= DEVIATIONS * F.sqrt(p * (1 - p) / n))
+    overall = overall.select(F.coalesce(F.try_divide("b", "n"), F.lit(0.0)).alias("purity"))
+    known = nodes.select("host").distinct().join(F.broadcast(overall)).withColumn("up", F.lit("").cast("string"))
+    n, b, p = F.col("n"), F.col("b"), F.col("p")
+    for d, level in enumerate(columns):
+        up = f"t{max(d - 1, 0)}"
+        here = nodes.groupBy("host", F.col(up).alias("up"), F.col(level).alias("t")).agg(
+            F.sum("labels").cast("double").alias("n"), F.sum("blocked").cast("double").alias("b")
+        )
+        here = here.join(known.withColumnRenamed("purity", "p"), ["host", "up"])
+        if d:
+            line = Window.partitionBy("host", "up").orderBy((n == 0) | (F.col("t") == F.col("up")), F.try_divide(b, n), "t")
+            m, c = F.lag("n").over(line), F.lag("b").over(line)
+            share = F.try_divide(b + c, n + m)
+            spread = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1.0), n) + F.try_divide(F.lit(1.0), m)))
+            joins = F.coalesce(F.abs(F.try_divide(b, n) - F.try_divide(c, m)) <= DEVIATIONS * spread, F.lit(False))
+            joins = joins & (F.col("t") != F.col("up"))
+            here = here.withColumn("alone", F.when(joins, 0).otherwise(1))
+            here = here.withColumn("pool", F.sum("alone").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+            pool = Window.partitionBy("host", "up", "pool")
+            here = here.withColumn("n", F.sum("n").over(pool)).withColumn("b", F.sum("b").over(pool))
+        same = (n == 0) | (F.abs(F.try_divide(b, n) - p) <= DEVIATIONS * F.try_divide(F.sqrt(p * (1 - p)), F.sqrt(n)))
+        if d:
+            same = same | (F.col("t") == F.col("up"))
         own = (b + STRENGTH * p) / (n + STRENGTH)
-        known = here.select(*by, F.when(same, p).otherwise(own).alias("purity"))
-    return known.select("host", F.col(levels[-1]).alias("template"), *levels[:-1], "purity")
+        purity = F.when(same, p).otherwise(own)
+        if not d:
+            purity = F.when(n > 0, purity)
+        known = here.select("host", F.col("t").alias("up"), purity.alias("purity"))
+        if d and d % LEVELS_AT_ONCE == 0:
+            known = stored(known, "purities")
+    return known.withColumnRenamed("up", "template")
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -97,14 +140,14 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     rule, verdict = fitting(rules)
     cut = cut.select("*", rule.alias("rule"), verdict.alias("ruled"))
     paths = cut.groupBy("host", "path").agg(
-        F.count("ruled").alias("labels"), F.count_if(F.col("ruled") == "block").alias("blocked")
+        F.count(F.lit(1)).alias("pages"),
+        F.count("ruled").alias("labels"),
+        F.count_if(F.col("ruled") == "block").alias("blocked"),
     )
-    found = stored(templates(stored(paths, "paths")), "path-templates")
-    levels = [f"t{d}" for d in range(DEPTH + 1)]
-    leaf = F.col(f"t{DEPTH + 1}").alias("template")
-    judged = found.select("host", "path", *levels, leaf).join(purities(found), ["host", *levels, "template"])
-    judged = judged.select("host", "path", "template", "purity")
-    says = F.coalesce("ruled", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
+    found, levels = templates(stored(paths, "paths"))
+    leaves = found.select("host", "path", F.col(f"t{levels}").alias("template"))
+    judged = leaves.join(purities(found, levels), ["host", "template"])
+    says = F.coalesce("ruled", F.when(F.col("purity") > REJECT, "block").otherwise("allow"))
     template = F.when(F.col("rule").isNull(), F.col("template"))
     return cut.join(judged, ["host", "path"], "left").select(
         "page_id", "host", "path", "rule", says.alias("verdict"), template.alias("template")
@@ -127,38 +170,40 @@ def oracle(rules: Sequence[Rule]) -> str:
         f"""cut AS (SELECT page_id, translate(coalesce(regexp_extract(url, '{URL}', 1), ''), '{UPPER}', '{LOWER}') AS host,
             coalesce(regexp_extract(url, '{URL}', 2), '') AS path FROM pages)""",
         f"ruled AS (SELECT *, CASE {whens['rule']} END AS rule, CASE {whens['ruled']} END AS ruled FROM cut)",
-        """l0 AS (SELECT host, path, '' AS t0, count(ruled) AS labels, count(*) FILTER (ruled = 'block') AS blocked,
-            CASE WHEN path = '' THEN [] ELSE string_split(path, '/')[2:] END AS segments FROM ruled GROUP BY host, path)""",
-    ]
-    for d in range(1, DEPTH + 1):
-        steps += [
-            f"""s{d} AS (SELECT *, CASE WHEN regexp_matches(segments[{d}], '{VARIABLE}') THEN '*' ELSE segments[{d}] END AS segment
-                FROM l{d - 1})""",
-            f"w{d} AS (SELECT host, t{d - 1}, count(DISTINCT segment) > {MOST_BRANCHES} AS wide FROM s{d} GROUP BY ALL)",
-            f"""l{d} AS (SELECT s.* EXCLUDE (segment), CASE WHEN segment IS NULL THEN t{d - 1}
-                ELSE t{d - 1} || '/' || CASE WHEN wide THEN '*' ELSE segment END END AS t{d}
-                FROM s{d} s JOIN w{d} USING (host, t{d - 1}))""",
-        ]
-    last = DEPTH + 1
-    steps += [
-        f"l{last} AS (SELECT *, t{DEPTH} || CASE WHEN len(segments) > {DEPTH} THEN '/**' ELSE '' END AS t{last} FROM l{DEPTH})",
-        f"top AS (SELECT host, coalesce(sum(blocked) OVER () / sum(labels) OVER (), 0)::DOUBLE AS purity FROM l{last})",
-        "k AS (SELECT DISTINCT host, purity FROM top)",
-    ]
-    before = "k"
-    for d in range(last + 1):
-        by = ["host", *[f"t{i}" for i in range(d + 1)]]
-        on = ", ".join(by[:-1] if d else ["host"])
-        steps.append(
-            f"""k{d} AS (SELECT {", ".join(by)}, CASE WHEN n = 0 OR abs(b / n - p) <= {DEVIATIONS} * sqrt(p * (1 - p) / n)
+        """paths AS (SELECT host, path, count(*) AS pages, count(ruled) AS labels, count(*) FILTER (ruled = 'block') AS blocked
+            FROM ruled GROUP BY host, path)""",
+        f"""tree AS (
+            SELECT 0 AS d, host, path, pages, labels, blocked, '' AS up, '' AS t, TRUE AS open FROM paths
+            UNION ALL
+            SELECT d + 1, host, path, pages, labels, blocked, t,
+                t || '/' || CASE WHEN named THEN segment WHEN bears THEN '*' ELSE '**' END, named OR bears
+            FROM (SELECT *, coalesce(sum(pages) FILTER (NOT named) OVER (PARTITION BY host, t), 0) >= {SUPPORT} << (d + 1) AS bears
+                FROM (SELECT *, segment <> '*' AND through >= {SUPPORT} << (d + 1) AND through * {MOST_BRANCHES} >= whole AS named
+                    FROM (SELECT *, sum(pages) OVER (PARTITION BY host, t, segment) AS through,
+                            sum(pages) OVER (PARTITION BY host, t) AS whole
+                        FROM (SELECT *, CASE WHEN regexp_matches(raw, '{VARIABLE}') THEN '*' ELSE raw END AS segment
+                            FROM (SELECT *, string_split(path, '/')[d + 2] AS raw FROM tree WHERE open) WHERE raw IS NOT NULL)))))""",
+        "leaves AS (SELECT host, path, max_by(t, d) AS template FROM tree GROUP BY host, path)",
+        """nodes AS (SELECT d, host, up, t, sum(labels)::DOUBLE AS n, sum(blocked)::DOUBLE AS b FROM tree GROUP BY d, host, up, t)""",
+        f"""pure AS (
+            SELECT 0 AS d, host, '' AS t, CASE WHEN n = 0 THEN NULL WHEN abs(b / n - p) <= {DEVIATIONS} * (sqrt(p * (1 - p)) / sqrt(n))
                 THEN p ELSE (b + {STRENGTH} * p) / (n + {STRENGTH}) END AS purity
-                FROM (SELECT {", ".join(by)}, sum(labels)::DOUBLE AS n, sum(blocked)::DOUBLE AS b FROM l{last} GROUP BY ALL)
-                JOIN (SELECT * RENAME (purity AS p) FROM {before}) USING ({on}))"""
-        )
-        before = f"k{d}"
-    keys = ", ".join(["host", *[f"t{i}" for i in range(last + 1)]])
-    return f"""WITH {", ".join(steps)}
-        SELECT page_id, host, path, rule,
-            coalesce(ruled, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
-            CASE WHEN rule IS NULL THEN t{last} END AS template
-        FROM ruled JOIN (SELECT host, path, t{last}, purity FROM l{last} JOIN k{last} USING ({keys})) USING (host, path)"""
+            FROM nodes, (SELECT coalesce(sum(blocked)::DOUBLE / nullif(sum(labels), 0), 0) AS p FROM paths) WHERE d = 0
+            UNION ALL
+            SELECT d, host, t, CASE WHEN n = 0 OR abs(b / n - p) <= {DEVIATIONS} * (sqrt(p * (1 - p)) / sqrt(n))
+                THEN p ELSE (b + {STRENGTH} * p) / (n + {STRENGTH}) END
+            FROM (SELECT d, host, t, p, sum(n) OVER (PARTITION BY host, up, pool) AS n, sum(b) OVER (PARTITION BY host, up, pool) AS b
+                FROM (SELECT *, sum(alone) OVER (PARTITION BY host, up ORDER BY n = 0, b / nullif(n, 0), t ROWS UNBOUNDED PRECEDING) AS pool
+                    FROM (SELECT *, CASE WHEN abs(b / nullif(n, 0) - c / nullif(m, 0)) <= {DEVIATIONS} * sqrt((b + c) / nullif(n + m, 0)
+                                * (1 - (b + c) / nullif(n + m, 0)) * (1.0::DOUBLE / nullif(n, 0) + 1.0::DOUBLE / nullif(m, 0)))
+                            THEN 0 ELSE 1 END AS alone
+                        FROM (SELECT o.*, u.purity AS p, lag(n) OVER line AS m, lag(b) OVER line AS c
+                            FROM pure u JOIN nodes o ON o.d = u.d + 1 AND o.host = u.host AND o.up = u.t
+                            WINDOW line AS (PARTITION BY o.host, o.up ORDER BY n = 0, b / nullif(n, 0), o.t))))))""",
+    ]
+    return f"""WITH RECURSIVE {", ".join(steps)}
+        SELECT page_id, r.host, r.path, rule,
+            coalesce(ruled, CASE WHEN purity > {REJECT} THEN 'block' ELSE 'allow' END) AS verdict,
+            CASE WHEN rule IS NULL THEN template END AS template
+        FROM ruled r JOIN leaves l ON r.host = l.host AND r.path = l.path
+            JOIN (SELECT DISTINCT host, t, purity FROM pure) k ON k.host = l.host AND k.t = template"""
