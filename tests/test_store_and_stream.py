@@ -255,3 +255,45 @@ def test_counts_and_windows_come_from_running_counts(spark):
         for n, c, _, a, _ in asked:
             assert found.get(n, set()) == set(sorted((t for k, t in moments if k == c and t < a), reverse=True)[:count])
     assert "collect_list" not in plan_of(before) and "array_agg" not in plan_of(before)
+
+
+def test_large_files_are_hashed_in_blocks(spark, tmp_path):
+    """Text, bytes of any kind, no line feed at all or only such, and sizes around whole blocks."""
+    import hashlib
+    import random
+
+    rng, block, whole = random.Random(4), 1000, 1500
+    made = {
+        "text": b"".join(b"%d,%s\r\n" % (i, b"x" * rng.randint(0, 90)) for i in range(900)), "bytes": rng.randbytes(40_000),
+        "one": b"a" * 7_777, "feeds": b"\n" * 5_000, "whole-blocks": b"b\n" * 1_500, "open-end": b"c\n" * 1_499 + b"cc",
+        "at-limit": b"d" * 1_500, "above": b"e" * 1_501, "empty": b"", "nulls": b"\0\n\xff\xfe" * 2_000,
+    }
+    for name, data in made.items():
+        (tmp_path / f"f={name}").mkdir()
+        (tmp_path / f"f={name}" / "part-0").write_bytes(data)
+    want = {}
+    for name, data in made.items():
+        if not data:
+            continue
+        leaves = [hashlib.sha256(data[i : i + block]).hexdigest() for i in range(0, len(data), block)]
+        want[f"f={name}"] = (len(data), hashlib.sha256(data if len(data) <= whole else "".join(leaves).encode()).hexdigest())
+    split, opening = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    try:
+        for size in ("3000", "128m"):
+            spark.conf.set(split, size)
+            spark.conf.set(opening, "0")
+            got = export.file_digests(spark, str(tmp_path), whole, block).collect()
+            assert {r.folder: (r.byte_size, r.sha256) for r in got} == want and len(got) == len(want)
+    finally:
+        spark.conf.unset(split)
+        spark.conf.unset(opening)
+
+
+def test_a_large_compressed_text_is_refused(spark, tmp_path):
+    import gzip
+    import random
+
+    (tmp_path / "part-0.csv.gz").write_bytes(gzip.compress(random.Random(5).randbytes(9_000)))
+    assert export.file_digests(spark, str(tmp_path)).count() == 1
+    with pytest.raises(Exception, match="not readable in parts"):
+        export.file_digests(spark, str(tmp_path), 2_000, 1_000).collect()

@@ -10,7 +10,7 @@ import json
 import operator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock, money
@@ -28,6 +28,8 @@ PARTITIONS = ["underlying_symbol", "expiry_date"]
 KEY = ["contract_id", "res_id", "ts"]
 #: Most rows of a file.
 ROWS_PER_FILE = 16_000_000
+#: Bytes up to which a file is hashed as one value, and bytes of a block of a larger one.
+WHOLE_FILE, BLOCK = 256 << 20, 1 << 20
 
 #: What can narrow an export: the table and column it looks at, how it compares, how its value is read.
 LIMITS = {
@@ -238,25 +240,64 @@ def sidecar(df: DataFrame, spec: Spec, export_id: str, created_at: str, row_coun
     )
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE_FILE, block: int = BLOCK) -> DataFrame:
     """SHA-256 and size of every part file with its folder, hashed where the files are read.
 
-    A file is one value in memory there; the writers here keep files under their row bound.
+    A file of at most ``whole`` bytes is hashed as it is. A larger one is read by many tasks, and its digest is
+    the SHA-256 of the hex digests of its blocks of ``block`` bytes, in order; no task holds more than some blocks. Files without any bytes have no row.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "part-*")
-        .load(path)
-    )
-    return files.select(
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "part-*")
+    small = reader.format("binaryFile").load(path).where(F.col("length") <= whole)
+    small = small.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
+    large = _block_digests(reader.option("lineSep", "\n").format("text").load(path), whole, block)
+    return small.unionByName(large).select(
         F.element_at(F.split("path", "/"), -2).alias("folder"),
         F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("byte_size"),
-        F.sha2("content", 256).alias("sha256"),
+        "byte_size",
+        "sha256",
     )
 
 
+def _block_digests(lines: DataFrame, whole: int, block: int) -> DataFrame:
+    """(path, byte_size, sha256) of the files above ``whole`` bytes, from their pieces between line feeds.
+
+    Any file is such pieces, text or not. A piece's place is what stands before it in its read split and in the
+    splits before that one; pieces are cut where blocks end and meet again block by block. The line feed added
+    to a last piece that has none lies beyond the file's size and is cut off.
+    """
+    told = lines.where(F.col("_metadata.file_size") > whole).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"),
+        F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("piece"),
+    )
+    before = Window.partitionBy("path", "split").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    length = F.octet_length("piece").cast("bigint")
+    placed = told.withColumn("inside", F.coalesce(F.sum(length).over(before), F.lit(0)))
+    # One row a split: its bytes are added up over the splits before it.
+    sums = told.groupBy("path", "split").agg(F.sum(length).alias("bytes"))
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        "path", "split", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("start"),
+        F.sum("bytes").over(Window.partitionBy("path")).alias("found"),
+    )
+    placed = placed.join(starts, ["path", "split"]).withColumn("begin", F.col("start") + F.col("inside"))
+    stop = F.least(F.col("begin") + length, F.col("size"))
+    placed = placed.withColumn("stop", stop).where("begin < stop")
+    blocks = F.explode(F.sequence(F.expr(f"begin div {block}"), F.expr(f"(stop - 1) div {block}")))
+    cut = placed.withColumn("block", blocks).withColumn("from", F.greatest("begin", F.col("block") * block))
+    until = F.least("stop", (F.col("block") + 1) * block)
+    bytes_of = F.substring("piece", F.col("from") - F.col("begin") + 1, until - F.col("from"))
+    cut = cut.select("path", "size", "found", "block", F.struct("from", bytes_of.cast("string").alias("bytes")).alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["bytes"]), "")
+    each = cut.groupBy("path", "size", "found", "block").agg(F.sha2(joined.cast("binary"), 256).alias("digest"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"])
+    files = each.groupBy("path", "size", "found").agg(F.sha2(F.array_join(ordered, ""), 256).alias("sha256"))
+    # Spark unpacks compressed text as it reads it: then what was read is not the file.
+    partly = F.raise_error(F.concat(F.lit("not readable in parts: "), "path"))
+    read = F.col("found").isin(F.col("size"), F.col("size") + 1)
+    return files.select("path", F.col("size").alias("byte_size"), F.when(read, F.col("sha256")).otherwise(partly).alias("sha256"))
+
+
 def manifest_row(
     spec: Spec, export_id: str, path: str, created_at: str, row_count: int, digests: DataFrame
 ) -> DataFrame:
