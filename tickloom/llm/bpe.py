@@ -129,6 +129,10 @@ class Parts(dict):
         return found
 
     def learn(self, key: str) -> bytes:
+        if key.isalpha() and not UNSETTLED(key):
+            # Letters after one space are one match of the pattern, by what letters are in every version.
+            shown = key if key.isascii() else key.encode().decode("latin-1").translate(self.shown)
+            return array(self.code, [t.id for t in self.tokenize("\u0120" + shown)]).tobytes()
         if key[:2] == "  ":
             part = key[2:]
         else:
