@@ -64,6 +64,18 @@ def test_round_trip_and_split_characters(text):
     assert use.decode(found[:half]) + use.decode(found[half:]) == text.encode()
 
 
+def test_words_of_letters_as_the_reference_library():
+    """Letters of one or more bytes, on both sides of the point up to which letters are settled."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ours, plain = bpe.Encoder(bpe.Vocabulary(path, special=True), limit=50), Tokenizer.from_file(path)
+    rng = random.Random(7)
+    letters = "aZqs\u00aa\u00ba\u00b5\u00df\u00e9\u01c5\u024f\u0250\u02b0\u0301\u0430\u4e2d\U0001d400"
+    for _ in range(3000):
+        text = rng.choice([" ", "", "\n", "  "]).join("".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(4))
+        found = np.frombuffer(ours.encode(text), ours.dtype).tolist()
+        assert found == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_spans_cover_the_text(encoder, decoder):
     for text in ("naïve 中文 déjà vu 😀😀", "plain words, here"):
         found = ids(encoder, text)
