@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
-from tickloom.operators import asof
+from tickloom.operators import asof, chain
 
 T0 = datetime(2024, 1, 1)
 
@@ -75,3 +76,24 @@ def test_a_moment_that_most_asks_share_is_matched_once(spark):
     rows = {r.id: r.v for r in got.collect()}
     assert len(rows) == 20_002 and rows[-1] is None and rows[-2] is None
     assert all(rows[i] == 600 + (i // 10 % 700 if i % 10 == 0 else 0) if (i // 10 % 700 if i % 10 == 0 else 0) < 400 else rows[i] == 999 for i in range(20_000))
+
+
+def test_the_nearest_strike_is_that_of_brute_force_and_no_spot_meets_the_whole_ladder(spark):
+    rng = random.Random(5)
+    day = date(2024, 1, 25)
+    # Strikes of two chains across many buckets of the strike line; the third has none.
+    strikes = {1: [Decimal(10 * i + 5) for i in range(1200)], 2: [Decimal("0.0500"), Decimal(2500), Decimal(9000)]}
+    spots = [(u, Decimal(rng.randint(0, 1_400_000)) / 100) for u in (1, 2, 3) for _ in range(60)]
+    spots += [(1, Decimal(10)), (1, Decimal(0)), (2, Decimal("5750.0000")), (1, None)]
+    contracts = spark.createDataFrame(
+        [(u, day, "OPT", s) for u, all_of in strikes.items() for s in all_of for _ in "CP"] + [(1, day, "FUT", None)],
+        "underlying_id int, expiry_date date, kind string, strike decimal(12,4)",
+    )
+    priced = spark.createDataFrame([(u, day, p) for u, p in spots], "underlying_id int, expiry_date date, spot decimal(11,4)")
+    found = chain.nearest_strikes(chain.listed_strikes(contracts), priced)
+    want = {
+        (u, p): min(strikes[u], key=lambda s: (abs(s - p), s)) if u in strikes else None for u, p in spots if p is not None
+    }
+    assert {(r.underlying_id, r.spot): r.atm_strike for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "CartesianProduct" not in plan

@@ -28,6 +28,51 @@ def nearest_strike(ladder: Column, spot: Column) -> Column:
     return F.array_min(priced)["strike"]
 
 
+#: Bucket of the strike line an as-of match is cut into: 1,000 points at four places.
+STRIKE_BUCKET = 10_000_000
+
+
+def listed_strikes(contracts: DataFrame) -> DataFrame:
+    """Distinct option strikes of each expiry, one per row."""
+    return (
+        contracts.where("kind = 'OPT' AND strike IS NOT NULL")
+        .select("underlying_id", "expiry_date", F.col("strike").cast(money.STRIKE).alias("strike"))
+        .distinct()
+    )
+
+
+def nearest_strikes(ladder: DataFrame, priced: DataFrame) -> DataFrame:
+    """Each distinct ``(underlying_id, expiry_date, spot)`` with ``atm_strike``: the closest strike,
+    the lower one on a tie.
+
+    The neighbours on either side come from as-of matches along the strike line, upwards and, with
+    signs turned, downwards, so no spot meets the whole ladder.
+    """
+    keys = ["underlying_id", "expiry_date"]
+
+    def units(c: str) -> Column:
+        return (F.col(c).cast(money.STRIKE) * 10000).cast("bigint")
+
+    asked = priced.where("spot IS NOT NULL").select(*keys, "spot").distinct().withColumns(
+        {"_at": units("spot"), "_down": -units("spot")}
+    )
+    steps = ladder.select(*keys, units("strike").alias("_s"), (-units("strike")).alias("_n"), "strike")
+
+    def beside(left: DataFrame, at: str, line: str, out: str) -> DataFrame:
+        found = asof.asof_backward(
+            left, steps.select(*keys, line, F.col("strike").alias(out)), keys, at, line, [out],
+            bucket_seconds=STRIKE_BUCKET, matched_ts="_m",
+        )
+        return found.drop("_m")
+
+    both = beside(beside(asked, "_at", "_s", "_below"), "_down", "_n", "_above")
+    spot = F.col("spot").cast(money.STRIKE)
+    nearer = F.col("_below").isNotNull() & (
+        F.col("_above").isNull() | (spot - F.col("_below") <= F.col("_above") - spot)
+    )
+    return both.select(*keys, "spot", F.when(nearer, F.col("_below")).otherwise(F.col("_above")).alias("atm_strike"))
+
+
 def at_the_money(
     candles: DataFrame,
     underlyings: DataFrame,
@@ -36,13 +81,11 @@ def at_the_money(
     res_id: int,
 ) -> DataFrame:
     """Spot, nearest strike and both legs for each ``(request_id, underlying_id, expiry_date,
-    at_ts)``. The ladder rides on the request, so no request is multiplied by its strikes."""
+    at_ts)``. Strikes are chosen once per distinct spot and joined back, so no request is
+    multiplied by its strikes."""
     spotted = asof.spot_at(candles, underlyings, requests, res_id).drop("spot_ts")
-    picked = spotted.join(
-        strike_ladder(contracts), ["underlying_id", "expiry_date"], "left"
-    ).withColumn(
-        "atm_strike", F.when(F.col("spot").isNotNull(), nearest_strike(F.col("ladder"), F.col("spot")))
-    )
+    nearest = nearest_strikes(listed_strikes(contracts), spotted)
+    picked = spotted.join(nearest, ["underlying_id", "expiry_date", "spot"], "left")
     legs = (
         contracts.where("kind = 'OPT'")
         .groupBy("underlying_id", "expiry_date", F.col("strike").alias("atm_strike"))
@@ -51,9 +94,7 @@ def at_the_money(
             F.max(F.when(F.col("option_type") == "PE", F.col("contract_id"))).alias("pe_contract_id"),
         )
     )
-    return picked.drop("ladder").join(
-        legs, ["underlying_id", "expiry_date", "atm_strike"], "left"
-    )
+    return picked.join(legs, ["underlying_id", "expiry_date", "atm_strike"], "left")
 
 
 def legs_at(candles: DataFrame, contracts: DataFrame, requests: DataFrame) -> DataFrame:
