@@ -90,7 +90,7 @@ def test_the_nearest_strike_is_that_of_brute_force_and_no_spot_meets_the_whole_l
         "underlying_id int, expiry_date date, kind string, strike decimal(12,4)",
     )
     priced = spark.createDataFrame([(u, day, p) for u, p in spots], "underlying_id int, expiry_date date, spot decimal(11,4)")
-    found = chain.nearest_strikes(chain.listed_strikes(contracts), priced)
+    found = chain.nearest_strikes(chain.strike_ladder(contracts), priced)
     want = {
         (u, p): min(strikes[u], key=lambda s: (abs(s - p), s)) if u in strikes else None for u, p in spots if p is not None
     }

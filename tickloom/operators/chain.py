@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import clock, folders, money
@@ -11,28 +11,11 @@ from tickloom.operators import asof, bars
 LEG_FIELDS = ["contract_id", "fyers_symbol", "open", "high", "low", "close", "volume", "oi"]
 
 
-def strike_ladder(contracts: DataFrame) -> DataFrame:
-    """Distinct strikes of each expiry as one short array: at most half an id block."""
-    return (
-        contracts.where("kind = 'OPT' AND strike IS NOT NULL")
-        .groupBy("underlying_id", "expiry_date")
-        .agg(F.sort_array(F.collect_set("strike")).alias("ladder"))
-    )
-
-
-def nearest_strike(ladder: Column, spot: Column) -> Column:
-    """Closest strike, the lower one on a tie."""
-    priced = F.transform(
-        ladder, lambda s: F.struct(F.abs(s - spot.cast(money.STRIKE)).alias("gap"), s.alias("strike"))
-    )
-    return F.array_min(priced)["strike"]
-
-
 #: Bucket of the strike line an as-of match is cut into: 1,000 points at four places.
 STRIKE_BUCKET = 10_000_000
 
 
-def listed_strikes(contracts: DataFrame) -> DataFrame:
+def strike_ladder(contracts: DataFrame) -> DataFrame:
     """Distinct option strikes of each expiry, one per row."""
     return (
         contracts.where("kind = 'OPT' AND strike IS NOT NULL")
@@ -84,7 +67,7 @@ def at_the_money(
     at_ts)``. Strikes are chosen once per distinct spot and joined back, so no request is
     multiplied by its strikes."""
     spotted = asof.spot_at(candles, underlyings, requests, res_id).drop("spot_ts")
-    nearest = nearest_strikes(listed_strikes(contracts), spotted)
+    nearest = nearest_strikes(strike_ladder(contracts), spotted)
     picked = spotted.join(nearest, ["underlying_id", "expiry_date", "spot"], "left")
     legs = (
         contracts.where("kind = 'OPT'")
@@ -234,13 +217,16 @@ def strike_scope(
     if mode != "band":
         raise ValueError(f"unknown strike scope {mode!r}")
     keys = ["underlying_id", "expiry_date"]
-    scoped = (
-        contracts.join(strike_ladder(contracts), keys, "left")
-        .join(spots.select(*keys, "spot"), keys, "left")
-        .withColumn("_atm", nearest_strike(F.col("ladder"), F.col("spot")))
-    )
-    rank = F.array_position("ladder", F.col("strike"))
-    atm_rank = F.array_position("ladder", F.col("_atm"))
-    return scoped.where(F.col("strike").isNull() | (F.abs(rank - atm_rank) <= steps)).drop(
-        "ladder", "spot", "_atm"
-    )
+    ladder = strike_ladder(contracts)
+    ranked = ladder.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("strike")))
+    centre = (
+        nearest_strikes(ladder, spots.select(*keys, "spot"))
+        .select(*keys, F.col("atm_strike").alias("strike"))
+        .join(ranked, [*keys, "strike"])
+        .select(*keys, F.col("_rank").alias("_centre"))
+    )
+    near = ranked.join(centre, keys).where(F.abs(F.col("_rank") - F.col("_centre")) <= steps)
+    near = near.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("strike").alias("_strike"))
+    at = [F.col(k) == F.col(f"_{k}") for k in [*keys, "strike"]]
+    futures = contracts.where("strike IS NULL")
+    return futures.unionByName(contracts.join(near, at, "left_semi"))
