@@ -95,6 +95,14 @@ def test_hints_verify(spark, symbol, root, expiry, error):
         assert got.expiry == expiry and "expiry_day_unknown" not in got.parse_warnings
 
 
+def test_tied_splits_that_all_miss_the_root_hint_disagree_with_it(spark):
+    """The symbol splits three ways into the same day, so the day decides nothing."""
+    rows = [("NQX", "root_disagrees", None), ("NQ2", None, "NQ2"), (None, "ambiguous", None)]
+    df = spark.createDataFrame([("NSE:NQ22222222PE", h, date(2022, 2, 22)) for h, _, _ in rows], "fyers_symbol string, r string, e date")
+    out = symbols.parse(df, registry.builtin_roots(spark), YEARS, expected_root="r", expected_expiry="e").collect()
+    assert {(o.r, o.parse_error, o.root) for o in out} == set(rows)
+
+
 def test_repeated_symbols_keep_every_row(spark):
     df = spark.createDataFrame([("NSE:NIFTY2510923000CE", i) for i in range(50)], "fyers_symbol string, n int")
     out = symbols.parse(df, registry.builtin_roots(spark), YEARS)

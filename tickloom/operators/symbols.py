@@ -279,9 +279,12 @@ def _finish(df: DataFrame, known: DataFrame) -> DataFrame:
         F.col("root") == F.col("hint_root"), F.lit(False)
     )
     single = F.size("tried") == 1
+    # Whichever of the tied splits is meant, its root is not the one the caller knows.
+    no_root_hit = F.col("hint_root").isNotNull() & ~F.exists("top", lambda c: c["root"] == F.col("hint_root"))
     error = (
         F.when(F.col("shape").isin("future", "monthly", "cash"), F.lit(None))
         .when(weekly & (F.coalesce(F.size("tried"), F.lit(0)) <= 0), "no_valid_split")
+        .when(weekly & F.col("won").isNull() & no_root_hit, "root_disagrees")
         .when(weekly & F.col("won").isNull(), "ambiguous")
         .when(weekly, F.lit(None))
         .otherwise(F.col("shape"))
