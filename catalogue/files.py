@@ -27,7 +27,7 @@ def day_envelopes(t: Tables):
         "high": F.col("high").cast("string"),
         "low": F.col("low").cast("string"),
         "close": F.col("close").cast("string"),
-        "volume": F.concat(F.col("volume").cast("string"), F.when(d == 19, "9" * 20).otherwise("")),
+        "volume": F.concat(F.when(d == 19, "9" * 20).otherwise(""), F.col("volume").cast("string")),
         "open_interest": F.when(d == 20, '"x"').otherwise(F.coalesce(F.col("oi").cast("string"), F.lit("null"))),
     }
 

@@ -6,6 +6,8 @@ from decimal import Decimal
 
 import pytest
 
+from catalogue import files
+from catalogue.base import Tables
 from tickloom.sources import envelopes, master_files
 
 COLUMNS = ["timestamp", "open", "high", "low", "close", "volume", "open_interest"]
@@ -50,6 +52,18 @@ def test_one_unusable_value_refuses_the_envelope(spark, columns, rows, reason):
     assert not good and [b.reason for b in bad] == [reason]
 
 
+def test_a_leading_zero_is_no_json_and_no_derived_envelope_has_one(spark, tmp_path):
+    raw = spark.createDataFrame([(7, 2, '{"s":"ok","columns":["volume"],"candles":[[012]]}')], "contract_id int, res_id int, payload string")
+    assert [b.reason for b in envelopes.ingest(raw)[1].collect()] == ["undecodable"]
+    # A bar without volume on the day whose volumes are too long.
+    events = spark.createDataFrame(
+        [(1000, datetime(2024, 1, 19, 10), 7, "view", 5.0, '{"k": 3}')],
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.reason for r in files.s2q(Tables(spark, str(tmp_path))).collect()] == ["integer_out_of_range"]
+
+
 def test_no_data_is_neither_bars_nor_refused(spark):
     good, bad = ingest(spark, [], [], "no_data")
     assert not good and not bad
