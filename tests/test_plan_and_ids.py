@@ -7,6 +7,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from catalogue import state
+from catalogue.base import Tables
 from tickloom import schemas
 from tickloom.operators import calendar, catalog, chain, ids, intervals, quality, requestlog, writes
 from tickloom.plans import backfill
@@ -124,6 +126,16 @@ def test_ids_are_disjoint_ordered_and_stable(spark):
     assert second == {**first, "b2": 4100}
 
 
+def test_symbols_beyond_a_full_block_are_named_and_not_listed_as_assigned(spark, tmp_path):
+    # 4,500 legs a block of 4,096 slots, as the tables give them at 60 times sf0.1.
+    events = spark.range(45_000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-02 10:00:00' AS ts", "id AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    t = Tables(spark, str(tmp_path))
+    given = [r.contract_id for r in state.w7(t).select("contract_id").collect()]
+    assert None not in given and len(given) == len(set(given)) == 10 * 4096
+    assert ids.unplaced(state.assigned(t)).count() == 45_000 - 5 - 10 * 4096
+
+
 def test_free_ids_lie_in_the_gaps_between_kept_ones(spark):
     import random
 

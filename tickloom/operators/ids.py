@@ -97,7 +97,8 @@ def assign(batch: DataFrame, blocks: DataFrame, existing: DataFrame) -> DataFram
 
     An id already recorded stays when it is inside the block; other symbols take the lowest free
     slots in id order. Free slots are the gaps between kept ids: the k-th of a block lies in the last
-    gap with fewer than k free slots before it.
+    gap with fewer than k free slots before it. Symbols beyond the last free slot of a full block come
+    back without an id.
     """
     keys = ["underlying_id", "expiry_date"]
     placed = batch.join(blocks.select(*keys, "contract_id_lo", "contract_id_hi"), keys).join(
@@ -137,6 +138,11 @@ def renumbered(assigned: DataFrame) -> DataFrame:
     )
 
 
+def unplaced(assigned: DataFrame) -> DataFrame:
+    """Symbols whose block had no slot left, for which a larger block must be allocated."""
+    return assigned.where("contract_id IS NULL")
+
+
 def lowest_free_spot_id(underlyings: DataFrame) -> DataFrame:
     """The lowest unused spot id as one row, null when all 999 are taken."""
     spark = underlyings.sparkSession
