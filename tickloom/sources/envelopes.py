@@ -113,9 +113,12 @@ def classify(parsed: DataFrame) -> DataFrame:
 def bars(classified: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Typed bars of every accepted envelope, with any ``keep`` columns beside them."""
     row = F.col("row")
-    exploded = classified.where(F.col("reason").isNull()).select(
-        "contract_id", "res_id", *(keep or []), "columns", F.explode("candles").alias("row")
-    )
+    # The outer form with the test inside keeps the optimizer from copying the decoding into filters
+    # below it; a row that is null refuses its envelope, so the filter after drops empty ones only.
+    accepted = F.when(F.col("reason").isNull(), F.col("candles"))
+    exploded = classified.select(
+        "contract_id", "res_id", *(keep or []), "columns", F.explode_outer(accepted).alias("row")
+    ).where("row IS NOT NULL")
     return exploded.select(
         F.col("contract_id").cast("int").alias("contract_id"),
         F.col("res_id").cast("smallint").alias("res_id"),
