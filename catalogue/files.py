@@ -226,7 +226,10 @@ def chain_payloads(t: Tables):
         F.lit('"},{"date":"29-02-2024","expiry_flag":"Q"}],"optionsChain":['), leg("CE", size), F.lit(","), own, F.lit(","), leg("PE", size + 5),
         F.lit('],"indiavixData":{"ltp":14.25}}'),
     )
-    return t.given("part").select("p_partkey", body.alias("payload"))
+    # A part is a few stored bytes and its payload hundreds: rows are dealt out before they grow.
+    parts = t.given("part").select("p_partkey", "p_name", "p_retailprice", "p_size")
+    parts = parts.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    return parts.select("p_partkey", body.alias("payload"))
 
 
 @query(

@@ -8,7 +8,7 @@ import pytest
 
 from catalogue import files
 from catalogue.base import Tables
-from tickloom.sources import envelopes, master_files
+from tickloom.sources import envelopes, master_files, payloads
 
 COLUMNS = ["timestamp", "open", "high", "low", "close", "volume", "open_interest"]
 ROW = [1742960700, 730.00, 750.00, 645.00, 706.00, 359100, 5131225]
@@ -64,6 +64,27 @@ def test_a_leading_zero_is_no_json_and_no_derived_envelope_has_one(spark, tmp_pa
     assert [r.reason for r in files.s2q(Tables(spark, str(tmp_path))).collect()] == ["integer_out_of_range"]
 
 
+def test_payloads_are_decoded_once(spark):
+    raw = spark.range(3).selectExpr("CAST(id AS INT) AS contract_id", "2 AS res_id", "concat('{', id) AS payload")
+    for df in (envelopes.ingest(raw)[0], payloads.chain_quotes(raw, ["contract_id"])):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_quotes_need_a_dated_front_and_a_right(spark):
+    leg = {"symbol": "A", "option_type": "CE", "strike_price": 5}
+    dates = {"good": [{"date": "25-01-2024", "expiry_flag": "W"}], "bad": [{"date": "99-99-2024", "expiry_flag": "W"}], "none": []}
+    raw = [(k, json.dumps({"expiryData": d, "optionsChain": [{"symbol": "U", "fp": 7}, leg]})) for k, d in dates.items()]
+    raw += [("legless", json.dumps({"expiryData": dates["good"], "optionsChain": []})), ("text", "{"), ("null", None)]
+    got = payloads.chain_quotes(spark.createDataFrame(raw, "k string, payload string"), ["k"]).collect()
+    assert [(r.k, r.strike, r.fp) for r in got] == [("good", Decimal(5), Decimal(7))]
+
+
+def test_chain_payloads_are_dealt_out_before_they_grow(spark, tmp_path):
+    part = spark.range(40).selectExpr("id AS p_partkey", "'a' AS p_name", "1.0D AS p_retailprice", "CAST(id AS INT) AS p_size")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert files.chain_payloads(Tables(spark, str(tmp_path))).rdd.getNumPartitions() > 1
+
+
 def test_no_data_is_neither_bars_nor_refused(spark):
     good, bad = ingest(spark, [], [], "no_data")
     assert not good and not bad

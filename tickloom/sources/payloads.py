@@ -124,15 +124,19 @@ def chain_quotes(raw: DataFrame, keys: list[str], payload: str = "payload") -> D
 
     own = F.filter("_b.optionsChain", lambda leg: ~right(leg).isin("CE", "PE"))
     legs = F.filter("_b.optionsChain", lambda leg: right(leg).isin("CE", "PE"))
+    read = body.select(
+        *keys,
+        F.get(F.filter("_b.expiryData", flagged), F.lit(0)).alias("front"),
+        F.try_element_at(own, F.lit(-1))["fp"].alias("fp_text"),
+        F.col("_b.indiavixData.ltp").alias("vix_text"),
+        legs.alias("legs"),
+    )
+    # The outer form with the test inside keeps the optimizer from copying the decoding into filters
+    # below it; legs have a right, so none is null.
+    dated = F.when(F.col("front").isNotNull(), F.col("legs"))
     return (
-        body.select(
-            *keys,
-            F.get(F.filter("_b.expiryData", flagged), F.lit(0)).alias("front"),
-            F.try_element_at(own, F.lit(-1))["fp"].alias("fp_text"),
-            F.col("_b.indiavixData.ltp").alias("vix_text"),
-            F.explode(legs).alias("leg"),
-        )
-        .where("front IS NOT NULL")
+        read.select(*keys, "front", "fp_text", "vix_text", F.explode_outer(dated).alias("leg"))
+        .where("leg IS NOT NULL")
         .select(
             *keys,
             _dmy(F.col("front.date")).alias("expiry_date"),
