@@ -186,6 +186,30 @@ def test_hubs_leave_the_components(spark):
         assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_families_of_edited_copies_are_not_compared_in_full(spark, monkeypatch):
+    """Copies of one text with up to six edits of their own: hubs join most, and the rest are ruled out by their shingles."""
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(240):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 2, 3, 4, 5, 6))):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    compared, plain = [], simhash.similar
+
+    def counting(docs, nodes, pairs, *rest):
+        compared.append(pairs.count())
+        return plain(docs, nodes, pairs, *rest)
+
+    monkeypatch.setattr(simhash, "similar", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(tuple, simhash.near_duplicates(docs, index=x).collect())) for x in (simhash.Similar(), simhash.Similar(hubs=0, crowd=1 << 40))]
+    # without hubs and counts all links that are met are found, so the components must be the same
+    assert found[0] == found[1]
+    assert compared[2] < 0.15 * 240 * 239 / 2, compared
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, k) for k in range(101, 140)]

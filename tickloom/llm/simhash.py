@@ -19,7 +19,10 @@ chance meetings of one fingerprint stay the same few however many there are, and
 ``recall`` at that width. What is met has its whole distance checked, and what is within ``distance`` its
 sets. Pairs that other links join already are not compared: that leaves the components as they are, so
 rounds first compare each text with one hub of the tables' entries it meets, and then all pairs still
-apart that meet.
+apart that meet. Hubs are the texts that meet most others: of copies with edits of their own those
+with the fewest, to which most others are similar. Of texts that meet many, the last round counts the
+shingles that some text of another component has; a pair shares no more than the lesser count, and
+pairs that would need more are left out.
 
 Only different fingerprints are looked up: equal ones are one node, however many documents have it.
 
@@ -73,6 +76,8 @@ class Similar:
     similarity: float = 0.8
     #: Rounds that compare a node with one hub.
     hubs: int = 2
+    #: Nodes whose looked-up values hold so many entries have their shared shingles counted before the last round.
+    crowd: int = 64
 
     def segments(self, nodes: int) -> np.ndarray:
         """The bits of every segment for so many fingerprints, one segment a row.
@@ -209,7 +214,7 @@ def looked_up(nodes: DataFrame, segments: np.ndarray, radius: int) -> DataFrame:
     return nodes.select("node", "print").mapInArrow(run, "key long, node long")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, index: Tables) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, index: Similar) -> DataFrame:
     """(node, shingles) of the wanted nodes, from the text of each node's first row."""
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
@@ -225,6 +230,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str, tex
     return texts.mapInArrow(run, "node long, shingles array<long>")
 
 
+def _rooms(
+    docs: DataFrame, nodes: DataFrame, roots: DataFrame, wanted: DataFrame, id_col: str, text_col: str, index: Similar, work: Scratch
+) -> DataFrame:
+    """Of the wanted nodes: node, size (of its set), room (shingles of it that wanted nodes of another root have)."""
+    sets = work.stored(_sets(docs, nodes, wanted, id_col, text_col, index), "crowded")
+    each = sets.join(roots, "node").select("node", "root", F.explode("shingles").alias("shingle"))
+    across = each.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    room = each.join(across, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("room"))
+    return sets.join(room, "node", "left").select("node", F.size("shingles").alias("size"), F.coalesce("room", F.lit(0)).alias("room"))
+
+
 def similar(
     docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, index: Similar, work: Scratch
 ) -> DataFrame:
@@ -250,35 +266,44 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
     work, segments = Scratch(nodes.sparkSession), index.segments(nodes.count())
     held = looked_up(nodes, segments, 0)
     others = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("one"))
-    asks = looked_up(nodes, segments, 1).join(others, "key").where("n > 1 OR one <> node").select("key", "node")
+    asks = looked_up(nodes, segments, 1).join(others, "key").where("n > 1 OR one <> node").select("key", "node", "n")
     asks = work.stored(asks, "asks")
     held = work.stored(held.join(asks.select("key").distinct(), "key", "left_semi"), "held")
-    roots, links = nodes.select("node", F.col("node").alias("root")), None
+    scores = work.stored(asks.groupBy("node").agg(F.sum("n").alias("score")), "scores")
+    ranked = nodes.join(scores, "node", "left").select("node", F.coalesce("score", F.lit(0)).alias("score"))
+    roots, links = ranked.select("node", F.col("node").alias("root"), "score"), None
     for turn in range(index.hubs + 1):
         members = held.join(roots, "node")
-        hub = F.min(F.struct(F.xxhash64("root", F.lit(turn)), "node", "root")).alias("hub")
+        hub = F.max(F.struct("score", "node", "root")).alias("hub")
         keys = members.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), hub)
-        apart = asks.join(roots, "node").join(keys, "key").where("least <> root OR most <> root")
+        apart = asks.select("key", "node").join(roots, "node").join(keys, "key").where("least <> root OR most <> root")
         if turn < index.hubs:
-            pairs = apart.where("root <> hub.root").groupBy("node", F.col("hub.node").alias("b"))
+            pairs = apart.where("root <> hub.root").groupBy("node", F.col("hub.node").alias("b"), "hub.score")
             pairs = pairs.agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("node").alias("a"))
-            pairs = pairs.agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+            # first the hub met in most tables, then the one that meets most: a family gathers about few
+            best = F.struct("score", "n", "b") if turn % 2 else F.struct("n", "score", "b")
+            pairs = pairs.agg(F.max_by("b", best).alias("b"))
         else:
-            apart = work.stored(apart.select("key", "node", "root"), "apart")
+            apart = work.stored(apart.select("key", "node", "root", "score"), "apart")
             open_members = members.join(apart.select("key").distinct(), "key", "left_semi")
+            crowded = [x.where(F.col("score") >= index.crowd).select("node") for x in (apart, open_members)]
+            rooms = work.stored(_rooms(docs, nodes, roots, crowded[0].unionByName(crowded[1]).distinct(), id_col, text_col, index, work), "rooms")
+            known = nodes.select("node", "print").join(rooms, "node", "left")
             one, two = (
-                x.join(nodes.select("node", "print"), "node").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "print")])
+                x.join(known, "node").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "print", "size", "room")])
                 for k, x in (("a", apart), ("b", open_members))
             )
             met = one.join(two, "key").where(F.col("root_a") != F.col("root_b"))
             met = met.where(_apart("print_a", "print_b", index) <= index.distance)
+            enough = F.least("room_a", "room_b") * (1 + index.similarity) >= (F.col("size_a") + F.col("size_b")) * index.similarity - 1e-6
+            met = met.where(F.col("room_a").isNull() | F.col("room_b").isNull() | enough)
             pairs = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
         found = similar(docs, nodes, pairs, id_col, text_col, index, work)
         links = found if links is None else links.unionByName(found)
         placed = stored(components(links).withColumnRenamed("node", "linked"), "roots")
-        roots = nodes.join(placed, nodes["node"] == placed["linked"], "left").select("node", F.coalesce("root", "node").alias("root"))
+        roots = ranked.join(placed, ranked["node"] == placed["linked"], "left").select("node", F.coalesce("root", "node").alias("root"), "score")
     work.drop()
-    return roots
+    return nodes.join(placed, nodes["node"] == placed["linked"], "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str, index: Index | Similar) -> DataFrame:
