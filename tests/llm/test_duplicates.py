@@ -275,3 +275,54 @@ def test_lines(spark, rows):
 def test_lines_of_an_empty_table(spark):
     assert line_dedup.decisions(data.no_docs(spark)).count() == 0
     assert line_dedup.cleaned(data.no_docs(spark)).count() == 0
+
+
+def family(most):
+    """240 lines that are copies of one with one edit or up to ``most``, some edits shared, and 60 lines half like it."""
+    rng = random.Random(14)
+    base = [f"w{k}" for k in range(60)]
+    lines = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(60), rng.randint(1, most) if i < 240 else 24):
+            words[at] = rng.choice((f"e{i}x{at}", f"e{at}"))
+        lines.append(" ".join(words[rng.randrange(3) :]))
+    return [(i, "\n".join((lines[i], f"own line {i}", lines[(7 * i) % 300])), "en", "s", 0, *["x"] * len(data.CLASHING)) for i in range(300)]
+
+
+def pairs_made(spark, rows):
+    docs = spark.createDataFrame(rows, data.SCHEMA).repartition(2)
+    source = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    return line_dedup.candidates(line_dedup.entries(source, *line_dedup.survey(source))).count()
+
+
+@pytest.mark.parametrize("least", [8, 1 << 40], ids=["hubs", "no hubs"])
+def test_lines_of_a_family(spark, monkeypatch, least):
+    monkeypatch.setattr(line_dedup, "FAMILY", least)
+    test_lines(spark, family(9))
+
+
+def test_links_of_a_family_are_counted_without_its_pairs(spark, monkeypatch):
+    rows = family(2)
+    monkeypatch.setattr(line_dedup, "FAMILY", 8)
+    counted = []
+    plain = line_dedup.family_links
+
+    def counting(classes, hubs):
+        counted.append(plain(classes, hubs))
+        return counted[0]
+
+    monkeypatch.setattr(line_dedup, "family_links", counting)
+    line_dedup.decisions(spark.createDataFrame(rows, data.SCHEMA)).count()
+    sets = [frozenset(data.WORD.findall(x)) for x in {line for r in rows for line in r[1].split("\n")}]
+    links = sum(9 * len(a & b) >= 4 * (len(a) + len(b)) for a, b in itertools.combinations(set(sets), 2))
+    made = pairs_made(spark, rows)
+    assert made + counted[0].count() / 2 < 0.2 * links
+
+
+def test_lines_half_alike_are_no_candidates(spark):
+    rng = random.Random(15)
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(f"e{i}x{k}" if k in some else w for k, w in enumerate(base)) for i in range(100) for some in [set(rng.sample(range(100), 30))]]
+    rows = [(i, t, "en", "s", 0, *["x"] * len(data.CLASHING)) for i, t in enumerate(texts)]
+    assert pairs_made(spark, rows) < 100

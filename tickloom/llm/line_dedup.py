@@ -3,7 +3,15 @@
 A line is the set of its words ``[^\\x20\\x09-\\x0D]+``; lines of one set are one class. Two classes are
 linked when their Jaccard similarity is at least 0.8. Words stand in one order, rarest first, so
 similar sets must share a word of their prefixes: sets meet on prefix words, and pairs pass a length
-filter, a positional filter and a bound from 64-bit word maps before their real words are compared.
+filter, a positional filter and a bound from 128-bit parity maps before their real words are compared.
+A word flips one bit of its set's map, so maps differ in no more bits than sets differ in words.
+
+Many edited copies of one line all match, so their links are counted without a row for each. Up to
+``HUBS`` hubs, the words that most of a family have, are found by their least word hashes, and a set near one
+is known by its difference from the first such hub. With ``d`` words of a hub of ``n`` missing and ``i``
+others added it weighs ``5 d + 4 i``; two sets of a hub whose differences share ``x`` words are linked when
+their weights add up to ``n + 9 x`` at most. Pairs up to ``n`` are counted by weight; of the others only those
+that share differing words meet. Which hubs are found decides how many pairs are made, not which links.
 
 A line is removed if an earlier line, by document id (null last), text hash and line number, has
 its class or one linked to it. Every line but the first of its class goes, and all go if a linked
@@ -11,8 +19,9 @@ class begins earlier. Lines without words stay.
 
 The order only has to be the same everywhere, so rarity is a count over all documents in a table of
 2**20 buckets of word hashes, whose size does not depend on the data; words of one bucket are ordered
-by hash. Word hashes decide which sets meet, and are 64 bits; the 128-bit name of a set is its map and
-the sum of its words' hashes. Similarity is taken from the words themselves.
+by hash. Word hashes decide which sets meet and how sets differ from hubs, and are 64 bits; the 128-bit name
+of a set is half its map and the sum of its words' hashes. Pairs that do not share a hub are compared by the
+words themselves.
 
 A null text has one line without words. Rows of one id and one text are one document. An empty
 table gives no rows. ``cleaned`` returns all columns, whatever their names.
@@ -25,7 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import SPACES, byte_texts, pieces, stored
@@ -37,6 +46,8 @@ BUCKETS = 1 << 20
 FILTER_BITS = 1 << 24
 #: Bytes worked on at a time, and sets a task remembers so as not to send them twice.
 BLOCK, REMEMBERED = 1 << 20, 1 << 18
+#: Hubs at most, lines of the same least word hashes that make a family, and documents looked at for its hub.
+HUBS, FAMILY, LOOKED = 1024, 48, 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,6 +58,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def turn(k: int) -> np.int64:
+    """Bits that put other hashes first, the last of them set."""
+    return mixed(np.array([k + 1], np.uint64)).view(np.int64)[0] | np.int64(1)
+
+
 class Powers:
     """Powers of the base and of its inverse, as many as were asked for."""
 
@@ -97,95 +113,210 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[list[int], bytes]]:
         yield rows, b"\n".join(texts[r] for r in rows)
 
 
+def begins(lines: np.ndarray) -> np.ndarray:
+    """Where each line begins in the ascending line numbers of words."""
+    return np.flatnonzero(np.concatenate(([True], lines[1:] != lines[:-1]))) if len(lines) else np.empty(0, np.int64)
+
+
+def rows_of(texts: list[bytes], rows: list[int], line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in ``rows`` of every line of a block, and number of lines and first line of every row."""
+    per_row = np.array([texts[r].count(b"\n") + 1 for r in rows])
+    first = np.cumsum(per_row) - per_row
+    return np.searchsorted(first, line, "right") - 1, per_row, first
+
+
+def family_keys(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Three least word hashes of every line, each in an order of its own, as one negative number; bucket numbers are
+    not negative. One word alone would often be a frequent one, which many lines share."""
+    key = np.zeros(len(begin), np.uint64)
+    for k in range(3 if len(begin) else 0):
+        key = mixed(key + np.minimum.reduceat(hashes * turn(2 * k + 1).view(np.uint64) ^ turn(2 * k).view(np.uint64), begin))
+    return -1 - (key >> np.uint64(1)).view(np.int64)
+
+
 class Sets:
     """The distinct words of every line that has one, rarest first."""
 
-    def __init__(self, data: bytes, levels: np.ndarray | None) -> None:
-        hashes, lines = word_hashes(data)
-        if levels is not None:
-            rare = levels[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
-            order = np.lexsort(((hashes >> np.uint64(8)) | (rare << np.uint64(56)), lines))
-        else:
-            order = np.lexsort((hashes, lines))
+    def __init__(self, data: bytes, levels: np.ndarray) -> None:
+        self.arrange(*word_hashes(data), levels)
+
+    def arrange(self, hashes: np.ndarray, lines: np.ndarray, levels: np.ndarray) -> None:
+        rare = levels[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
+        order = np.lexsort(((hashes >> np.uint64(8)) | (rare << np.uint64(56)), lines))
         hashes, lines = hashes[order], lines[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (lines[1:] != lines[:-1])
         self.hashes, lines = hashes[new], lines[new]
-        self.begin = np.flatnonzero(np.concatenate(([True], lines[1:] != lines[:-1]))) if len(lines) else np.empty(0, np.int64)
+        self.begin = begins(lines)
         self.line = lines[self.begin]
         self.size = np.diff(np.append(self.begin, len(lines)))
         if len(lines):
-            self.map = np.bitwise_or.reduceat(np.uint64(1) << (self.hashes >> np.uint64(58)), self.begin).view(np.int64)
+            bit = np.uint64(1) << (self.hashes >> np.uint64(58))
+            half = (self.hashes >> np.uint64(57)) & np.uint64(1)
+            self.maps = [np.bitwise_xor.reduceat(bit * (half == h), self.begin).view(np.int64) for h in (0, 1)]
             self.sum = np.add.reduceat(mixed(self.hashes + BASE), self.begin).view(np.int64)
         else:
-            self.map = self.sum = np.empty(0, np.int64)
+            self.maps, self.sum = [np.empty(0, np.int64)] * 2, np.empty(0, np.int64)
 
-    def prefixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the prefix words of the chosen sets: number of the set, 32 bits of the word's hash, position,
-        and such bits of the two words before it, zero where there is none."""
+    def prefixes(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the prefix words of the chosen sets: number of the set, hash of the word, position."""
         length = self.size - (PART * self.size + WHOLE - 1) // WHOLE + 1
         length = length[chosen]
         which = np.repeat(chosen, length)
         at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-        short = (self.hashes >> np.uint64(16)) & np.uint64(0xFFFFFFFF)
-        place = self.begin[which] + at
-        before = [np.where(at >= k, short[place - k], np.uint64(0)) for k in (1, 2)]
-        return which, short[place], at, (before[0] << np.uint64(32)) | before[1]
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Level of every bucket: eight times the logarithm of its words over all documents."""
+        return which, self.hashes[self.begin[which] + at], at
+
+    def words(self, i: int) -> np.ndarray:
+        return self.hashes[self.begin[i] : self.begin[i] + self.size[i]]
+
+
+class Hubs:
+    """Sets that families lie around, the largest family first."""
+
+    def __init__(self, hubs: list[np.ndarray], levels: np.ndarray) -> None:
+        self.hubs, self.size = hubs, np.array([len(h) for h in hubs], np.int64)
+        found = [Sets.__new__(Sets) for _ in hubs]
+        for sets, words in zip(found, hubs, strict=True):
+            sets.arrange(words, np.zeros(len(words), np.int32), levels)
+        self.maps = [np.array([x.maps[h][0] for x in found], np.int64) for h in (0, 1)]
+        prefixes = [x.prefixes(np.array([0]))[1] for x in found]
+        words = np.concatenate([*prefixes, np.empty(0, np.uint64)])
+        owner = np.repeat(np.arange(len(hubs)), [len(p) for p in prefixes])
+        order = np.argsort(words, kind="stable")
+        self.words, self.owner = words[order], owner[order]
+        self.known = np.zeros(1 << 16, bool)
+        self.known[self.words & np.uint64(0xFFFF)] = True
+
+    def nearest(self, sets: Sets, which: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Number of the first hub near each set, from 1; 0 where none is."""
+        out = np.full(len(sets.size), len(self.hubs) + 1)
+        some = self.known[words & np.uint64(0xFFFF)]
+        which, words = which[some], words[some]
+        low, high = np.searchsorted(self.words, words, "left"), np.searchsorted(self.words, words, "right")
+        count = high - low
+        which = np.repeat(which, count)
+        hub = self.owner[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+        both = sets.size[which] + self.size[hub]
+        apart = sum(np.bitwise_count((a[which] ^ b[hub]).view(np.uint64)).astype(np.int64) for a, b in zip(sets.maps, self.maps, strict=True))
+        near = apart <= both - 2 * ((PART * both + PART + WHOLE - 1) // (PART + WHOLE))
+        np.minimum.at(out, which[near], hub[near] + 1)
+        return np.where(out > len(self.hubs), 0, out)
+
+    def difference(self, hub: int, words: np.ndarray) -> tuple[int, np.ndarray]:
+        """Weight of a set of a hub, and the words of only one of the two."""
+        base = self.hubs[hub - 1]
+        differ = np.setxor1d(base, words, assume_unique=True)
+        added = (len(differ) + len(words) - len(base)) // 2
+        return WHOLE * (len(differ) - added) + PART * added, differ.view(np.int64)
+
+
+def survey(docs: DataFrame) -> tuple[np.ndarray, Hubs]:
+    """Level of every bucket, eight times the logarithm of its words over all documents, and the hubs."""
+    looks = [f"hash{k}" for k in range(LOOKED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in pieces(batches, "text"):
-            for _, data in blocks(byte_texts(batch["text"])):
-                counts += np.bincount((word_hashes(data)[0] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            texts, keys, sums, owners = byte_texts(batch["text"]), [], [], []
+            for rows, data in blocks(texts):
+                hashes, lines = word_hashes(data)
+                counts += np.bincount((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                begin = begins(lines)
+                if len(begin):
+                    keys.append(family_keys(hashes, begin))
+                    sums.append(np.add.reduceat(mixed(hashes + BASE), begin))
+                    owners.append(rows_of(texts, rows, lines[begin])[0] + rows[0])
+            if keys:
+                key, total, owner = np.concatenate(keys), np.concatenate(sums), np.concatenate(owners)
+                order = np.lexsort((total, key))
+                key, total, owner = key[order], total[order], owner[order]
+                new = np.concatenate(([True], (key[1:] != key[:-1]) | (total[1:] != total[:-1])))
+                key, owner = key[new], owner[new]
+                begin = begins(key)
+                hashes = batch["hash"].to_numpy()[owner]
+                seen = [np.minimum.reduceat(hashes ^ turn(k), begin) for k in range(LOOKED)]
+                columns = [key[begin], np.diff(np.append(begin, len(key))), *seen]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "count", *looks])
         held = np.flatnonzero(counts)
         for i in range(0, len(held), 1 << 16):
             some = held[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["bucket", "count"])
+            empty = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some]), *[empty] * LOOKED], names=["key", "count", *looks])
 
-    counted = docs.select("text").mapInArrow(run, "bucket int, count long").groupBy("bucket").agg(F.sum("count").alias("count"))
+    found = docs.select("hash", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "count", *looks)))
+    found = found.groupBy("key").agg(F.sum("count").alias("count"), *[F.min(c).alias(c) for c in looks])
+    found = stored(found.where((F.col("key") >= 0) | (F.col("count") >= FAMILY)), "line-words")
     level = F.least(F.lit(255), F.floor(F.log2("count") * 8) + 1).cast("short")
-    table = counted.select("bucket", level.alias("level")).toArrow()
+    table = found.where("key >= 0").select("key", level.alias("level")).toArrow()
     levels = np.zeros(BUCKETS, np.uint8)
-    levels[table["bucket"].to_numpy()] = table["level"].to_numpy()
-    return levels
+    levels[table["key"].to_numpy()] = table["level"].to_numpy()
+    families = found.where("key < 0").orderBy(F.desc("count"), "key").limit(HUBS).collect()
+    return levels, Hubs(_hubs(docs, families), levels)
 
 
-def entries(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Prefix words of all sets: word, map, sum, size, position, words before."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def _hubs(docs: DataFrame, families: list[Row]) -> list[np.ndarray]:
+    """Of each family, the words that most of its lines in the documents looked at have."""
+    if not families:
+        return []
+    looked = {r[f"hash{k}"] ^ int(turn(k)) for r in families for k in range(LOOKED)}
+    wanted = np.sort(np.array([r["key"] for r in families]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            for _, data in blocks(byte_texts(batch["text"])):
+                hashes, lines = word_hashes(data)
+                begin = begins(lines)
+                keys = family_keys(hashes, begin)
+                stop = np.append(begin, len(lines))
+                met = np.flatnonzero(np.isin(keys, wanted))
+                lists = [np.unique(hashes[stop[i] : stop[i + 1]]).tobytes() for i in met.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[met], pa.int64()), pa.array(lists, pa.binary())], names=["key", "words"])
+
+    lines = docs.where(F.col("hash").isin(looked)).select("text").mapInArrow(run, "key long, words binary").distinct()
+    # at most LOOKED lines a family
+    kept = lines.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("words"), "words"))).where(F.col("n") <= LOOKED)
+    found: dict[int, list[np.ndarray]] = {}
+    for r in kept.collect():
+        found.setdefault(r["key"], []).append(np.frombuffer(r["words"], np.uint64))
+    out = []
+    for r in families:
+        words, counts = np.unique(np.concatenate(found.get(r["key"], [np.empty(0, np.uint64)])), return_counts=True)
+        words = words[2 * counts > len(found.get(r["key"], []))]
+        if len(words):
+            out.append(words)
+    return out
+
+
+def entries(docs: DataFrame, levels: np.ndarray, hubs: Hubs) -> DataFrame:
+    """Prefix words of all sets: word, maps, sum, size and position in one number, hub."""
+    shared = docs.sparkSession.sparkContext.broadcast((levels, hubs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, hubs = shared.value
         seen: set[int] = set()
         for batch in pieces(batches, "text"):
             for _, data in blocks(byte_texts(batch["text"])):
-                sets = Sets(data, shared.value)
+                sets = Sets(data, levels)
                 if len(seen) > REMEMBERED:
                     seen = set()
-                names = (sets.sum ^ sets.map).tolist()
+                names = (sets.sum ^ sets.maps[0]).tolist()
                 fresh = [i for i, x in enumerate(names) if not (x in seen or seen.add(x))]
-                which, words, at, before = sets.prefixes(np.array(fresh, np.int64))
-                word = words.astype(np.uint32).view(np.int32)
-                columns = (word, sets.map[which], sets.sum[which], sets.size[which], at, before.view(np.int64))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                names = ["word", "map", "sum", "size", "at", "before"]
+                which, words, at = sets.prefixes(np.array(fresh, np.int64))
+                hub = hubs.nearest(sets, which, words)
+                word = (words >> np.uint64(16)).astype(np.uint32).view(np.int32)
+                columns = (word, sets.maps[0][which], sets.maps[1][which], sets.sum[which], (sets.size[which] << 32) | at, hub[which])
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                names = ["word", "map", "map2", "sum", "shape", "hub"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return docs.select("text").mapInArrow(run, "word int, map long, sum long, size int, at int, before long")
+    return docs.select("text").mapInArrow(run, "word int, map long, map2 long, sum long, shape long, hub int")
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Pairs of sets that the filters leave, by their sums.
-
-    Sets that share one of the two words before this one have met there, so most pairs are made
-    once, and not for each prefix word they share.
-    """
+    """Pairs of sets without a common hub that the filters leave, by their sums."""
     dealt = found.repartition("word").distinct()
-    a = dealt.select("word", *[F.col(c).alias(f"{c}_a") for c in ("map", "sum", "size", "at", "before")])
-    b = dealt.select("word", *[F.col(c).alias(f"{c}_b") for c in ("map", "sum", "size", "at", "before")])
+    size, at = F.shiftrightunsigned("shape", 32), F.col("shape").bitwiseAND(F.lit(0xFFFFFFFF))
+    a, b = (dealt.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("map", "map2", "sum", "hub")], size.alias(f"size_{x}"), at.alias(f"at_{x}")) for x in "ab")
     both = F.col("size_a") + F.col("size_b")
     least = F.expr(f"({PART} * (size_a + size_b) + {PART + WHOLE - 1}) div {PART + WHOLE}")
     smaller = (F.col("size_a") < F.col("size_b")) | (
@@ -193,15 +324,13 @@ def candidates(found: DataFrame) -> DataFrame:
         & ((F.col("map_a") < F.col("map_b")) | ((F.col("map_a") == F.col("map_b")) & (F.col("sum_a") < F.col("sum_b"))))
     )
     after = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    apart = F.bit_count(F.col("map_a").bitwiseXOR(F.col("map_b")))
-    words = {x: [F.shiftrightunsigned(f"before_{x}", 32), F.col(f"before_{x}").bitwiseAND(F.lit(0xFFFFFFFF))] for x in "ab"}
-    met = reduce(lambda p, q: p | q, [(x != 0) & ((x == words["b"][0]) | (x == words["b"][1])) for x in words["a"]])
+    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in ("map", "map2")])
     passes = (
         smaller
-        & ~met
+        & ((F.col("hub_a") != F.col("hub_b")) | (F.col("hub_a") == 0))
         & (F.col("size_a") * WHOLE >= F.col("size_b") * PART)
-        & (F.least("at_a", "at_b") + after >= least)
         & (apart <= both - 2 * least)
+        & (F.least("at_a", "at_b") + after >= least)
     )
     return a.join(b, "word").where(passes).select("sum_a", "sum_b").distinct()
 
@@ -217,22 +346,24 @@ def _needed(pairs: DataFrame) -> bytes:
     return b"".join(rows.get(k, bytes(width)).ljust(width, b"\0") for k in range(1, FILTER_BITS // (8 * width) + 1))
 
 
-def occurrences(docs: DataFrame, needed: bytes) -> DataFrame:
-    """Per line with words: doc_id, hash, line, map, sum, and its text if the filter has it; per row one of line -1."""
-    shared = docs.sparkSession.sparkContext.broadcast(needed)
+def occurrences(docs: DataFrame, levels: np.ndarray, hubs: Hubs, needed: bytes) -> DataFrame:
+    """Per line with words: doc_id, hash, line, map, sum, its text if the filter has it, and if it has a hub that, its
+    weight and the differing words; per row one of line -1."""
+    shared = docs.sparkSession.sparkContext.broadcast((levels, hubs, needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
+        levels, hubs, needed = shared.value
+        bits = np.unpackbits(np.frombuffer(needed, np.uint8), bitorder="little")
         for batch in pieces(batches, "text"):
             texts = byte_texts(batch["text"])
             for rows, data in blocks(texts):
-                sets = Sets(data, None)
+                sets = Sets(data, levels)
                 lines = data.split(b"\n")
-                per_row = np.array([texts[r].count(b"\n") + 1 for r in rows])
-                first = np.cumsum(per_row) - per_row
-                row = np.searchsorted(first, sets.line, "right") - 1
+                row, per_row, first = rows_of(texts, rows, sets.line)
                 wanted = bits[np.mod(sets.sum, FILTER_BITS)]
                 said = [lines[i].decode() if w else None for i, w in zip(sets.line.tolist(), wanted.tolist(), strict=True)]
+                hub = hubs.nearest(sets, *sets.prefixes(np.arange(len(sets.size)))[:2])
+                differ = [hubs.difference(h, sets.words(i)) if h else (None, None) for i, h in enumerate(hub.tolist())]
                 none = [None] * len(rows)
                 source = pa.array(np.concatenate((row, np.arange(len(rows)))) + rows[0])
                 yield pa.RecordBatch.from_arrays(
@@ -240,14 +371,17 @@ def occurrences(docs: DataFrame, needed: bytes) -> DataFrame:
                         batch["doc_id"].take(source),
                         batch["hash"].take(source),
                         pa.array(np.concatenate((sets.line - first[row], np.full(len(rows), -1))), pa.int32()),
-                        pa.array([*sets.map.tolist(), *none], pa.int64()),
+                        pa.array([*sets.maps[0].tolist(), *none], pa.int64()),
                         pa.array([*sets.sum.tolist(), *per_row.tolist()], pa.int64()),
                         pa.array([*said, *none], pa.string()),
+                        pa.array([*(h or None for h in hub.tolist()), *none], pa.int32()),
+                        pa.array([*(w for w, _ in differ), *none], pa.int64()),
+                        pa.array([*(d for _, d in differ), *none], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "hash", "line", "map", "sum", "text"],
+                    names=["doc_id", "hash", "line", "map", "sum", "text", "hub", "weight", "differ"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, hash long, line int, map long, sum long, text string")
+    return docs.mapInArrow(run, "doc_id long, hash long, line int, map long, sum long, text string, hub int, weight long, differ array<long>")
 
 
 def words_of(text: Column) -> Column:
@@ -255,7 +389,7 @@ def words_of(text: Column) -> Column:
 
 
 def links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose words are similar enough, both ways: map, sum, other_first."""
+    """Pairs whose words are similar enough, both ways: map, sum, n_links, other_first."""
     for end in ("a", "b"):
         side = classes.select(
             F.col("map").alias(f"map_{end}"), F.col("sum").alias(f"sum_{end}"),
@@ -266,32 +400,67 @@ def links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     a, b = words_of(F.col("text_a")), words_of(F.col("text_b"))
     pairs = pairs.withColumn("a", a).withColumn("b", b)
     alike = F.size(F.array_intersect("a", "b")) * (PART + WHOLE) >= (F.size("a") + F.size("b")) * PART
-    ends = [F.struct(F.col(f"map_{x}").alias("map"), F.col(f"sum_{x}").alias("sum"), F.col(f"first_{y}").alias("other_first")) for x, y in ("ab", "ba")]
-    return pairs.where(alike).select(F.explode(F.array(*ends)).alias("x")).select("x.*")
+    return _both_ways(pairs.where(alike))
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """A row of map, sum, n_links and other_first for either end of a pair."""
+    ends = [
+        F.struct(F.col(f"map_{x}").alias("map"), F.col(f"sum_{x}").alias("sum"), F.lit(1).cast("long").alias("n_links"), F.col(f"first_{y}").alias("other_first"))
+        for x, y in ("ab", "ba")
+    ]
+    return pairs.select(F.explode(F.array(*ends)).alias("x")).select("x.*")
+
+
+def family_links(classes: DataFrame, hubs: Hubs) -> DataFrame:
+    """Links of sets that share a hub: map, sum, n_links, other_first (here the set's own first may be counted in)."""
+    spark = classes.sparkSession
+    sizes = spark.createDataFrame([(i + 1, int(n)) for i, n in enumerate(hubs.size)], "hub int, n long")
+    members = classes.where("hub IS NOT NULL").join(sizes, "hub")
+    weights = members.groupBy("hub", "n", "weight").agg(F.count(F.lit(1)).alias("sets"), F.min("first").alias("first"))
+    others = weights.select("hub", F.col("weight").alias("other"), "sets", "first")
+    reached = weights.select("hub", "n", "weight").join(others, "hub").where("weight + other <= n").groupBy("hub", "weight")
+    reached = reached.agg(F.sum("sets").alias("n_links"), F.min("first").alias("other_first"))
+    own = F.when(F.col("weight") * 2 <= F.col("n"), 1).otherwise(0)
+    plain = members.join(reached, ["hub", "weight"]).select("map", "sum", (F.col("n_links") - own).alias("n_links"), "other_first")
+    # a pair beyond n that shares differing words meets on the first of them
+    word = members.select("*", F.explode("differ").alias("word"))
+    a, b = (word.select("hub", "word", *[F.col(c).alias(f"{c}_{x}") for c in ("map", "sum", "first", "weight", "differ")], *(["n"] if x == "a" else [])) for x in "ab")
+    smaller = (F.col("map_a") < F.col("map_b")) | ((F.col("map_a") == F.col("map_b")) & (F.col("sum_a") < F.col("sum_b")))
+    beyond = F.col("weight_a") + F.col("weight_b") - F.col("n")
+    most = F.least(F.size("differ_a"), F.size("differ_b")) * (PART + WHOLE)
+    common = F.array_intersect("differ_a", "differ_b")
+    meets = smaller & (beyond > 0) & (beyond <= most) & (beyond <= F.size(common) * (PART + WHOLE)) & (F.element_at(common, 1) == F.col("word"))
+    return plain.unionByName(_both_ways(a.join(b, ["hub", "word"]).where(meets)))
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, hash (of its text), n_lines, n_removed, n_links, removed (line numbers)."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    pairs = stored(candidates(entries(source, rarity(source))), "line-pairs")
-    found = stored(occurrences(source, _needed(pairs)), "lines")
-    lines = found.where("line >= 0").withColumn("no_id", F.col("doc_id").isNull())
+    levels, hubs = survey(source)
+    pairs = stored(candidates(entries(source, levels, hubs)), "line-pairs")
+    found = stored(occurrences(source, levels, hubs, _needed(pairs)), "lines")
     place = F.struct("no_id", "doc_id", "hash", "line")
-    classes = lines.groupBy("map", "sum").agg(F.min(place).alias("first"))
-    worded = lines.where("text IS NOT NULL").groupBy("map", "sum").agg(F.min("text").alias("text"), F.min(place).alias("first"))
-    worded = stored(worded, "line-classes")
-    linked = links(pairs, worded).groupBy("map", "sum").agg(F.count(F.lit(1)).alias("n_links"), F.min("other_first").alias("other"))
-    classes = classes.join(linked, ["map", "sum"], "left")
-    keep_first = F.col("other").isNull() | (F.col("first") < F.col("other"))
+    named = found.where("line >= 0").withColumn("no_id", F.col("doc_id").isNull())
+    worded = named.where("text IS NOT NULL OR hub IS NOT NULL").groupBy("map", "sum")
+    alike = [F.any_value(c).alias(c) for c in ("hub", "weight", "differ")]
+    worded = stored(worded.agg(F.min("text").alias("text"), F.min(place).alias("first"), *alike), "line-classes")
+    linked = links(pairs, worded.where("text IS NOT NULL"))
+    if hubs.hubs:
+        linked = linked.unionByName(family_links(worded, hubs))
+    linked = linked.groupBy("map", "sum").agg(F.sum("n_links").alias("n_links"), F.min("other_first").alias("other"))
+    lines = named.select("no_id", "doc_id", "hash", "line", "map", "sum").repartition("map", "sum")
+    classes = lines.groupBy("map", "sum").agg(F.min(place).alias("first")).join(linked, ["map", "sum"], "left")
+    keep_first = F.col("other").isNull() | (F.col("first") <= F.col("other"))
     classes = classes.select("map", "sum", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), keep_first.alias("stays"))
     judged = lines.join(classes, ["map", "sum"])
     gone = ~(F.col("stays") & (place == F.col("first")))
-    judged = judged.select("doc_id", "hash", "line", "n_links", gone.alias("gone")).distinct()
+    judged = judged.select("doc_id", "hash", "line", "n_links", gone.alias("gone"), F.lit(None).cast("long").alias("n_lines"))
     per_row = found.where("line = -1").select(
         "doc_id", "hash", F.col("line"), F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("gone"), F.col("sum").alias("n_lines")
     )
-    each = judged.withColumn("n_lines", F.lit(None).cast("long")).unionByName(per_row)
+    each = judged.unionByName(per_row).repartition("doc_id", "hash").distinct()
     return each.groupBy("doc_id", "hash").agg(
         F.max("n_lines").alias("n_lines"),
         F.count_if("gone").alias("n_removed"),
