@@ -9,6 +9,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -326,3 +327,59 @@ def test_lines_half_alike_are_no_candidates(spark):
     texts = [" ".join(f"e{i}x{k}" if k in some else w for k, w in enumerate(base)) for i in range(100) for some in [set(rng.sample(range(100), 30))]]
     rows = [(i, t, "en", "s", 0, *["x"] * len(data.CLASHING)) for i, t in enumerate(texts)]
     assert pairs_made(spark, rows) < 100
+
+
+def edited():
+    """240 copies of a line of 60 words that lack one to six of the same twelve words and have one to three words of their own."""
+    rng = random.Random(16)
+    base = [f"w{k}" for k in range(60)]
+    lines = []
+    for i in range(240):
+        lost = rng.sample(base[:12], rng.randint(1, 6))
+        lines.append(" ".join([w for w in base if w not in lost] + [f"e{i}x{k}" for k in range(rng.randint(1, 3))]))
+    return [(i, f"{line}\nown line {i}", "en", "s", 0, *["x"] * len(data.CLASHING)) for i, line in enumerate(lines)]
+
+
+@pytest.mark.parametrize("together", [7, 1 << 12])
+def test_links_by_shared_differences_make_no_row_a_pair(spark, monkeypatch, together):
+    monkeypatch.setattr(line_dedup, "FAMILY", 8)
+    monkeypatch.setattr(line_dedup, "TOGETHER", together, raising=False)
+    counted = []
+    plain = line_dedup.family_links
+
+    def counting(classes, hubs):
+        counted.append((classes.where("hub IS NOT NULL").select(F.sum(F.size("differ"))).first()[0], plain(classes, hubs)))
+        return counted[-1][1]
+
+    monkeypatch.setattr(line_dedup, "family_links", counting)
+    test_lines(spark, edited())
+    differing, found = counted[0]
+    # at most one row for a set and one for each of its differing words, where these meet in one group
+    if together > 240:
+        assert found.count() <= differing + 240
+    assert found.agg(F.sum("n_links")).first()[0] > 5 * (differing + 240)
+
+
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_ranges_and_groups_come_whole(monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "MET", most)
+    monkeypatch.setattr(line_dedup, "GATHERED", most)
+    rng = random.Random(17)
+    low, count = ([rng.randrange(n) for _ in range(40)] for n in (90, 9))
+    want = [(i, x) for i in range(40) for x in range(low[i], low[i] + count[i])]
+    found = list(line_dedup.spans(np.array(low), np.array(count)))
+    assert [pair for w, at in found for pair in zip(w.tolist(), at.tolist(), strict=True)] == want
+    assert all(len(w) <= most for w, _ in found) and not list(line_dedup.spans(np.empty(0, np.int64), np.empty(0, np.int64)))
+    rows = pa.table({"a": sorted(rng.randrange(12) for _ in range(200)), "b": list(range(200))})
+    got = list(line_dedup.whole_groups(iter(rows.to_batches(max_chunksize=7)), ["a"]))
+    assert [x for t in got for x in t["b"].to_pylist()] == list(range(200))
+    assert sum(len(set(t["a"].to_pylist())) for t in got) == len(set(rows["a"].to_pylist()))
+
+
+def test_words_are_ordered_by_the_whole_hash_where_its_first_bits_are_equal():
+    levels = np.zeros(line_dedup.BUCKETS, np.uint8)
+    words = np.array([5, 3, 1 << 60, 3, 4, 5, 7], np.uint64)
+    for order in ([0, 1, 2, 3, 4, 5, 6], [3, 2, 5, 4, 1, 0, 6]):
+        sets = line_dedup.Sets.__new__(line_dedup.Sets)
+        sets.arrange(words[order], np.array([0] * 6 + [9], np.int32), levels)
+        assert sets.words(0).tolist() == [3, 4, 5, 1 << 60] and sets.words(1).tolist() == [7]

@@ -11,7 +11,7 @@ Many edited copies of one line all match, so their links are counted without a r
 is known by its difference from the first such hub. With ``d`` words of a hub of ``n`` missing and ``i``
 others added it weighs ``5 d + 4 i``; two sets of a hub whose differences share ``x`` words are linked when
 their weights add up to ``n + 9 x`` at most. Pairs up to ``n`` are counted by weight; of the others only those
-that share differing words meet. Which hubs are found decides how many pairs are made, not which links.
+that share differing words meet, and their links are added up where they meet. Which hubs are found decides how many pairs are made, not which links.
 
 A line is removed if an earlier line, by document id (null last), text hash and line number, has
 its class or one linked to it. Every line but the first of its class goes, and all go if a linked
@@ -42,10 +42,17 @@ from tickloom.llm.common import SPACES, byte_texts, pieces, stored
 #: Similarity as a fraction.
 PART, WHOLE = 4, 5
 BUCKETS = 1 << 20
+#: Buckets whose counts are added up together.
+STRETCH = 1 << 8
 #: Bits of the filter that picks lines whose words are needed.
 FILTER_BITS = 1 << 24
 #: Bytes worked on at a time, and sets a task remembers so as not to send them twice.
 BLOCK, REMEMBERED = 1 << 20, 1 << 18
+#: A prefix word of a set. Words are dealt out in slots, and a task packs so many records at a time by their slots.
+ENTRY = np.dtype([*((c, np.int32) for c in ("word", "hub", "size", "at")), *((c, np.int64) for c in ("map", "map2", "sum"))])
+SLOTS, PACKED = 1 << 13, 1 << 19
+#: Sorted records a task gathers at least, pairs it looks at at a time, and sets of a hub with one differing word that meet in one group.
+GATHERED, MET, TOGETHER = 1 << 17, 1 << 19, 1 << 12
 #: Hubs at most, lines of the same least word hashes that make a family, and documents looked at for its hub.
 HUBS, FAMILY, LOOKED = 1024, 48, 5
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -81,22 +88,24 @@ class Powers:
 
 
 POWERS = Powers()
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hash and line number of every word of ``data``."""
     a = np.frombuffer(data, np.uint8)
-    inside = np.zeros(len(a) + 2, np.int8)
-    inside[1:-1] = ~IS_SPACE[a]
-    steps = np.diff(inside)
-    starts, stops = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+    inside = np.zeros(len(a) + 2, bool)
+    np.logical_and((a - np.uint8(0x09)) > 4, a != 0x20, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts = edges[::2]
     up, down = POWERS.grown(len(a) + 1)
+    letters = POWERS.letters[a]
+    letters *= up[: len(a)]
     sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(POWERS.letters[a] * up[: len(a)], out=sums[1:])
-    lines = np.cumsum(a == 10, dtype=np.int32)
-    return mixed((sums[stops] - sums[starts]) * down[starts]), lines[starts]
+    np.cumsum(letters, out=sums[1:])
+    sums = sums[edges]
+    breaks = np.bincount(np.searchsorted(starts, np.flatnonzero(a == 10)), minlength=len(starts) + 1)
+    lines = np.cumsum(breaks[: len(starts)], dtype=np.int32)
+    return mixed((sums[1::2] - sums[::2]) * down[starts]), lines
 
 
 def blocks(texts: list[bytes]) -> Iterator[tuple[list[int], bytes]]:
@@ -118,6 +127,44 @@ def begins(lines: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], lines[1:] != lines[:-1]))) if len(lines) else np.empty(0, np.int64)
 
 
+def spans(low: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every number of the ranges of ``count`` from ``low``, with the range it is of, ``MET`` at most at a time."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    for begin in range(0, total, MET):
+        stop = min(begin + MET, total)
+        i, j = np.searchsorted(ends, (begin, stop - 1), "right")
+        from_, some = low[i : j + 1].copy(), count[i : j + 1].copy()
+        skipped = begin - (ends[i] - count[i])
+        from_[0] += skipped
+        some[0] -= skipped
+        some[-1] -= ends[j] - stop
+        yield np.repeat(np.arange(i, j + 1), some), np.arange(stop - begin) + np.repeat(from_ - (np.cumsum(some) - some), some)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], a_row: int = 1) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys``, each of about ``a_row`` records, some groups at a time, each whole."""
+    held: list[pa.RecordBatch] = []
+    least = GATHERED // a_row
+    rows, wanted = 0, least
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < wanted:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        columns = [table[k].to_numpy() for k in keys]
+        others = np.flatnonzero(reduce(np.logical_or, (c != c[-1] for c in columns)))
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+        rows -= cut
+        wanted = max(least, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def rows_of(texts: list[bytes], rows: list[int], line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place in ``rows`` of every line of a block, and number of lines and first line of every row."""
     per_row = np.array([texts[r].count(b"\n") + 1 for r in rows])
@@ -142,7 +189,13 @@ class Sets:
 
     def arrange(self, hashes: np.ndarray, lines: np.ndarray, levels: np.ndarray) -> None:
         rare = levels[(hashes & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
-        order = np.lexsort(((hashes >> np.uint64(8)) | (rare << np.uint64(56)), lines))
+        # line, rarity and as much of the hash as there is room for; words that are equal in these are compared by all of it
+        room = np.uint64(56 - int(lines[-1]).bit_length() if len(lines) else 56)
+        key = (lines.astype(np.uint64) << (room + np.uint64(8))) | (rare << room) | (hashes >> (np.uint64(64) - room))
+        order = np.argsort(key)
+        key, sorted_ = key[order], hashes[order]
+        if np.any((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1])):
+            order = np.lexsort((hashes, rare, lines))
         hashes, lines = hashes[order], lines[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (lines[1:] != lines[:-1])
@@ -184,19 +237,21 @@ class Hubs:
         owner = np.repeat(np.arange(len(hubs)), [len(p) for p in prefixes])
         order = np.argsort(words, kind="stable")
         self.words, self.owner = words[order], owner[order]
-        self.known = np.zeros(1 << 16, bool)
-        self.known[self.words & np.uint64(0xFFFF)] = True
+        self.known = np.zeros(BUCKETS, bool)
+        self.known[(self.words & np.uint64(BUCKETS - 1)).view(np.int64)] = True
 
     def nearest(self, sets: Sets, which: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Number of the first hub near each set, from 1; 0 where none is."""
         out = np.full(len(sets.size), len(self.hubs) + 1)
-        some = self.known[words & np.uint64(0xFFFF)]
+        some = self.known[(words & np.uint64(BUCKETS - 1)).view(np.int64)]
         which, words = which[some], words[some]
         low, high = np.searchsorted(self.words, words, "left"), np.searchsorted(self.words, words, "right")
         count = high - low
         which = np.repeat(which, count)
         hub = self.owner[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
-        both = sets.size[which] + self.size[hub]
+        size, others = sets.size[which], self.size[hub]
+        some = (size * WHOLE >= others * PART) & (others * WHOLE >= size * PART)
+        which, hub, both = which[some], hub[some], (size + others)[some]
         apart = sum(np.bitwise_count((a[which] ^ b[hub]).view(np.uint64)).astype(np.int64) for a, b in zip(sets.maps, self.maps, strict=True))
         near = apart <= both - 2 * ((PART * both + PART + WHOLE - 1) // (PART + WHOLE))
         np.minimum.at(out, which[near], hub[near] + 1)
@@ -213,6 +268,7 @@ class Hubs:
 def survey(docs: DataFrame) -> tuple[np.ndarray, Hubs]:
     """Level of every bucket, eight times the logarithm of its words over all documents, and the hubs."""
     looks = [f"hash{k}" for k in range(LOOKED)]
+    names = ["key", "count", *looks, "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -236,21 +292,32 @@ def survey(docs: DataFrame) -> tuple[np.ndarray, Hubs]:
                 hashes = batch["hash"].to_numpy()[owner]
                 seen = [np.minimum.reduceat(hashes ^ turn(k), begin) for k in range(LOOKED)]
                 columns = [key[begin], np.diff(np.append(begin, len(key))), *seen]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "count", *looks])
-        held = np.flatnonzero(counts)
-        for i in range(0, len(held), 1 << 16):
-            some = held[i : i + (1 << 16)]
-            empty = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some]), *[empty] * LOOKED], names=["key", "count", *looks])
-
-    found = docs.select("hash", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "count", *looks)))
-    found = found.groupBy("key").agg(F.sum("count").alias("count"), *[F.min(c).alias(c) for c in looks])
-    found = stored(found.where((F.col("key") >= 0) | (F.col("count") >= FAMILY)), "line-words")
-    level = F.least(F.lit(255), F.floor(F.log2("count") * 8) + 1).cast("short")
-    table = found.where("key >= 0").select("key", level.alias("level")).toArrow()
-    levels = np.zeros(BUCKETS, np.uint8)
-    levels[table["key"].to_numpy()] = table["level"].to_numpy()
-    families = found.where("key < 0").orderBy(F.desc("count"), "key").limit(HUBS).collect()
+                none = pa.nulls(len(begin), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), none], names=names)
+        stretches = counts.reshape(-1, STRETCH)
+        held = np.flatnonzero(stretches.any(axis=1))
+        empty = pa.nulls(len(held), pa.int64())
+        packed = pa.array([x.tobytes() for x in stretches[held]], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(held), *[empty] * (1 + LOOKED), packed], names=names)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, packed in zip(batch["key"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                sums[key] = sums.get(key, 0) + np.frombuffer(packed, np.int64)
+        for key, counts in sums.items():
+            level = np.where(counts, np.minimum(255, np.floor(np.log2(np.maximum(counts, 1)) * 8) + 1), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"key": pa.array([key]), "levels": pa.array([level.tobytes()], pa.binary())})
+
+    found = docs.select("hash", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names[:-1]) + ", counts binary")
+    found = stored(found, "line-words")
+    levels = np.zeros((BUCKETS // STRETCH, STRETCH), np.uint8)
+    table = found.where("key >= 0").select("key", "counts").repartition("key").mapInArrow(summed, "key long, levels binary").toArrow()
+    for key, level in zip(table["key"].to_pylist(), table["levels"].to_pylist(), strict=True):
+        levels[key] = np.frombuffer(level, np.uint8)
+    levels = levels.ravel()
+    families = found.where("key < 0").groupBy("key").agg(F.sum("count").alias("count"), *[F.min(c).alias(c) for c in looks])
+    families = families.where(F.col("count") >= FAMILY).orderBy(F.desc("count"), "key").limit(HUBS).collect()
     return levels, Hubs(_hubs(docs, families), levels)
 
 
@@ -288,12 +355,22 @@ def _hubs(docs: DataFrame, families: list[Row]) -> list[np.ndarray]:
 
 
 def entries(docs: DataFrame, levels: np.ndarray, hubs: Hubs) -> DataFrame:
-    """Prefix words of all sets: word, maps, sum, size and position in one number, hub."""
+    """Prefix words of all sets as ``ENTRY`` records, those of one slot of words together."""
     shared = docs.sparkSession.sparkContext.broadcast((levels, hubs))
 
+    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(parts)
+        slot = rows["word"] & (SLOTS - 1)
+        order = np.argsort(slot, kind="stable")
+        slots, begin = np.unique(slot[order], return_index=True)
+        ends = np.append(begin, len(rows)).astype(np.int32) * ENTRY.itemsize
+        data = pa.Array.from_buffers(pa.binary(), len(slots), [None, pa.py_buffer(ends), pa.py_buffer(rows[order].tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), data], names=["slot", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, hubs = shared.value
         seen: set[int] = set()
+        parts: list[np.ndarray] = []
         for batch in pieces(batches, "text"):
             for _, data in blocks(byte_texts(batch["text"])):
                 sets = Sets(data, levels)
@@ -302,37 +379,55 @@ def entries(docs: DataFrame, levels: np.ndarray, hubs: Hubs) -> DataFrame:
                 names = (sets.sum ^ sets.maps[0]).tolist()
                 fresh = [i for i, x in enumerate(names) if not (x in seen or seen.add(x))]
                 which, words, at = sets.prefixes(np.array(fresh, np.int64))
-                hub = hubs.nearest(sets, which, words)
-                word = (words >> np.uint64(16)).astype(np.uint32).view(np.int32)
-                columns = (word, sets.maps[0][which], sets.maps[1][which], sets.sum[which], (sets.size[which] << 32) | at, hub[which])
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                names = ["word", "map", "map2", "sum", "shape", "hub"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                rows = np.empty(len(which), ENTRY)
+                rows["word"] = (words >> np.uint64(16)).astype(np.uint32).view(np.int32)
+                rows["hub"], rows["size"], rows["at"] = hubs.nearest(sets, which, words)[which], sets.size[which], at
+                rows["map"], rows["map2"], rows["sum"] = sets.maps[0][which], sets.maps[1][which], sets.sum[which]
+                parts.append(rows)
+                if sum(map(len, parts)) >= PACKED:
+                    yield packed(parts)
+                    parts = []
+        if parts:
+            yield packed(parts)
 
-    return docs.select("text").mapInArrow(run, "word int, map long, map2 long, sum long, shape long, hub int")
+    return docs.select("text").mapInArrow(run, "slot int, rows binary")
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Pairs of sets without a common hub that the filters leave, by their sums."""
-    dealt = found.repartition("word").distinct()
-    size, at = F.shiftrightunsigned("shape", 32), F.col("shape").bitwiseAND(F.lit(0xFFFFFFFF))
-    a, b = (dealt.select("word", *[F.col(c).alias(f"{c}_{x}") for c in ("map", "map2", "sum", "hub")], size.alias(f"size_{x}"), at.alias(f"at_{x}")) for x in "ab")
-    both = F.col("size_a") + F.col("size_b")
-    least = F.expr(f"({PART} * (size_a + size_b) + {PART + WHOLE - 1}) div {PART + WHOLE}")
-    smaller = (F.col("size_a") < F.col("size_b")) | (
-        (F.col("size_a") == F.col("size_b"))
-        & ((F.col("map_a") < F.col("map_b")) | ((F.col("map_a") == F.col("map_b")) & (F.col("sum_a") < F.col("sum_b"))))
-    )
-    after = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    apart = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in ("map", "map2")])
-    passes = (
-        smaller
-        & ((F.col("hub_a") != F.col("hub_b")) | (F.col("hub_a") == 0))
-        & (F.col("size_a") * WHOLE >= F.col("size_b") * PART)
-        & (apart <= both - 2 * least)
-        & (F.least("at_a", "at_b") + after >= least)
-    )
-    return a.join(b, "word").where(passes).select("sum_a", "sum_b").distinct()
+    """Pairs of sets without a common hub that the filters leave, by their sums.
+
+    The smaller set of a pair needs a shorter prefix, as its partners have at least its size. A similar pair passes at
+    the first word that both have, where all common words are still to come.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["slot"], PACKED // SLOTS):
+            rows = np.frombuffer(b"".join(table["rows"].to_pylist()), ENTRY)
+            rows = rows[np.lexsort((rows["sum"], (rows["word"].astype(np.int64) << 32) + rows["size"]))]
+            columns = [np.ascontiguousarray(rows[c]) for c in ENTRY.names]
+            new = np.ones(len(rows), bool)
+            new[1:] = reduce(np.logical_or, (c[1:] != c[:-1] for c in columns))
+            word, hub, size, at, *maps, total = (c[new] for c in columns)
+            size, after = size.astype(np.int64), size.astype(np.int64) - at
+            place = (np.cumsum(np.diff(word, prepend=word[:1]) != 0) << 32) + size
+            # the words still to come of either are (PART * both) / (PART + WHOLE) at least
+            largest = after * (PART + WHOLE) // PART - size
+            first = np.flatnonzero(largest >= size)
+            last = np.searchsorted(place, place[first] - size[first] + largest[first], "right")
+            asked, given = PART * size[first], after * (PART + WHOLE) - PART * size
+            for which, b in spans(first + 1, last - first - 1):
+                some = given[b] >= asked[which]
+                a, b = first[which[some]], b[some]
+                some = (hub[a] != hub[b]) | (hub[a] == 0)
+                a, b = a[some], b[some]
+                both = size[a] + size[b]
+                spare = both - 2 * ((PART * both + PART + WHOLE - 1) // (PART + WHOLE))
+                apart = sum(np.bitwise_count((m[a] ^ m[b]).view(np.uint64)).astype(np.int64) for m in maps)
+                some = (apart <= spare) & ((total[a] != total[b]) | (maps[0][a] != maps[0][b]))
+                yield pa.RecordBatch.from_arrays([pa.array(total[x[some]]) for x in (a, b)], names=["sum_a", "sum_b"])
+
+    dealt = found.repartition("slot").sortWithinPartitions("slot")
+    return dealt.mapInArrow(run, "sum_a long, sum_b long").distinct()
 
 
 def _needed(pairs: DataFrame) -> bytes:
@@ -400,16 +495,11 @@ def links(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     a, b = words_of(F.col("text_a")), words_of(F.col("text_b"))
     pairs = pairs.withColumn("a", a).withColumn("b", b)
     alike = F.size(F.array_intersect("a", "b")) * (PART + WHOLE) >= (F.size("a") + F.size("b")) * PART
-    return _both_ways(pairs.where(alike))
-
-
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    """A row of map, sum, n_links and other_first for either end of a pair."""
     ends = [
         F.struct(F.col(f"map_{x}").alias("map"), F.col(f"sum_{x}").alias("sum"), F.lit(1).cast("long").alias("n_links"), F.col(f"first_{y}").alias("other_first"))
         for x, y in ("ab", "ba")
     ]
-    return pairs.select(F.explode(F.array(*ends)).alias("x")).select("x.*")
+    return pairs.where(alike).select(F.explode(F.array(*ends)).alias("x")).select("x.*")
 
 
 def family_links(classes: DataFrame, hubs: Hubs) -> DataFrame:
@@ -423,15 +513,59 @@ def family_links(classes: DataFrame, hubs: Hubs) -> DataFrame:
     reached = reached.agg(F.sum("sets").alias("n_links"), F.min("first").alias("other_first"))
     own = F.when(F.col("weight") * 2 <= F.col("n"), 1).otherwise(0)
     plain = members.join(reached, ["hub", "weight"]).select("map", "sum", (F.col("n_links") - own).alias("n_links"), "other_first")
-    # a pair beyond n that shares differing words meets on the first of them
-    word = members.select("*", F.explode("differ").alias("word"))
-    a, b = (word.select("hub", "word", *[F.col(c).alias(f"{c}_{x}") for c in ("map", "sum", "first", "weight", "differ")], *(["n"] if x == "a" else [])) for x in "ab")
-    smaller = (F.col("map_a") < F.col("map_b")) | ((F.col("map_a") == F.col("map_b")) & (F.col("sum_a") < F.col("sum_b")))
-    beyond = F.col("weight_a") + F.col("weight_b") - F.col("n")
-    most = F.least(F.size("differ_a"), F.size("differ_b")) * (PART + WHOLE)
-    common = F.array_intersect("differ_a", "differ_b")
-    meets = smaller & (beyond > 0) & (beyond <= most) & (beyond <= F.size(common) * (PART + WHOLE)) & (F.element_at(common, 1) == F.col("word"))
-    return plain.unionByName(_both_ways(a.join(b, ["hub", "word"]).where(meets)))
+    # a pair beyond n shares differing words and meets on the first of them
+    word = members.select("hub", "n", "map", "sum", "first", "weight", "differ", F.explode("differ").alias("word"))
+    held = word.groupBy("hub", "word").agg(F.count(F.lit(1)).alias("held"), F.max("weight").alias("top"))
+    met = word.join(held.where("held > 1"), ["hub", "word"]).where("weight + top > n")
+    # sets of a frequent word are dealt into parts, and every two parts meet in a group of their own
+    met = met.withColumn("parts", F.ceil(F.col("held") / TOGETHER)).withColumn("part", F.pmod(F.xxhash64("map", "sum"), "parts"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("held", "top", "parts", "other")
+    keys = ["hub", "word", "low", "high"]
+    kind = classes.schema["first"].dataType.simpleString()
+    sums = met.repartition(*keys).sortWithinPartitions(*keys, "first").mapInArrow(_beyond, f"map long, sum long, n_links long, other_first {kind}")
+    return plain.unionByName(sums)
+
+
+def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links beyond n of every set in groups by hub, word and two parts: map, sum, n_links, other_first."""
+    keys = ["hub", "word", "low", "high"]
+    for rows in whole_groups(batches, keys):
+        columns = [rows[k].to_numpy() for k in keys]
+        word, low, high = columns[1:]
+        weight, n, part = (rows[c].to_numpy() for c in ("weight", "n", "part"))
+        differ = rows["differ"].combine_chunks()
+        length = differ.value_lengths().to_numpy().astype(np.int64)
+        begin = np.cumsum(length) - length
+        words, code = np.unique(differ.flatten().to_numpy(), return_inverse=True)
+        known = np.repeat(np.arange(len(length)), length) * len(words) + code
+        known.sort()
+        new = np.ones(len(word), bool)
+        new[1:] = reduce(np.logical_or, (c[1:] != c[:-1] for c in columns))
+        starts = np.flatnonzero(new)
+        stop = np.append(starts[1:], len(word))[np.cumsum(new) - 1]
+        count, least = np.zeros(len(word), np.int64), np.full(len(word), len(word))
+        at = np.arange(len(word))
+        for a, b in spans(at + 1, stop - at - 1):
+            beyond = weight[a] + weight[b] - n[a]
+            some = (beyond > 0) & (beyond <= np.minimum(length[a], length[b]) * (PART + WHOLE)) & ((part[a] != part[b]) | (low[a] == high[a]))
+            a, b, beyond = a[some], b[some], beyond[some]
+            common, earlier = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+            for pair, k in spans(begin[a], length[a]):
+                wanted = b[pair] * len(words) + code[k]
+                found = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                pair, k = pair[known[found] == wanted], k[known[found] == wanted]
+                common += np.bincount(pair, minlength=len(a))
+                earlier += np.bincount(pair[words[code[k]] < word[a[pair]]], minlength=len(a))
+            linked = (earlier == 0) & (beyond <= common * (PART + WHOLE))
+            for x, y in ((a[linked], b[linked]), (b[linked], a[linked])):
+                count += np.bincount(x, minlength=len(count))
+                np.minimum.at(least, x, y)
+        has = np.flatnonzero(count)
+        # rows of a group come by their firsts
+        first = rows["first"].combine_chunks().take(pa.array(least[has]))
+        names = ["map", "sum", "n_links", "other_first"]
+        yield pa.RecordBatch.from_arrays([*(rows[c].combine_chunks().take(pa.array(has)) for c in names[:2]), pa.array(count[has]), first], names=names)
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
