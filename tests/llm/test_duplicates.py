@@ -105,6 +105,27 @@ def test_every_link_within_reach_is_met(spark, distance, radius, per_word):
     assert {tuple(r) for r in simhash.links(table, index).collect()} == want
 
 
+def test_what_is_looked_up_and_the_prints_are_never_broadcast(spark, monkeypatch):
+    """Spark sizes these sides by their files, before they are exploded: small tables would be broadcast."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    nodes = spark.range(500).selectExpr("id * 7919 AS node", "array(id * 7919) AS print")
+    assert "SortMergeJoin" in (made := plan(simhash.links(nodes, simhash.CLOSE))) and "Broadcast" not in made
+    docs = data.docs(spark)
+    assert "SortMergeJoin [print" in plan(simhash.near_duplicates(docs, index=simhash.CLOSE))
+    plans, plain = {}, simhash.Scratch.stored
+
+    def keeping(self, df, label):
+        plans[label] = plan(df)
+        return plain(self, df, label)
+
+    monkeypatch.setattr(simhash.Scratch, "stored", keeping)
+    assert "SortMergeJoin [print" in plan(simhash.near_duplicates(docs))
+    assert "SortMergeJoin [key" in plans["asks"] and "Broadcast" not in plans["asks"]
+
+
 def test_one_of_each(spark):
     docs = data.docs(spark)
     kept = simhash.one_of_each(docs)

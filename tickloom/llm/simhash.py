@@ -184,7 +184,8 @@ def links(prints: DataFrame, index: Index) -> DataFrame:
     if index.radius == 1:
         probes = probes.where(F.col("key").bitwiseAND(F.col("flip")) == 0)
     probes = probes.select("a", "k", F.col("key").bitwiseXOR(F.col("flip")).alias("key"))
-    met = probes.join(tables, ["k", "key"]).where("a <> b")
+    # Spark sizes the exploded rows like the nodes they come from, far too low for a broadcast.
+    met = probes.hint("merge").join(tables, ["k", "key"]).where("a <> b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= index.distance
     return met.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -266,7 +267,8 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
     work, segments = Scratch(nodes.sparkSession), index.segments(nodes.count())
     held = looked_up(nodes, segments, 0)
     others = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("one"))
-    asks = looked_up(nodes, segments, 1).join(others, "key").where("n > 1 OR one <> node").select("key", "node", "n")
+    # Spark sizes what is looked up like the nodes, hundreds of times too low for a broadcast.
+    asks = looked_up(nodes, segments, 1).hint("merge").join(others, "key").where("n > 1 OR one <> node").select("key", "node", "n")
     asks = work.stored(asks, "asks")
     held = work.stored(held.join(asks.select("key").distinct(), "key", "left_semi"), "held")
     scores = work.stored(asks.groupBy("node").agg(F.sum("n").alias("score")), "scores")
@@ -333,7 +335,8 @@ def grouped(docs: DataFrame, prints: DataFrame, id_col: str, text_col: str, inde
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index | Similar = SIMILAR) -> DataFrame:
     """Per row: doc_id, fingerprint (hex digits), component_id, the least id reachable by links."""
     prints = _prints(docs, id_col, text_col, index)
-    found = prints.join(grouped(docs, prints, id_col, text_col, index), "print")
+    # Of copies the prints take next to no room in files, by which Spark would size a broadcast.
+    found = prints.hint("merge").join(grouped(docs, prints, id_col, text_col, index), "print")
     digits = F.array_join(F.transform("print", lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
     return found.select("doc_id", digits.alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
