@@ -103,6 +103,21 @@ def test_tied_splits_that_all_miss_the_root_hint_disagree_with_it(spark):
     assert {(o.r, o.parse_error, o.root) for o in out} == set(rows)
 
 
+def test_a_wrong_day_that_another_root_fits_disagrees_not_the_root(spark):
+    """The first symbol is NB on 3 February or NB20 on 14 March, the second NQ122 on the 21st, NQ1 or NQ12 on the 22nd."""
+    rows = [
+        ("NSE:NB2020314777PE", "NB", date(2020, 2, 3), None),
+        ("NSE:NB2020314777PE", "NB", date(2020, 3, 14), "expiry_disagrees"),
+        ("NSE:NB2020314777PE", "NBX", date(2020, 3, 14), "root_disagrees"),
+        ("NSE:NQ122222215PE", "NQ122", date(2022, 2, 21), None),
+        ("NSE:NQ122222215PE", "NQ122", date(2022, 2, 22), "expiry_disagrees"),
+        ("NSE:NQ122222215PE", "NQX", date(2022, 2, 22), "root_disagrees"),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "fyers_symbol string, r string, e date")
+    out = symbols.parse(df, registry.builtin_roots(spark), YEARS, expected_root="r", expected_expiry="e").collect()
+    assert {(o.fyers_symbol, o.r, o.e, o.parse_error) for o in out} == set(rows)
+
+
 def test_repeated_symbols_keep_every_row(spark):
     df = spark.createDataFrame([("NSE:NIFTY2510923000CE", i) for i in range(50)], "fyers_symbol string, n int")
     out = symbols.parse(df, registry.builtin_roots(spark), YEARS)

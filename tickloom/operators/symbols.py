@@ -279,11 +279,12 @@ def _finish(df: DataFrame, known: DataFrame) -> DataFrame:
         F.col("root") == F.col("hint_root"), F.lit(False)
     )
     single = F.size("tried") == 1
-    # Whichever of the tied splits is meant, its root is not the one the caller knows.
+    # Whichever of the tied splits is meant, it is not the one of the root the caller knows.
     no_root_hit = F.col("hint_root").isNotNull() & ~F.exists("top", lambda c: c["root"] == F.col("hint_root"))
     error = (
         F.when(F.col("shape").isin("future", "monthly", "cash"), F.lit(None))
         .when(weekly & (F.coalesce(F.size("tried"), F.lit(0)) <= 0), "no_valid_split")
+        .when(weekly & F.col("won").isNull() & no_root_hit & _has_hinted_root(), "expiry_disagrees")
         .when(weekly & F.col("won").isNull() & no_root_hit, "root_disagrees")
         .when(weekly & F.col("won").isNull(), "ambiguous")
         .when(weekly, F.lit(None))
@@ -345,15 +346,26 @@ def _finish(df: DataFrame, known: DataFrame) -> DataFrame:
     return df.select("_row", *kept)
 
 
+def _has_hinted_root() -> Column:
+    """Whether some split of a weekly symbol has the root the caller knows, on whatever day."""
+    return F.exists("tried", lambda c: c["root"] == F.col("hint_root"))
+
+
 def hint_disagreement() -> Column:
-    """Why a decomposition contradicts what the caller already knew, null when it does not."""
+    """Why a decomposition contradicts what the caller already knew, null when it does not.
+
+    A wrong day can happen to be that of another root's split. If the symbol splits into the known
+    root too, it is the day that disagrees.
+    """
     weekly = F.col("symbol_expiry_encoding") == "WEEKLY_CODED"
     monthly = F.col("symbol_expiry_encoding") == "MONTHLY_CODED"
     other_month = (F.year("hint_expiry") != F.col("expiry_year")) | (
         F.month("hint_expiry") != F.col("expiry_month")
     )
+    other_root = (F.col("kind") != "SPOT") & (F.col("root") != F.col("hint_root"))
     return (
-        F.when((F.col("kind") != "SPOT") & (F.col("root") != F.col("hint_root")), "root_disagrees")
+        F.when(weekly & other_root & _has_hinted_root(), "expiry_disagrees")
+        .when(other_root, "root_disagrees")
         .when(weekly & (F.col("expiry") != F.col("hint_expiry")), "expiry_disagrees")
         .when(monthly & other_month, "expiry_disagrees")
     )
